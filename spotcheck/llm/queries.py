@@ -6,6 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spotcheck.llm import quality_rules as rules, sharding
+from spotcheck.llm.packing import pack_documents
+from spotcheck.llm.sharding import shard_documents
+from spotcheck.llm.tokencounts import count_tokens
+
 TOKENIZERS: dict[str, str] = {}
 
 
@@ -22,17 +27,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spotcheck.llm.tokencounts import count_tokens
+def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir), shards=16)
 
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from spotcheck.llm.packing import pack_documents
-
     return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_token_counts, op7_best_fit_packing)}
-SQL: dict[str, str] = {}
+def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op2_minimax_sharding,
+        op4_token_counts,
+        op7_best_fit_packing,
+        op9_adaptive_quality_rules,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_minimax_sharding": sharding.SQL,
+    "op9_adaptive_quality_rules": rules.SQL,
+}
