@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotcheck.llm import quality_rules as rules, sharding
 from spotcheck.llm.packing import pack_documents
+from spotcheck.llm.quality_model import classify, held_out
 from spotcheck.llm.sharding import shard_documents
 from spotcheck.llm.tokencounts import count_tokens
 
@@ -39,6 +40,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir))
 
@@ -49,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_minimax_sharding,
         op4_token_counts,
         op7_best_fit_packing,
+        op8_quality_classifier,
         op9_adaptive_quality_rules,
     )
 }
