@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import quality_rules as rules, sharding
+from spotcheck.llm import mixing, quality_rules as rules, sharding
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
 from spotcheck.llm.sharding import shard_documents
@@ -36,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op2_minimax_sharding,
         op4_token_counts,
+        op6_entropy_mixing,
         op7_best_fit_packing,
         op8_quality_classifier,
         op9_adaptive_quality_rules,
