@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import mixing, quality_rules as rules, sharding
+from spotcheck.llm import mixing, neighbours, quality_rules as rules, sharding
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
 from spotcheck.llm.sharding import shard_documents
@@ -28,6 +28,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_kmeans_tree_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=20, k=20)
+
+
 def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=16)
 
@@ -56,6 +60,7 @@ def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_kmeans_tree_neighbours,
         op2_minimax_sharding,
         op4_token_counts,
         op6_entropy_mixing,
