@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotcheck.llm import mixing, neighbours, quality_rules as rules, sharding
+from spotcheck.llm.near_copies import near_copies
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
 from spotcheck.llm.sharding import shard_documents
@@ -36,6 +37,10 @@ def op2_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=16)
 
 
+def op3_weighted_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(documents(spark, sf_dir), similarity=0.8)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_kmeans_tree_neighbours,
         op2_minimax_sharding,
+        op3_weighted_minhash_dedup,
         op4_token_counts,
         op6_entropy_mixing,
         op7_best_fit_packing,
