@@ -26,28 +26,32 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     neighbouring words; and, for each power of two up to their number, pairs of one word
     twice, whichever word it is.  All are hashed to 2**BITS features.
     """
-    n, found, owner = len(offsets) - 1, [], []
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    wide = data.astype(np.uint64)
+    n, kinds = len(offsets) - 1, []
+    wide = data.astype(np.uint32)
     code = wide
     for size in (1, 2, 3):
         if size > 1:
-            code = code[:-1] * np.uint64(257) + wide[size - 1 :] + np.uint64(1) if len(code) > 1 else code[:0]
-        whole = text[: len(code)] == text[size - 1 :][: len(code)] if len(code) else np.zeros(0, bool)
-        found.append(code[whole] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(size))
-        owner.append(text[: len(code)][whole])
+            code = code[:-1] * np.uint32(257) + wide[size - 1 :] + np.uint32(1) if len(code) > 1 else code[:0]
+        # the runs that begin in a text's last bytes would leave it
+        kinds.append(((code * np.uint32(2654435761) + np.uint32(size * 40503)) >> np.uint32(32 - BITS), offsets[:-1], np.maximum(offsets[1:] - size + 1, offsets[:-1])))
     starts, ends, of = words(data, offsets)
     h = slice_hash(prefix_hash(data), starts, ends)
     pair = of[1:] == of[:-1]
-    found += [h, (h[1:] * np.uint64(3) + h[:-1])[pair]]
-    owner += [of, of[1:][pair]]
+    two = np.append(np.where(pair, h[1:] * np.uint64(3) + h[:-1], h[:-1]), h[-1:])  # a last word has no pair
     twice = np.bincount(of[1:][pair & (h[1:] == h[:-1])], minlength=n)
     steps = np.where(twice > 0, np.floor(np.log2(np.maximum(twice, 1))).astype(np.int64) + 1, 0)
-    found.append(spread(steps).astype(np.uint64) + np.uint64(0x5EC0D))
-    owner.append(np.repeat(np.arange(n), steps))
-    number = (mix(np.concatenate(found)) >> np.uint64(64 - BITS)).astype(np.int64)
-    key = np.unique((np.concatenate(owner).astype(np.int64) << BITS) + number)
-    return key & ((1 << BITS) - 1), np.bincount(key >> BITS, minlength=n)
+    bounds = np.searchsorted(of, np.arange(n + 1))
+    for number in (h, two):
+        kinds.append(((mix(number) >> np.uint64(64 - BITS)).astype(np.uint32), bounds[:-1], bounds[1:]))
+    ends = np.cumsum(steps)
+    kinds.append(((mix(spread(steps).astype(np.uint64) + np.uint64(0x5EC0D)) >> np.uint64(64 - BITS)).astype(np.uint32), ends - steps, ends))
+    flags, found = np.zeros(1 << BITS, bool), [np.zeros(0, np.int64)]
+    for i in range(n):
+        for number, first, last in kinds:
+            flags[number[first[i] : last[i]]] = True
+        found.append(np.flatnonzero(flags))
+        flags[found[-1]] = False
+    return np.concatenate(found), np.array([len(x) for x in found[1:]], np.int64)
 
 
 def log_count_ratio(index: np.ndarray, counts: np.ndarray, label: np.ndarray) -> np.ndarray:
