@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import mixing, neighbours, quality_rules as rules, sharding
+from spotcheck.llm import mixing, neighbours, quality_rules as rules, sharding, suffixes
 from spotcheck.llm.near_copies import near_copies
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
@@ -62,6 +62,10 @@ def op9_adaptive_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(documents(spark, sf_dir))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir), length=50)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,9 +77,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_best_fit_packing,
         op8_quality_classifier,
         op9_adaptive_quality_rules,
+        op10_suffix_array_dedup,
     )
 }
 SQL: dict[str, str] = {
     "op2_minimax_sharding": sharding.SQL,
     "op9_adaptive_quality_rules": rules.SQL,
+    "op10_suffix_array_dedup": suffixes.SQL,
 }
