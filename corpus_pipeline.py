@@ -1,10 +1,58 @@
-"""The corpus pipeline: quality, near copies, repeated passages, mixture, packing."""
+"""The corpus pipeline: quality, near copies, repeated passages, mixture, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept.  All but
+the last return the columns of ``documents``; doc_id names a document until the mixture,
+which gives a document a row for each of its copies.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spotcheck.llm import mixing, near_copies, packing, quality_model, queries, suffixes
+from spotcheck.llm.frames import materialize
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, taught by the labels that are not held out, does not reject."""
+    model = quality_model.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.7)
+    return quality_model.accepted(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each class of near copies."""
+    classes = near_copies.near_copies(docs, similarity=0.8)
+    return docs.join(classes.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes of 50-byte strings that a document of smaller doc_id has."""
+    left = suffixes.kept_texts(docs, length=50).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
+    text = F.coalesce("_kept", "text")
+    out = docs.join(left, F.col("doc_id") == F.col("_id"), "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows of each document as the mix takes copies of it."""
+    copies = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
+    taken = docs.join(copies, F.col("doc_id") == F.col("_id"))
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in which sequence of at most 1024 tokens."""
+    return packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixture", mixture), ("pack", pack)]
+#: The classifier, the sampler and the tokenizer have no SQL form; the tests hold stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

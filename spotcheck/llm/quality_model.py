@@ -165,39 +165,60 @@ def calibrate(told: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float((low + high) / 2), 2.0 / spread
 
 
+def _scores(batch: pa.RecordBatch, m: dict) -> np.ndarray:
+    """The score of each text: a logistic curve of the margin that meets the threshold where the classes part best."""
+    out = [np.zeros(0)]
+    for _, _, data, offsets in chunks(batch, "text"):
+        out.append(margins(*features(data, offsets), m["weights"], m["ratio"], m["bias"], m["damp"]))
+    lift = np.clip(m["slope"] * (np.concatenate(out) - m["centre"]), -30, 30) + np.log(m["threshold"] / (1 - m["threshold"]))
+    return 1 / (1 + np.exp(-lift))
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score and predicted of each whole text, in one pass without a shuffle.
 
-    The score is a logistic curve of the margin that meets the threshold where the classes
-    part best.  Empty and null texts score by the bias alone.
+    Empty and null texts score by the bias alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**BITS weights
-    threshold = model["threshold"]
 
     def tell(batches):
-        m = shared.value
         for batch in batches:
-            out = [np.zeros(0)]
-            for _, _, data, offsets in chunks(batch, "text"):
-                out.append(margins(*features(data, offsets), m["weights"], m["ratio"], m["bias"], m["damp"]))
-            lift = np.clip(m["slope"] * (np.concatenate(out) - m["centre"]), -30, 30) + np.log(threshold / (1 - threshold))
-            value = 1 / (1 + np.exp(-lift))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            value = _scores(batch, shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= shared.value["threshold"]).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(tell, "doc_id long, score double, predicted int")
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """Score every document with a model learned from the labels that are not held out.
+def accepted(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows, with all their columns, whose score reaches the threshold; one pass, no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch, shared.value) >= shared.value["threshold"]))
+
+    return docs.mapInArrow(keep, docs.schema)
 
-    Labels enter the fit only; language, source and id never enter a score.  Null labels and
-    ids teach nothing, null texts are empty, repeated rows give a row each, an empty table
-    gives an empty one, and further columns are left out.
+
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> dict:
+    """A model from the labels, other than the held out ones, of documents in ``docs``.
+
+    At most ``max_labelled`` labels are used, those of smallest id hash.  Null labels and ids
+    teach nothing; of differing labels of one document the larger counts.
     """
     taught = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).alias("label"))
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the bounded choice is made on ids, before any text is moved
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    model = fit(texts.join(F.broadcast(chosen), "doc_id"), max_labelled, threshold=threshold)
-    return score(docs, model)
+    return fit(texts.join(F.broadcast(chosen), "doc_id"), max_labelled, threshold=threshold)
+
+
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Score every document with a model learned from the labels that are not held out.
+
+    Labels enter the fit only; language, source and id never enter a score.  Null texts are
+    empty, repeated rows give a row each, an empty table gives an empty one, and further
+    columns are left out.
+    """
+    return score(docs, learn(docs, labels, label, threshold, max_labelled))
