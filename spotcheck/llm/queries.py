@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import mixing, neighbours, quality_rules as rules, sharding, suffixes
+from spotcheck.llm import mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes
 from spotcheck.llm.near_copies import near_copies
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
@@ -45,6 +45,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), limit=2048)
 
 
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), weights=(3, 1, 2), share=1.5, most=2)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_minimax_sharding,
         op3_weighted_minhash_dedup,
         op4_token_counts,
+        op5_quotation_linking,
         op6_entropy_mixing,
         op7_best_fit_packing,
         op8_quality_classifier,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op2_minimax_sharding": sharding.SQL,
+    "op5_quotation_linking": quotations.SQL,
     "op9_adaptive_quality_rules": rules.SQL,
     "op10_suffix_array_dedup": suffixes.SQL,
 }
