@@ -108,7 +108,7 @@ def settle(plan: DataFrame, most: int = 2, rounds: int = 4) -> DataFrame:
     return plan
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, salt_rows: int = 20000) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, salt_rows: int = 2000) -> DataFrame:
     """How many words of each document the mix takes: 0 to ``most`` whole copies of it.
 
     A document's size is its words ``[^\\x20\\x09-\\x0D]+`` (null text: none).  Rates depend
