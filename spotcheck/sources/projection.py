@@ -68,7 +68,7 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.selectExpr(
         "l_orderkey % 3 as account_id", "s_name as advertiser", "p_name as product", "p_brand as advt_theme", "n_name as channel", "p_type as program",
         "cast(l_shipdate as date) as ad_date", "cast(l_linenumber as int) as ad_position", "total_ads", "p_size as duration",
-        "(l_partkey * 37 + l_orderkey) % 86400 as air_secs", "cast(l_extendedprice as decimal(16,2)) as cost", "year(l_shipdate) as batch",
+        "(l_partkey * 37 + l_orderkey) % 86400 as air_secs", "cast(l_extendedprice as decimal(16,2)) as cost", "cast(year(l_shipdate) as bigint) as batch",
     )
 
 
