@@ -88,7 +88,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     replies = materialize(replies.withColumns({"parent": F.coalesce("origin", "prev"), "link": F.expr("case when origin is not null then 'quote' when prev is not null then 'previous' else 'first' end")}))
 
     first = replies.filter("parent is not null").groupBy("parent").agg(F.min("msg").alias("heir"))
-    chain = replies.select("msg", "parent").join(first, "parent", "left")
+    # messages without a parent get a key of their own, else all meet in one task
+    alone = F.coalesce("parent", -1 - F.col("msg"))
+    chain = replies.select("msg", "parent", alone.alias("_k")).join(first.withColumnRenamed("parent", "_k"), "_k", "left")
     heir = F.coalesce(F.col("heir") == F.col("msg"), F.lit(False))
     # top: where the steps so far lead; up: the same while they may go on
     chain = materialize(chain.select("msg", F.when(heir, F.col("parent")).alias("up"), F.when(heir, F.col("parent")).otherwise(F.col("msg")).alias("top"), heir.cast("long").alias("hops")))
@@ -99,7 +101,7 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     thread = chain.select(F.col("msg").alias("_m"), F.col("top").alias("_top"), F.col("hops").alias("position"))
     out = replies.join(thread, F.col("msg") == F.col("_m"))
     names = replies.select(F.col("msg").alias("_n"), F.col("turn").alias("_turn"))
-    out = out.join(names.select(F.col("_n").alias("_pn"), F.col("_turn").alias("reply_to")), F.col("parent") == F.col("_pn"), "left")
+    out = out.join(names.select(F.col("_n").alias("_pn"), F.col("_turn").alias("reply_to")), alone == F.col("_pn"), "left")
     out = out.join(names.select(F.col("_n").alias("_tn"), F.col("_turn").alias("thread")), F.col("_top") == F.col("_tn"))
     return out.select("conv_id", "turn", "role", "reply_to", "link", "thread", "position", F.coalesce("quote_depth", F.lit(0)).alias("quote_depth"), F.col("quoted_lines"), F.coalesce("matched_words", F.lit(0)).cast("long").alias("matched_words"), "body")
 
