@@ -6,6 +6,8 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from spotcheck.functions.scalars import normalize, pipe_list
 
@@ -45,13 +47,13 @@ def with_themes(spots: DataFrame, themes: DataFrame) -> DataFrame:
     return s.join(themes, ["account_id", "brand_key"]).filter(F.col("map_duration").isNull() | (F.col("map_duration") == F.col("duration")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two texts as matching blocks give it; for distinct pairs only."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The same after the words of each are put in order."""
     key = lambda x: " ".join(sorted((x or "").lower().split()))
@@ -68,7 +70,5 @@ def look_alikes(names: DataFrame, known: DataFrame, name: str, other: str, least
     b = known.select(normalize(F.col(other)).alias(other)).filter(F.length(other) > 0).distinct()
     pairs = a.withColumn("_g", grams(F.col(name))).join(b.withColumn("_g", grams(F.col(other))), "_g").select(name, other).distinct()
     scored = pairs.withColumn("ratio", sequence_ratio(F.col(name), F.col(other))).filter(F.col("ratio") > least)
-    from pyspark.sql.window import Window
-
     place = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("ratio"), other))
     return scored.withColumn("place", place).filter(F.col("place") <= top)
