@@ -109,21 +109,20 @@ def margins(index: np.ndarray, counts: np.ndarray, weights: np.ndarray, ratio: n
     return np.bincount(owner, weights[index], n) / length + bias
 
 
-def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, folds: int = FOLDS, threshold: float = 0.7) -> dict:
-    """A model from rows of ``doc_id``, ``text`` and ``label`` (0 or 1).
+def fit(labelled: DataFrame, folds: int = FOLDS, threshold: float = 0.7) -> dict:
+    """A model from a bounded number of rows of ``doc_id``, ``text`` and ``label`` (0 or 1).
 
-    At most ``max_labelled`` rows, those of smallest id hash, are used.  They are dealt into
-    ``folds``; each task fits one fold and also tells the margins of the next one, which
+    The rows are dealt into ``folds``; each task fits one fold and also tells the margins of the next one, which
     calibrate the score; the models are averaged.  What comes back is bounded: ``folds``
     models of 2**BITS weights.  With one class only, the score is that class's.
     """
-    chosen = labelled.select("doc_id", "text", F.col("label").cast("int"), F.xxhash64("doc_id").alias("_order")).orderBy("_order", "doc_id", "text").limit(max_labelled)
-    dealt = chosen.withColumn("_fold", F.pmod(F.col("_order"), F.lit(folds)))
+    rows = labelled.select("doc_id", "text", F.col("label").cast("int"), F.xxhash64("doc_id").alias("_order"))
+    dealt = rows.withColumn("_fold", F.pmod(F.col("_order"), F.lit(folds)))
     # each row goes to its own fold, and to the one before as a row to tell margins for
     both = dealt.withColumn("_to", F.explode(F.array("_fold", F.pmod(F.col("_fold") - 1, F.lit(folds)))))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_order", "doc_id"])
+        group = group.sort_values(["_order", "doc_id", "text"])
         parts = []
         for own in (True, False):
             g = group[(group["_fold"] == group["_to"]) == own]
@@ -211,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold:
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # the bounded choice is made on ids, before any text is moved
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return fit(texts.join(F.broadcast(chosen), "doc_id"), max_labelled, threshold=threshold)
+    return fit(texts.join(F.broadcast(chosen), "doc_id"), threshold=threshold)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> DataFrame:
