@@ -45,7 +45,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, CHUNK_BYTES + 4096), base, np.uint64)]), dtype=np.uint64)
+            have = np.cumprod(np.concatenate([[np.uint64(1)], np.full(1 << max(18, int(n).bit_length()), base, np.uint64)]), dtype=np.uint64)
         _powers[name] = have
     return have
 
