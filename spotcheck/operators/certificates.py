@@ -94,15 +94,15 @@ def time_belt(certs: DataFrame, spots: DataFrame) -> DataFrame:
 def standalone(certs: DataFrame, logs: DataFrame, mappings: DataFrame, theme_map: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
     """Certificates on logs by a map of themes where it has an entry (exact duration first), else as ``confirm``.
 
-    theme_map: account_id, tc_theme, tc_duration, lmrb_theme, lmrb_duration; it may cross
+    theme_map: account_id, tc_theme, tc_duration, log_theme, log_duration; it may cross
     durations and its log rows need only share the day and the time.
     """
-    exact = theme_map.filter("tc_duration is not null").select("account_id", "tc_theme", F.col("tc_duration").alias("duration"), F.struct("lmrb_theme", "lmrb_duration").alias("m1"))
-    loose = theme_map.filter("tc_duration is null").select("account_id", "tc_theme", F.struct("lmrb_theme", "lmrb_duration").alias("m2"))
+    exact = theme_map.filter("tc_duration is not null").select("account_id", "tc_theme", F.col("tc_duration").alias("duration"), F.struct("log_theme", "log_duration").alias("m1"))
+    loose = theme_map.filter("tc_duration is null").select("account_id", "tc_theme", F.struct("log_theme", "log_duration").alias("m2"))
     c = certs.join(exact, ["account_id", "tc_theme", "duration"], "left").join(loose, ["account_id", "tc_theme"], "left").withColumn("m", F.coalesce("m1", "m2"))
     mapped = c.filter("m is not null")
     width = tolerance + 1
-    m = mapped.select("cert_id", "account_id", "cert_date", F.col("air_secs").alias("cert_secs"), F.col("m.lmrb_theme").alias("advt_theme"), F.coalesce("m.lmrb_duration", "duration").alias("duration"))
+    m = mapped.select("cert_id", "account_id", "cert_date", F.col("air_secs").alias("cert_secs"), F.col("m.log_theme").alias("advt_theme"), F.coalesce("m.log_duration", "duration").alias("duration"))
     m = m.withColumn("block", F.explode(F.array(*[F.floor((F.col("cert_secs") + d) / width) for d in (-width, 0, width)])))
     r = logs.select("log_id", "account_id", F.col("log_date").alias("cert_date"), "air_secs", "duration", "advt_theme").withColumn("block", F.floor(F.col("air_secs") / width))
     pairs = m.join(r, ["account_id", "cert_date", "advt_theme", "duration", "block"]).withColumn("gap", F.abs(F.col("air_secs") - F.col("cert_secs"))).filter(F.col("gap") <= tolerance)

@@ -88,7 +88,7 @@ def cert_time_belt(spark, sf_dir):
 def cert_log_standalone(spark, sf_dir):
     """With a theme map for theme 13, which no brand has."""
     k = certs(spark, sf_dir)
-    theme_map = k.filter("tc_theme = 'tc theme 13'").select("account_id", "tc_theme", F.lit(None).cast("int").alias("tc_duration"), F.lit("theme 13").alias("lmrb_theme"), F.lit(None).cast("int").alias("lmrb_duration")).distinct()
+    theme_map = k.filter("tc_theme = 'tc theme 13'").select("account_id", "tc_theme", F.lit(None).cast("int").alias("tc_duration"), F.lit("theme 13").alias("log_theme"), F.lit(None).cast("int").alias("log_duration")).distinct()
     return c.standalone(k, logs(spark, sf_dir), mappings(spark, sf_dir), theme_map).select("cert_id", "log_id", "by_map")
 
 

@@ -79,14 +79,14 @@ def channel_split(spark, sf_dir):
     return ingest.split_channels(logs(spark, sf_dir).withColumn("batch", F.col("log_id") % 7), "batch", "channel", "log_date")
 
 
-@query("""SELECT 'maponline' AS _source, cert_id AS id, cert_date AS "Date", tc_theme AS "Advt_Theme", CAST(duration AS INTEGER) AS "Dur" FROM certs
-  UNION ALL SELECT 'mediawatch', log_id, CASE WHEN log_id % 20 = 1 THEN NULL ELSE log_date END, advt_theme, duration FROM logs""")
+@query("""SELECT 'preliminary' AS _source, cert_id AS id, cert_date AS "Date", tc_theme AS "Advt_Theme", CAST(duration AS INTEGER) AS "Dur" FROM certs
+  UNION ALL SELECT 'authoritative', log_id, CASE WHEN log_id % 20 = 1 THEN NULL ELSE log_date END, advt_theme, duration FROM logs""")
 def feed_union(spark, sf_dir):
     """A preliminary and an authoritative feed in their own column names; bad dates are null."""
     a = certs(spark, sf_dir).select(F.col("cert_id").alias("id"), F.col("cert_date").cast("string").alias("Prg Date"), F.col("tc_theme").alias("Theme"), F.col("duration").alias("Ad Dur"))
     month = F.when(F.col("log_id") % 20 == 1, 13).otherwise(F.month("log_date"))
     b = logs(spark, sf_dir).select(F.col("log_id").alias("id"), F.dayofmonth("log_date").alias("Dd"), month.alias("Mn"), F.year("log_date").alias("Yr"), F.col("advt_theme").alias("Advt_Theme"), F.col("duration").alias("Dur"))
-    return ingest.pool({"maponline": a, "mediawatch": b}).select("_source", "id", "Date", "Advt_Theme", "Dur")
+    return ingest.pool({"preliminary": a, "authoritative": b}).select("_source", "id", "Date", "Advt_Theme", "Dur")
 
 
 HEADERS = """headers AS (SELECT o_orderkey AS schedule_id, o_custkey % 5 AS account_id, o_orderstatus AS channel, strftime(o_orderdate, '%Y-%m') AS month, o_orderpriority AS schedule_number,

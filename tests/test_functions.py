@@ -24,8 +24,8 @@ def test_times(spark):
 
 def test_text(spark):
     assert values(spark, [" A\tb \n", None], s.normalize) == ["a\tb", ""]
-    assert values(spark, ["TV - Sirasa TV", "radio -X", "Plain"], s.clean_channel) == ["sirasa tv", "x", "plain"]
-    assert values(spark, ["TV - Sirasa TV", "Plain"], s.media_type) == ["tv", "other"]
+    assert values(spark, ["TV - Channel One", "radio -X", "Plain"], s.clean_channel) == ["channel one", "x", "plain"]
+    assert values(spark, ["TV - Channel One", "Plain"], s.media_type) == ["tv", "other"]
     assert values(spark, ["a| b ||c", None], s.pipe_list) == [["a", "b", "c"], []]
     assert values(spark, ["LKR 1,250.50", "none"], s.money_text) == [Decimal("1250.50"), None]
     assert values(spark, [1_240_000.0, 45_000.0, 12.0], s.compact_number, kind="double") == ["1.2M", "45.0K", "12"]

@@ -16,10 +16,10 @@ MAP = "account_id long, brand string, theme string, tc_theme string, duration in
 
 
 def spot(i, start=72000, end=75600, day=DAY, brand="Brand A", number="101", dur=30, programme="Test Show"):
-    return (i, 1, "Sirasa TV", day, start, end, dur, brand, programme, "COMMERCIAL BENEFITS", number)
+    return (i, 1, "Channel One", day, start, end, dur, brand, programme, "COMMERCIAL BENEFITS", number)
 
 
-def log(i, at=73800, day=DAY, theme="Theme A", dur=30, program="other", channel="Sirasa TV"):
+def log(i, at=73800, day=DAY, theme="Theme A", dur=30, program="other", channel="Channel One"):
     return (i, 1, channel, day, at, dur, theme, program)
 
 
@@ -47,7 +47,7 @@ def test_schedule_order_and_single_use(spark):
 
 
 def test_midnight_wildcard_prefix_and_product(spark):
-    got = run(spark, [spot(1, 79200, 0)], [log(11, 86000, theme="theme a long", channel="TV - SIRASA TV")], [(1, " brand a", "THEME A*", "", None, "")])
+    got = run(spark, [spot(1, 79200, 0)], [log(11, 86000, theme="theme a long", channel="TV - CHANNEL ONE")], [(1, " brand a", "THEME A*", "", None, "")])
     assert got[1] == ("matched", 11)
     assert run(spark, [spot(1)], [log(11)], [(1, "Brand A", "Theme A", "", 15, "")])[1] == ("not_aired", None)
 
@@ -58,7 +58,7 @@ def test_smart_manual_claims_and_cap(spark):
     assert run(spark, spots, logs, done=ids([(1,)], "spot_id"))[2] == ("matched", 11)
     assert run(spark, spots, logs, claimed=ids([(11,)], "log_id"))[1] == ("matched", 12)
     assert run(spark, spots, logs, manual=ids([(2, 11)], "spot_id", "log_id"))[2] == ("matched", 11)
-    cap = spark.createDataFrame([(1, "Sirasa TV", dt.date(2025, 1, 17))], "account_id long, channel string, last_date date")
+    cap = spark.createDataFrame([(1, "Channel One", dt.date(2025, 1, 17))], "account_id long, channel string, last_date date")
     assert run(spark, spots, logs, cap=cap)[3] == ("pending", None)
 
 
