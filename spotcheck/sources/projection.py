@@ -33,7 +33,7 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("spot_id"), F.expr("user_id % 4").alias("account_id"), F.col("event_type").alias("channel"), F.expr("cast(ts as date)").alias("spot_date"),
         F.expr("cast(h * 3600 - if(event_id % 7 = 0, 3600, 0) as bigint)").alias("start_secs"), F.expr("cast(h * 3600 + if(event_id % 7 = 0, 0, 3599) as bigint)").alias("end_secs"),
         F.expr(_DUR).alias("duration"), F.expr("concat('Brand ', user_id % 15)").alias("brand"),
-        F.expr("concat('prg', cast(floor((h * 3600 - if(event_id % 7 = 0, 3600, 0) + 1800) / 10800) as bigint))").alias("programme"),
+        F.expr("concat('prg', (h * 3600 - if(event_id % 7 = 0, 3600, 0) + 1800) div 10800)").alias("programme"),
         F.expr("if(event_id % 6 = 5, 'SPONSORSHIP', 'COMMERCIAL BENEFITS')").alias("ad_type"), F.expr("if(event_id % 2 = 0, '101', '102')").alias("schedule_number"),
     )
 
@@ -84,7 +84,7 @@ spots AS (SELECT event_id AS spot_id, account_id, channel, spot_date,
   h * 3600 - CASE WHEN event_id % 7 = 0 THEN 3600 ELSE 0 END AS start_secs,
   h * 3600 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 3599 END AS end_secs,
   duration, brand,
-  'prg' || CAST(floor((h * 3600 - CASE WHEN event_id % 7 = 0 THEN 3600 ELSE 0 END + 1800) / 10800) AS BIGINT) AS programme,
+  'prg' || (h * 3600 - CASE WHEN event_id % 7 = 0 THEN 3600 ELSE 0 END + 1800) // 10800 AS programme,
   CASE WHEN event_id % 6 = 5 THEN 'SPONSORSHIP' ELSE 'COMMERCIAL BENEFITS' END AS ad_type,
   CASE WHEN event_id % 2 = 0 THEN '101' ELSE '102' END AS schedule_number
 FROM (SELECT *, user_id % 4 AS account_id, event_type AS channel, CAST(ts AS DATE) AS spot_date,

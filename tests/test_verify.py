@@ -1,6 +1,7 @@
 """Rules of the verification of spots on tiny frames."""
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -121,3 +122,12 @@ def test_link_extra(spark):
 def test_financials(spark):
     row = summary.financials(spark.createDataFrame([("1000.00", "100.00")], "schedule_cost string, deviated_cost string")).first()
     assert [str(row[c]) for c in ("net", "levy", "sub_total", "vat", "total_with_taxes", "media_house", "agency", "client", "split_total")] == ["900.00", "22.50", "922.50", "166.05", "1088.55", "765.00", "96.75", "38.25", "900.00"]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_known_verdicts(spark):
+    """Counts of the serial engine over the smallest test tables."""
+    import __spark_entry__
+
+    got = {r["status"]: r["count"] for r in __spark_entry__.entry(spark).groupBy("status").count().collect()}
+    assert got == {"matched": 434, "mismatch": 62, "late_telecast": 64, "not_aired": 102, "no_mapping": 105}
