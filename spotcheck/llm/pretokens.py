@@ -154,7 +154,7 @@ class Encoder:
     pre-tokens that are remembered at once; beyond it the memory starts anew.
     """
 
-    def __init__(self, path: str, spaces: bool, whole: dict[str, int] | None = None, room: int = 1 << 21):
+    def __init__(self, path: str, spaces: bool, whole: dict[str, int] | None = None, room: int = 1 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -164,9 +164,8 @@ class Encoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.table = HashTable(max(self.room, 2 * len(self.whole)).bit_length() + 1)
-        self.ids: list[np.ndarray] = []
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = HashTable(max(self.room, 2 * len(self.whole)).bit_length())
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
         if self.whole:
             strings = [s.encode() for s in self.whole]
             ends = np.cumsum([len(s) for s in strings])
@@ -176,8 +175,8 @@ class Encoder:
 
     def _learn(self, h: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
         self.table.add(h, np.arange(len(self.size), len(self.size) + len(h), dtype=np.int32))
-        self.first = np.append(self.first, len(self.flat) + np.cumsum(size) - size)
-        self.flat, self.size = np.append(self.flat, flat), np.append(self.size, size)
+        self.first = np.append(self.first, (len(self.flat) + np.cumsum(size) - size).astype(np.int32))
+        self.flat, self.size = np.append(self.flat, flat), np.append(self.size, size.astype(np.int32))
 
     def library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -192,7 +191,7 @@ class Encoder:
             easy = ~hard[text]
             starts, ends, text = starts[easy], ends[easy], text[easy]
         h = slice_hash(prefix_hash(low), starts, ends)
-        if len(self.size) > self.room // 2:
+        if len(self.size) > self.room:
             self._reset()
         at = self.table.find(h)
         new = np.flatnonzero(at < 0)
@@ -200,10 +199,10 @@ class Encoder:
             unseen, one = np.unique(h[new], return_index=True)
             raw, one = low.tobytes(), new[one]
             got = self.library_ids([raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-            if len(self.size) + len(unseen) > self.room:  # one very varied chunk: a larger table for it
-                self.room = 2 * (len(self.size) + len(unseen))
+            if len(self.size) + len(unseen) > 1.5 * self.room:  # one very varied chunk: a larger table for it
+                self.room = len(self.size) + len(unseen)
                 known, slots = self.table.keys[self.table.at >= 0], self.table.at[self.table.at >= 0]
-                self.table = HashTable(self.room.bit_length() + 1)
+                self.table = HashTable(self.room.bit_length())
                 self.table.add(known, slots)
             self._learn(unseen, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got], np.int64))
             at[new] = self.table.find(h[new])
