@@ -39,3 +39,20 @@ def running_totals(df: DataFrame, keys: list[str], totals: dict[str, str], by: l
     out = df.withColumns({n: F.coalesce(F.sum(c).over(inner), F.lit(0)) for n, c in totals.items()})
     out = out.join(sums, ["_part", *by])
     return out.withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in totals}).drop(*[f"_base_{n}" for n in totals])
+
+
+#: Rows of an Arrow batch that holds whole texts.
+TEXT_ROWS = 2000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches take no more than ``TEXT_ROWS`` rows.
+
+    Texts are large rows: with Spark's usual 10,000 a batch and its copies in the executor and
+    its worker take over 100 MB a task.  A smaller limit of the session stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(conf.get(name, "10000"))
+    if now <= 0 or now > TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df

@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotcheck.llm.frames import text_batches
 from spotcheck.llm.textbytes import chunks, mix, prefix_hash, slice_hash, spread, words
 
 BITS = 18
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= shared.value["threshold"]).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(tell, "doc_id long, score double, predicted int")
+    return text_batches(rows).mapInArrow(tell, "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
@@ -197,7 +198,7 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, shared.value) >= shared.value["threshold"]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return text_batches(docs).mapInArrow(keep, docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> dict:

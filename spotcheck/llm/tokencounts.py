@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spotcheck.llm.frames import text_batches
 from spotcheck.llm.pretokens import Encoder, whole_tokens
 from spotcheck.llm.textbytes import chunks
 
@@ -50,4 +51,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(rows).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
