@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from spotcheck.llm import near_copies, neighbours, quality_model, suffixes
+from spotcheck.llm import filters, near_copies, neighbours, quality_model, suffixes
 from spotcheck.llm.components import components
 
 
@@ -115,6 +115,18 @@ def test_crowded_seed_is_split_and_merged(spark, monkeypatch):
     assert got == {i: int(g.sum()) for i, g in gone.items()}
 
 
+def test_copies_that_pass_the_filter_leave_the_first_text(spark, monkeypatch):
+    monkeypatch.setattr(filters, "MAX_BITS", 3)  # eight bits: every document is a hit
+    monkeypatch.setattr(filters, "SLICE_BITS", 3)
+    rng = np.random.default_rng(9)
+    texts = ["".join(rng.choice(list("abcdefgh "), 120)) for _ in range(6)]
+    rows = [(i + 10 * k, t) for k in range(4) for i, t in enumerate(texts)]
+    rows += [(50, texts[0]), (50, "another text of this document, which no other document has at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_text"] is None) for r in suffixes.kept_texts(df).collect())
+    assert got == sorted((i, len(t), 0 if i < 10 or t not in texts else len(t), i < 10 or t not in texts) for i, t in rows)
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(4)
     for top in (2, 3, 20):
