@@ -10,6 +10,7 @@ from spotcheck.plans.catalog import query
 from spotcheck.plans.verification import THEMES, VERDICTS, commercial, verdicts
 from spotcheck.plans.walk import walk
 from spotcheck.sources.projection import certs, logs, mappings, spots
+from spotcheck.sources.staging import materialize
 
 TC = """tc AS (SELECT DISTINCT m.account_id, m.brand, x.tc_theme, t.advt_theme FROM (SELECT *, unnest(string_split(tc_theme, '|')) AS one FROM mappings) AS m
   JOIN (SELECT DISTINCT account_id, tc_theme FROM certs) AS x ON x.account_id = m.account_id AND x.tc_theme = m.one
@@ -77,6 +78,19 @@ def cert_time_belt(spark, sf_dir):
     return c.time_belt(k, p).select("cert_id", "spot_id")
 
 
+@query()
+def cert_time_belt_fallback(spark, sf_dir):
+    """All confirmed certificates without a spot of their brand on all spots that the earlier steps leave, by the log's time."""
+    k, p, m = certs(spark, sf_dir), spots(spark, sf_dir), mappings(spark, sf_dir)
+    have = materialize(confirmed(spark, sf_dir).select("cert_id", F.col("air_secs").alias("log_secs")))
+    on = materialize(c.to_schedule(k.join(have, "cert_id", "left_semi"), p, m).select("cert_id", "spot_id"))
+    p = p.join(on, "spot_id", "left_anti")
+    loose = c.unconfirmed_to_schedule(c.extras(k, have), p, m)
+    p = p.join(loose.select("spot_id"), "spot_id", "left_anti")
+    k = k.join(have, "cert_id").withColumn("air_secs", F.coalesce("log_secs", "air_secs")).drop("log_secs")
+    return c.time_belt(c.extras(k, on), p).select("cert_id", "spot_id")
+
+
 @query("SELECT cert_id, log_id, true AS by_map FROM by_map UNION ALL SELECT cert_id, log_id, false FROM rest", THEMES + ", " + TC + ", " + walk("by_map", """SELECT k.cert_id, r.log_id, k.account_id, k.cert_date,
     k.air_secs AS cert_secs, abs(r.air_secs - k.air_secs) AS gap, r.air_secs FROM certs AS k JOIN logs AS r ON r.account_id = k.account_id AND r.log_date = k.cert_date AND r.duration = k.duration
     AND r.advt_theme = 'theme 13' AND abs(r.air_secs - k.air_secs) <= 5 WHERE k.tc_theme = 'tc theme 13'""",
