@@ -61,14 +61,26 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def look_alikes(names: DataFrame, known: DataFrame, name: str, other: str, least: float, top: int = 5) -> DataFrame:
-    """For each distinct name, the most similar known names above ``least``.
+    """For each distinct name, the most similar known names above ``least`` (0 or more).
 
-    Candidates share a run of three letters, so no pair is made that has none in common.
+    The ratio is at most 2 * (common letters) / (both lengths), so a pair above ``least`` has
+    a length and a number of common letters that each name alone bounds from below.  With the
+    letters of all names (a repeated letter counted up) in one order, such a pair shares one
+    among the first of each: the block.  No pair above ``least`` is left out.
     """
-    grams = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+    size = F.size("_l")
+    need = F.floor(least * (size + F.floor(size * least / (2 - least)) + 1) / 2 - 1e-6) + 1  # common letters with the shortest possible partner
+    letters = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, F.lit(1)))
+    numbered = lambda c: F.sort_array(F.transform(letters(c), lambda x, i: F.concat(F.lpad(F.size(F.filter(F.slice(letters(c), F.lit(1), i), lambda y: y == x)).cast("string"), 6, "0"), x)), asc=False)
+
+    def blocks(df: DataFrame, c: str, own: str) -> DataFrame:
+        df = df.withColumn("_l", numbered(F.col(c)))
+        return df.select(c, F.col("_l").alias(own), F.explode(F.slice("_l", F.lit(1), F.greatest(size - need + 1, F.lit(1)).cast("int"))).alias("_g"))
+
     a = names.select(normalize(F.col(name)).alias(name)).filter(F.length(name) > 0).distinct()
     b = known.select(normalize(F.col(other)).alias(other)).filter(F.length(other) > 0).distinct()
-    pairs = a.withColumn("_g", grams(F.col(name))).join(b.withColumn("_g", grams(F.col(other))), "_g").select(name, other).distinct()
+    near = 2.0 * F.size(F.array_intersect("_x", "_y")) / (F.size("_x") + F.size("_y")) > least
+    pairs = blocks(a, name, "_x").join(blocks(b, other, "_y"), "_g").filter(near).select(name, other).distinct()
     scored = pairs.withColumn("ratio", sequence_ratio(F.col(name), F.col(other))).filter(F.col("ratio") > least)
     place = F.row_number().over(Window.partitionBy(name).orderBy(F.desc("ratio"), other))
     return scored.withColumn("place", place).filter(F.col("place") <= top)

@@ -118,3 +118,16 @@ def test_near_pairs_stream(spark, tmp_path):
     out = jobs.near_pairs(read("c", certs), read("l", logs))
     out.writeStream.option("checkpointLocation", str(tmp_path / "s")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "o")).awaitTermination()
     assert [r["log_id"] for r in spark.read.schema(out.schema).parquet(str(tmp_path / "o")).collect()] == [11]
+
+
+def test_look_alikes_of_short_names(spark):
+    import difflib
+    import random
+
+    rng = random.Random(1)
+    some = lambda n: sorted({"".join(rng.choice("abé1 x") for _ in range(rng.randrange(1, 9))).strip() for _ in range(n)} - {""})
+    a, b = [*some(60), "tv5", "ab1cd", "ab"], [*some(60), "tv6", "ab2cd", "abc"]
+    frame = lambda rows, name: spark.createDataFrame([(x,) for x in rows], f"{name} string")
+    for least in (0.0, 0.55, 0.8):
+        got = {(r["n"], r["k"]) for r in mapping.look_alikes(frame(a, "n"), frame(b, "k"), "n", "k", least, top=1000).collect()}
+        assert got == {(x, y) for x in a for y in b if difflib.SequenceMatcher(None, x, y).ratio() > least}
