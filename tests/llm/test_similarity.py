@@ -57,6 +57,19 @@ def test_near_copies(spark, rows, docs, nothing):
     assert near_copies.near_copies(docs.union(docs)).count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("hot", [1 << 18, 1])
+def test_weights_are_of_shingles(spark, monkeypatch, hot):
+    monkeypatch.setattr(near_copies, "FEATURE_BITS", 6, raising=False)  # a table of hashed features would be full
+    monkeypatch.setattr(near_copies, "FEATURE_CHUNK", 4, raising=False)
+    monkeypatch.setattr(near_copies, "feature", lambda code: (code >> np.uint64(58)).astype(np.int64), raising=False)
+    monkeypatch.setattr(near_copies, "HOT", hot, raising=False)
+    common = " ".join(f"w{i}" for i in range(94))
+    rows = [(i, common + "".join(f" d{i}x{j}" for j in range(7))) for i in range(60)]  # 90 shingles of all, 7 of each alone
+    df = spark.createDataFrame([*rows, (90, rows[0][1])], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(df).collect()}
+    assert got == {i: i for i in range(60)} | {90: 0}  # 0.76 by true counts, 0.86 by a full table
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     code = np.sort(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
