@@ -8,6 +8,7 @@ which gives a document a row for each of its copies.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from spotcheck.llm import mixing, near_copies, packing, quality_model, queries, suffixes
 from spotcheck.llm.frames import materialize
@@ -20,24 +21,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each class of near copies."""
-    classes = near_copies.near_copies(docs, similarity=0.8)
-    return docs.join(classes.filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
+    """One row of each class of near copies: of the document of the smallest doc_id.
+
+    A document without a doc_id is named by its text, so it stays if no other is like it;
+    such names come after usual ids.
+    """
+    name = F.expr("coalesce(doc_id, (xxhash64(text) & 4611686018427387903) | 4611686018427387904)")
+    classes = near_copies.near_copies(docs.withColumn("doc_id", name), similarity=0.8)
+    firsts = classes.filter("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.withColumn("_id", name).join(firsts, "_id", "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"]).select(docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 50-byte strings that a document of smaller doc_id has."""
-    left = suffixes.kept_texts(docs, length=50).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("kept_text").alias("_kept"))
+    left = suffixes.kept_texts(docs, length=50).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("sha256").alias("_sha"), F.col("kept_text").alias("_kept"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("_sha"))  # a row meets the result for its own text
     text = F.coalesce("_kept", "text")
-    out = docs.join(left, F.col("doc_id") == F.col("_id"), "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    out = docs.join(left.dropDuplicates(["_id", "_sha"]), same, "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies of it."""
-    copies = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    taken = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    key = ["_id", "_source", "_size"]
+    mixed = mixing.mix(docs, weights=(3, 1, 2), share=1.5, most=2, with_source=True)
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_sum"), F.count("*").alias("_rows")).filter("_sum > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (mixing.word_count(F.col("text")) == F.col("_size"))
+    # rows alike in all three share their copies: no row gets those of another twice
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text")))
+    taken = docs.join(copies, same).withColumn("_turn", turn)
+    own = F.floor(F.col("_sum") / F.col("_rows")) + F.when(F.col("_turn") <= F.col("_sum") % F.col("_rows"), 1).otherwise(0)
+    return taken.withColumn("_n", own).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

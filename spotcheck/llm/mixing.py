@@ -108,7 +108,11 @@ def settle(plan: DataFrame, most: int = 2, rounds: int = 4) -> DataFrame:
     return plan
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, salt_rows: int = 2000) -> DataFrame:
+def word_count(text: Column) -> Column:
+    return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, salt_rows: int = 2000, with_source: bool = False) -> DataFrame:
     """How many words of each document the mix takes: 0 to ``most`` whole copies of it.
 
     A document's size is its words ``[^\\x20\\x09-\\x0D]+`` (null text: none).  Rates depend
@@ -119,9 +123,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 
     Null sources are a source of their own, the last.  Repeated rows share one place in turn
     (each row is a document); empty texts take nothing; an empty table gives an empty one;
-    further columns are left out.
+    further columns are left out; with_source adds the row's source.
     """
-    words = F.size(F.array_remove(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+    words = word_count(F.col("text"))
     rows = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), words.alias("size"), F.xxhash64("doc_id", F.lit(6)).alias("_h")))
     classes = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     sizes = classes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("source_n"))
@@ -143,4 +147,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     ranked = joined.withColumn("_rank", inner).join(counts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("_part_no") == F.col("_p")))
     whole, odd = F.floor(F.col("copies") / F.col("n")), F.col("copies") % F.col("n")
     own = whole + F.when(F.col("_rank") + F.col("_base") < odd, 1).otherwise(0)
-    return ranked.select("doc_id", "size", "source_size", "target", (own * F.col("size")).cast("long").alias("taken"), own.cast("int").alias("copies"))
+    return ranked.select("doc_id", "size", "source_size", "target", (own * F.col("size")).cast("long").alias("taken"), own.cast("int").alias("copies"), *["source"] * with_source)

@@ -200,3 +200,25 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(packed["doc_id"]) <= set(c)
     assert (packed.groupby("sequence_id")["length"].sum() <= 1024).all()
+
+
+def test_stages_keep_documents_without_id_and_rows_once(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(12)
+    pick = lambda n: " ".join(rng.choice([a + b for a in ("ka", "lo", "mi", "nu") for b in ("ra", "den", "pol", "s")], n))
+    texts = [pick(60) for _ in range(12)]
+    shared = pick(20)
+    rows = [(i, t) for i, t in enumerate(texts[:8])] + [(None, texts[8]), (None, texts[8]), (None, texts[9]), (None, texts[0])]
+    rows += [(20, shared + " " + pick(30))] + [(21, shared + " " + texts[10])] * 4 + [(22, texts[11])] * 5
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    assert seen(stage["near_dedup"](spark, docs, "")) == sorted(set(rows) - {(None, texts[0])}, key=repr)
+    cut = seen(stage["suffix_dedup"](spark, docs, ""))
+    assert len(cut) == len(rows)
+    assert sum(shared in t for i, t in cut if i == 21) == 0 and sum(i == 21 for i, _ in cut) == 4
+    taken = seen(stage["mixture"](spark, docs, ""))
+    words = sum(len(t.split()) for _, t in rows)
+    assert abs(sum(len(t.split()) for _, t in taken) - 1.5 * words) <= 60
+    assert all(taken.count(r) <= 2 * rows.count(r) for r in taken) and any(i is None for i, _ in taken)
