@@ -41,6 +41,25 @@ def running_totals(df: DataFrame, keys: list[str], totals: dict[str, str], by: l
     return out.withColumns({n: F.col(n) + F.col(f"_base_{n}") for n in totals}).drop(*[f"_base_{n}" for n in totals])
 
 
+#: Groups of more than this share of all rows are joined by broadcast; there are fewer of them than its inverse.
+LARGE_GROUP = 1 / 4096
+
+
+def join_by_group(rows: DataFrame, groups: DataFrame, *keys: str, count: str = "rows") -> DataFrame:
+    """``rows`` with the columns of their group, of which ``groups`` has one row with its number of rows in ``count``.
+
+    Rows of large groups meet them by broadcast and are not shuffled; the number of large
+    groups has a fixed bound whatever the data, and every other group is small in its task.
+    ``rows`` is read twice, so it should be a written table; ``count`` is dropped.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) > F.lit(max(1.0, total * LARGE_GROUP))
+    heavy = F.broadcast(groups.filter(large).drop(count))
+    few = rows.join(heavy, [*keys])
+    rest = rows.join(heavy.select(*keys), [*keys], "left_anti").join(groups.filter(~large).drop(count), [*keys])
+    return few.unionByName(rest)
+
+
 #: Rows of an Arrow batch that holds whole texts.
 TEXT_ROWS = 2000
 

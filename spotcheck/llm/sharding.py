@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm.frames import materialize, ordered, running_totals
+from spotcheck.llm.frames import join_by_group, materialize, ordered, running_totals
+
+#: Gaps asked about in one round, and cells of the grid by which they meet the groups.
+GAPS, CELLS = 512, 4096
 
 
 class KnownEnds:
@@ -14,11 +18,12 @@ class KnownEnds:
 
     ``floor`` finds the last end at or before a place.  Where that is not known yet, the low
     answer is the last seen end and the high one the place itself, so greedy checks with
-    either bound the true check.
+    either bound the true check.  Between ``until`` of one seen end and the next seen end lies
+    a gap: places where ends may be that have not been seen.
     """
 
     def __init__(self, total: int):
-        self.total, self.ends, self.until = total, [0], [0]
+        self.total, self.ends, self.until = total, [0, total], [0, total]
 
     def floor(self, x: int, high: bool) -> int:
         if x >= self.total:
@@ -26,21 +31,30 @@ class KnownEnds:
         i = bisect_right(self.ends, x) - 1
         return x if high and x > self.until[i] else self.ends[i]
 
-    def exact(self, x: int) -> bool:
-        return x >= self.total or x <= self.until[bisect_right(self.ends, x) - 1]
-
-    def learn(self, start: int, stop: int, buckets: list[tuple[int, int, int]]) -> None:
-        """All ends in (start, stop]: least, greatest and number in each of consecutive buckets."""
-        known = dict(zip(self.ends, self.until, strict=True))
-        i = bisect_right(self.ends, start) - 1
-        if self.until[i] >= start:
-            known[self.ends[i]] = max(self.until[i], buckets[0][0] - 1 if buckets else stop)
-        for i, (least, most, n) in enumerate(buckets):
-            after = buckets[i + 1][0] - 1 if i + 1 < len(buckets) else stop
+    def gaps(self, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The gaps (first place, last place) that hold a place of one of the ranges."""
+        out = set()
+        for low, high in ranges:
+            for i in range(max(bisect_right(self.ends, low) - 1, 0), len(self.ends) - 1):
+                first, last = self.until[i] + 1, self.ends[i + 1] - 1
+                if first > high:
+                    break
+                if first <= last and max(first, low) <= min(last, high):
+                    out.add((first, last))
+        return sorted(out)
+
+    def learn(self, first: int, last: int, buckets: list[tuple[int, int, int]]) -> None:
+        """All ends in a gap: least, greatest and number in each of consecutive buckets."""
+        i = bisect_right(self.ends, first) - 1
+        starts = [b[0] for b in buckets] + [last + 1]
+        self.until[i] = starts[0] - 1
+        new = []
+        for (least, most, n), after in zip(buckets, starts[1:], strict=True):
             if most > least:
-                known[least] = max(known.get(least, 0), most - 1 if n == 2 else least)
-            known[most] = max(known.get(most, 0), after, most)
-        self.ends, self.until = map(list, zip(*sorted(known.items()), strict=True))
+                new.append((least, most - 1 if n == 2 else least))
+            new.append((most, after - 1))
+        self.ends[i + 1 : i + 1] = [e for e, _ in new]
+        self.until[i + 1 : i + 1] = [u for _, u in new]
 
 
 def greedy(capacity: int, shards: int, known: KnownEnds, high: bool) -> list[int]:
@@ -63,45 +77,56 @@ def smallest_capacity(low: int, high: int, shards: int, known: KnownEnds, optimi
     return low
 
 
-def minimax_cuts(groups: DataFrame, shards: int, fanout: int = 16384) -> list[int]:
-    """The cuts of the smallest feasible capacity over a table with ``start``, ``end`` and ``size``.
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows from the driver, without Python workers."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def ends_in(groups: DataFrame, gaps: list[tuple[int, int]], each: int, grid: int) -> list[list[tuple[int, int, int]]]:
+    """For each gap: least, greatest and number of the ends in each of its at most ``each`` buckets.
 
-    The check needs only the ends of groups near possible cuts.  Each round brings, in one
-    aggregate of at most ``fanout`` rows, the least and greatest end in buckets of the ranges
-    where the cuts can still lie; binary searches on what is known narrow the ranges until
-    the check is exact.  Some three rounds do for millions of groups.
+    Groups meet the gaps by cells of a grid; the gaps (``GAPS`` at most, spread over ``CELLS``
+    cells at most) are the only broadcast.
+    """
+    asked = [{"cell": cell, "number": i, "first": a, "last": b, "step": -(-(b - a + 1) // each)} for i, (a, b) in enumerate(gaps) for cell in range(a // grid, b // grid + 1)]
+    table = F.broadcast(small_table(groups.sparkSession, asked, "cell: bigint, number: int, first: bigint, last: bigint, step: bigint"))
+    met = groups.select("end", F.expr(f"end div {grid}").alias("cell")).join(table, "cell").filter(F.col("end").between(F.col("first"), F.col("last")))
+    found = met.groupBy("number", F.expr("(end - first) div step").alias("bucket")).agg(F.min("end").alias("least"), F.max("end").alias("most"), F.count("*").alias("n")).collect()  # len(gaps) * each rows at most
+    out: list[list] = [[] for _ in gaps]
+    for r in sorted(found, key=lambda r: r["least"]):
+        out[r["number"]].append((r["least"], r["most"], r["n"]))
+    return out
+
+
+def minimax_cuts(groups: DataFrame, shards: int, fanout: int = 16384) -> list[int]:
+    """The cuts of the smallest feasible capacity over a table with ``end`` and ``size``.
+
+    The check needs only the ends of groups near possible cuts.  Binary searches on what is
+    known give the least and the greatest capacity that can still be the answer, and with
+    them the places where each cut can still lie.  A round asks, in one aggregate of at most
+    ``fanout`` rows, for the ends in the gaps of what is known there, the largest gaps first.
+    Every gap that is asked about falls apart into gaps of a fraction of its length or
+    becomes known, so each round learns something, whatever the sizes; without gaps the two
+    capacities are the same and the check is exact.
     """
     total, biggest = groups.agg(F.max("end"), F.max("size")).first()
     if not total:
         return [0] * (shards - 1)
-    known, ranges = KnownEnds(total), [(0, total)]
-    least = max(biggest, -(-total // shards))
+    known, least, grid = KnownEnds(total), max(biggest, -(-total // shards)), -(-total // CELLS)
     while True:
-        each = max(2, fanout // len(ranges))
-        number, bucket, wanted = F.lit(None).cast("int"), F.lit(None).cast("long"), F.lit(False)
-        for i, (a, b) in enumerate(ranges):
-            inside = (F.col("end") > a) & (F.col("end") <= b)
-            step = max(1, -(-(b - a) // each))
-            number, bucket = F.when(inside, F.lit(i)).otherwise(number), F.when(inside, F.floor((F.col("end") - F.lit(a + 1)) / F.lit(step))).otherwise(bucket)
-            wanted |= inside
-        found = groups.filter(wanted).groupBy(number.alias("number"), bucket.alias("bucket")).agg(F.min("end"), F.max("end"), F.count("*")).collect()  # at most ``fanout`` rows
-        for i, (a, b) in enumerate(ranges):
-            known.learn(a, b, [tuple(r)[2:] for r in sorted((r for r in found if r["number"] == i), key=lambda r: r["bucket"])])
         low, high = (smallest_capacity(least, total, shards, known, optimistic) for optimistic in (True, False))
-        first, last = greedy(low, shards, known, False)[:-1], greedy(high, shards, known, True)[:-1]
-        if low == high and all(known.exact(x) for x in first):
-            at, cuts = 0, []
-            for _ in range(shards - 1):
-                at = known.floor(at + low, False)
-                cuts.append(at)
-            return cuts
-        ranges, merged = sorted((max(0, a - biggest), min(b, total)) for a, b in zip(first, last, strict=True) if a < total), []
-        for a, b in ranges:
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        ranges = merged
+        places = zip(greedy(low, shards, known, False)[:-1], greedy(high, shards, known, True)[:-1], strict=True)
+        gaps = known.gaps([(a, b) for a, b in places if a < total])
+        if not gaps:
+            break
+        gaps = sorted(sorted(gaps, key=lambda g: g[0] - g[1])[: max(1, min(GAPS, fanout // 2))])
+        for (a, b), buckets in zip(gaps, ends_in(groups, gaps, max(2, fanout // len(gaps)), grid), strict=True):
+            known.learn(a, b, buckets)
+    at, cuts = 0, []
+    for _ in range(shards - 1):
+        at = known.floor(at + low, False)
+        cuts.append(at)
+    return cuts
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -114,18 +139,18 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     A null text is as an empty one.  Repeated rows are kept and placed one by one; null ids
     come first; an empty table gives an empty one; further columns are left out.  A group
     with a third of all rows is summed before it is shuffled, its rows are ranged over
-    several partitions by doc_id, and the join that brings it its shard is one that adaptive
-    execution splits.
+    several partitions by doc_id, and the rows of large groups (at most 4,096 groups) meet
+    their shard without a shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("_group"))
     rows = materialize(rows)
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("size"), F.min("doc_id").alias("first"))
+    groups = rows.groupBy("_group").agg(F.sum("size").alias("size"), F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     placed = running_totals(ordered(groups, "first", "_group"), ["first", "_group"], {"start": "size"})
-    placed = materialize(placed.select("_group", "size", "start", (F.col("start") + F.col("size")).alias("end")))
+    placed = materialize(placed.select("_group", "size", "rows", "start", (F.col("start") + F.col("size")).alias("end")))
     cuts = minimax_cuts(placed, shards)
     shard = sum((F.when(F.col("start") >= c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    joined = materialize(rows.join(placed.select("_group", "start", shard.alias("shard")), "_group").drop("_group"))
+    joined = materialize(join_by_group(rows, placed.select("_group", "rows", "start", shard.alias("shard")), "_group").drop("_group"))
     slots = running_totals(ordered(joined, "start", "doc_id").withColumn("_one", F.lit(1)), ["start", "doc_id"], {"slot": "_one"}, by=["shard"])
     return slots.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -59,6 +59,50 @@ def test_refined_search_with_a_tiny_fanout(spark):
     assert set(cuts) <= set(ends)
 
 
+@pytest.mark.parametrize(("n", "share", "at", "fanout"), [(50000, 0.1, 0.5, 64), (50000, 0.5, 0.0, 64), (50000, 0.02, 0.9, 64), (100000, 0.1, 0.3, 16384)])
+def test_search_ends_with_one_large_group(spark, monkeypatch, n, share, at, fanout):
+    import random
+
+    rng = random.Random(n)
+    sizes = [rng.randrange(20, 301) for _ in range(n)]
+    sizes[int(at * n)] = int(sum(sizes) * share / (1 - share))
+    ends = [0]
+    for s in sizes:
+        ends.append(ends[-1] + s)
+    import bisect
+
+    rounds = []
+
+    def ends_in(groups, gaps, each, grid):  # the aggregate on a list
+        rounds.append(len(gaps))
+        assert len(rounds) < 40
+        out = []
+        for a, b in gaps:
+            buckets, step = {}, -(-(b - a + 1) // each)
+            for e in ends[bisect.bisect_left(ends, a) : bisect.bisect_right(ends, b)]:
+                buckets.setdefault((e - a) // step, []).append(e)
+            out.append([(min(x), max(x), len(x)) for _, x in sorted(buckets.items())])
+        return out
+
+    monkeypatch.setattr(sharding, "ends_in", ends_in)
+    table = spark.createDataFrame([(ends[-1], max(sizes))], "end long, size long")
+    cuts = sharding.minimax_cuts(table, 16, fanout=fanout)
+    loads = [b - a for a, b in zip([0, *cuts], [*cuts, ends[-1]], strict=True)]
+    assert max(loads) == smallest_capacity(sizes, 16)
+    assert set(cuts) <= set(ends)
+
+
+def test_sharding_with_a_third_of_all_rows_in_one_group(spark):
+    df = spark.range(30000).selectExpr("id as doc_id", "if(id % 3 = 0, 'one text of very many documents', concat('text ', id, repeat('x', cast(id % 50 as int)))) as text")
+    out = sharding.shard_documents(df).groupBy("shard").agg({"size": "sum", "slot": "max", "*": "count"}).toPandas()
+    sizes = {}
+    for i in range(30000):
+        text = "one text of very many documents" if i % 3 == 0 else f"text {i}" + "x" * (i % 50)
+        sizes[text] = sizes.get(text, 0) + len(text) + 1
+    assert out["sum(size)"].max() == smallest_capacity(list(sizes.values()), 16)
+    assert out["count(1)"].sum() == 30000 and (out["max(slot)"] + 1 == out["count(1)"]).all()
+
+
 def split(text):
     out, word = [], ""
     for c in text:
