@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +19,39 @@ BYTE_VALUES = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np
 _powers: dict[str, np.ndarray] = {}
 
 
+#: What tasks of one kind keep in a worker for the next ones.
+kept_between_tasks: list[dict] = []
+
+
+def tidy(task: Callable, keep: bool = False) -> Callable:
+    """A task over batches that gives its memory back when it ends.
+
+    Workers live on between stages, and what a stage leaves counts against the next one.
+    Without ``keep`` it begins by dropping what tasks of other kinds keep.
+    """
+
+    @functools.wraps(task)
+    def run(batches):
+        try:
+            if not keep:
+                for table in kept_between_tasks:
+                    table.clear()
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Return freed memory to the system, where its C library can."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and offsets of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame
 
 from spotcheck.llm.frames import text_batches
 from spotcheck.llm.pretokens import Encoder, whole_tokens
-from spotcheck.llm.textbytes import chunks
+from spotcheck.llm.textbytes import chunks, kept_between_tasks, tidy
 
 _encoders: dict[tuple, Encoder] = {}
+kept_between_tasks.append(_encoders)
 
 
 def encoder(path: str, spaces: bool, whole: dict[str, int] | None = None) -> Encoder:
-    """The worker's encoder for a tokenizer file; it lives as long as the worker."""
+    """The worker's encoder for a tokenizer file; it lives until the worker runs a task of another kind."""
     key = (path, spaces, len(whole or ()))
     if key not in _encoders:
         _encoders.clear()
@@ -51,4 +52,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, text: str =
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(docs[key].alias("doc_id"), docs[text].cast("string").alias("text"))
-    return text_batches(rows).mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return text_batches(rows).mapInArrow(tidy(count, keep=True), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
