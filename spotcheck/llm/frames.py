@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.sources.staging import materialize
+from spotcheck.sources.staging import discard, materialize  # noqa: F401
 
 
 def width(df: DataFrame) -> int:
