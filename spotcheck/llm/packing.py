@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from spotcheck.llm.frames import materialize, text_batches
-from spotcheck.llm.textbytes import chunks
+from spotcheck.llm.textbytes import chunks, tidy
 from spotcheck.llm.tokencounts import encoder
 
 
@@ -44,7 +44,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: in
             yield pa.RecordBatch.from_arrays(out, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text_batches(rows).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return text_batches(rows).mapInArrow(tidy(cut, keep=True), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def lower_bound(histogram: np.ndarray) -> int:
@@ -101,15 +101,19 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 20000, ro
     """Put pieces (any columns with ``length`` from 1 to ``capacity``) into few bins.
 
     Pieces are dealt at random to partitions of about ``per_partition`` and packed best fit
-    decreasing in each.  Bins without slack stay.  While the number of bins is above the
-    lower bound of the whole, the pieces in bins with slack are dealt anew, so that
-    partitions with gaps exchange documents, and packed again; a round that saves no bin is
-    dropped and ends the work, as does ``rounds``.  Memory in a task follows
-    ``per_partition`` alone, whatever keys or sources the pieces come from.
-
-    Adds sequence_id (any numbers) and offset (place in the bin, without gaps).  Repeated
-    rows are packed as often as they stand there; an empty table stays empty.
+    decreasing in each.  A partition whose number of bins is its lower bound is certified: no
+    packing of it has fewer, so its bins are closed, but for the emptiest one.  Of the others
+    the bins without slack are closed.  The documents of the bins that stay open are dealt
+    anew, so that partitions with gaps exchange documents, and packed again, until the bound
+    of the whole is reached, a round saves no bin (it is dropped), or after ``rounds``.
+    Memory in a task follows ``per_partition`` alone, whatever keys or sources the pieces
+    come from.
+
+    Adds sequence_id (any numbers) and offset (place in the bin, without gaps); columns of
+    these names are replaced, and so are ``_deal`` and ``_open``.  Repeated rows
+    are dealt one by one and packed as often as they stand there; an empty table stays empty.
     """
+    pieces = materialize(pieces.drop("sequence_id", "offset", "_deal", "_open"))
     names = pieces.columns
 
     def pack_group(group: pd.DataFrame) -> pd.DataFrame:
@@ -120,15 +124,18 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 20000, ro
         first = np.append(True, bins[order][1:] != bins[order][:-1])
         offset = np.empty(len(lengths), np.int64)
         offset[order] = ends - lengths[order] - np.maximum.accumulate(np.where(first, ends - lengths[order], 0))
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1))
-        return group.assign(sequence_id=bins, offset=offset, slack=capacity - fill[bins], certified=len(fill) <= bound)
+        open_ = fill < capacity
+        if len(fill) <= lower_bound(np.bincount(lengths, minlength=capacity + 1)):  # certified
+            open_ &= np.arange(len(fill)) == fill.argmin()
+        return group.assign(sequence_id=bins, offset=offset, _open=open_[bins])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    schema += ", _deal long, sequence_id long, offset long, slack long, certified boolean"
+    schema += ", _deal long, sequence_id long, offset long, _open boolean"
 
     def dealt(rows: DataFrame, salt: int, n: int) -> DataFrame:
         groups = max(1, -(-n // per_partition))
-        mixed = rows.select(*names, F.pmod(F.xxhash64(F.lit(salt), *names), F.lit(groups)).alias("_deal"))
+        # the rows of a written table, so that equal ones part and a task run again deals alike
+        mixed = rows.select(*names, F.pmod(F.xxhash64(F.lit(salt), F.monotonically_increasing_id()), F.lit(groups)).alias("_deal"))
         out = mixed.groupBy("_deal").applyInPandas(pack_group, schema)
         number = (F.lit(salt) * F.lit(1 << 52) + F.col("_deal") * F.lit(1 << 20)) + F.col("sequence_id")
         return materialize(out.withColumn("sequence_id", number))
@@ -139,19 +146,23 @@ def pack(pieces: DataFrame, capacity: int = 1024, per_partition: int = 20000, ro
     bound, rest = lower_bound(histogram), int(histogram.sum())
     kept, current, closed = None, dealt(pieces, 0, rest), 0
     for salt in range(1, rounds + 1):
-        full, loose, bins = current.agg(F.count(F.when((F.col("slack") == 0) & (F.col("offset") == 0), 1)), F.count(F.when(F.col("slack") > 0, 1)), F.count(F.when(F.col("offset") == 0, 1))).first()
+        first = F.col("offset") == 0
+        done, loose, bins = current.agg(F.count(F.when(~F.col("_open") & first, 1)), F.count(F.when(F.col("_open"), 1)), F.count(F.when(first, 1))).first()
         if closed + bins <= bound or loose == 0:
             break
-        # only loose bins take part, in ever fewer partitions as ever fewer documents are loose
-        again = dealt(current.filter("slack > 0"), salt, loose)
-        if again.filter("offset = 0").count() >= bins - full:
+        again = dealt(current.filter("_open"), salt, loose)
+        if again.filter("offset = 0").count() >= bins - done:
             break
-        settled = current.filter("slack = 0")
-        kept, closed, current = settled if kept is None else kept.unionByName(settled), closed + full, again
+        settled = current.filter("not _open")
+        kept, closed, current = settled if kept is None else kept.unionByName(settled), closed + done, again
     everything = current if kept is None else kept.unionByName(current)
-    return everything.drop("_deal", "slack", "certified")
+    return everything.drop("_deal", "_open")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, per_partition: int = 20000) -> DataFrame:
-    """``cut_pieces`` and ``pack``: where each piece of each document stands in which sequence."""
-    return pack(materialize(cut_pieces(docs, tokenizer, capacity, end_id)), capacity, per_partition)
+    """``cut_pieces`` and ``pack``: where each piece of each document stands in which sequence.
+
+    A null or empty text is one piece with ``end_id`` alone; repeated rows are packed one by
+    one; ids may be null; an empty table gives an empty one; further columns are left out.
+    """
+    return pack(cut_pieces(docs, tokenizer, capacity, end_id), capacity, per_partition)
