@@ -7,12 +7,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spotcheck.llm.frames import text_batches
-from spotcheck.llm.textbytes import chunks, mix, prefix_hash, slice_hash, spread, words
+from spotcheck.llm.frames import materialize, text_batches
+from spotcheck.llm.textbytes import chunks, mix, prefix_hash, release, slice_hash, tidy, words
 
 BITS = 18
-#: Largest number of labelled documents that the model is fitted on, and of models averaged.
-MAX_LABELLED, FOLDS = 20000, 8
+#: Largest number of labelled documents that the model is fitted on, and of those in a fold.
+MAX_LABELLED, FOLD_ROWS = 20000, 2500
 
 
 def held_out(key: Column) -> Column:
@@ -24,8 +24,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """Sorted distinct feature numbers of each text, one after another, and how many each has.
 
     The indicators: runs of one, two and three bytes within a text, words, and pairs of
-    neighbouring words; and, for each power of two up to their number, pairs of one word
-    twice, whichever word it is.  All are hashed to 2**BITS features.
+    neighbouring words, all hashed to 2**BITS features.
     """
     n, kinds = len(offsets) - 1, []
     wide = data.astype(np.uint32)
@@ -39,13 +38,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     h = slice_hash(prefix_hash(data), starts, ends)
     pair = of[1:] == of[:-1]
     two = np.append(np.where(pair, h[1:] * np.uint64(3) + h[:-1], h[:-1]), h[-1:])  # a last word has no pair
-    twice = np.bincount(of[1:][pair & (h[1:] == h[:-1])], minlength=n)
-    steps = np.where(twice > 0, np.floor(np.log2(np.maximum(twice, 1))).astype(np.int64) + 1, 0)
     bounds = np.searchsorted(of, np.arange(n + 1))
     for number in (h, two):
         kinds.append(((mix(number) >> np.uint64(64 - BITS)).astype(np.uint32), bounds[:-1], bounds[1:]))
-    ends = np.cumsum(steps)
-    kinds.append(((mix(spread(steps).astype(np.uint64) + np.uint64(0x5EC0D)) >> np.uint64(64 - BITS)).astype(np.uint32), ends - steps, ends))
     flags, found = np.zeros(1 << BITS, bool), [np.zeros(0, np.int64)]
     for i in range(n):
         for number, first, last in kinds:
@@ -74,19 +69,17 @@ def dual_coordinate_descent(index: np.ndarray, counts: np.ndarray, label: np.nda
     Each text's row is its features' ratios, scaled by their damped length; one dual variable
     at a time is brought to its optimum between 0 and the cost.
     """
-    ends = np.cumsum(counts)
+    ends, n = np.cumsum(counts), len(counts)
     y = np.where(label == 1, 1.0, -1.0)
-    rows = []
-    for i in range(len(counts)):
-        j = index[ends[i] - counts[i] : ends[i]]
-        x = ratio[j]
-        rows.append((j, x / np.sqrt(x @ x + damp)))
-    curve = [1.0 + x @ x for _, x in rows]  # the bias adds 1
-    w, bias, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(len(rows)), np.random.default_rng(7)
+    value = ratio[index].astype(np.float32)
+    square = np.bincount(np.repeat(np.arange(n), counts), value.astype(np.float64) ** 2, n)
+    value /= np.repeat(np.sqrt(square + damp), counts).astype(np.float32)
+    curve = 1.0 + square / (square + damp)  # the bias adds 1
+    w, bias, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(n), np.random.default_rng(7)
     for _ in range(passes):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            j, x = rows[i]
+        for i in rng.permutation(n):
+            j, x = index[ends[i] - counts[i] : ends[i]], value[ends[i] - counts[i] : ends[i]]
             slope = y[i] * (w[j] @ x + bias) - 1.0
             new = min(max(alpha[i] - slope / curve[i], 0.0), cost)
             if new != alpha[i]:
@@ -110,45 +103,75 @@ def margins(index: np.ndarray, counts: np.ndarray, weights: np.ndarray, ratio: n
     return np.bincount(owner, weights[index], n) / length + bias
 
 
-def fit(labelled: DataFrame, folds: int = FOLDS, threshold: float = 0.7) -> dict:
-    """A model from a bounded number of rows of ``doc_id``, ``text`` and ``label`` (0 or 1).
+def extracted(labelled: DataFrame) -> DataFrame:
+    """doc_id, label and the features (32-bit numbers) of each labelled document, one row of each doc_id.
 
-    The rows are dealt into ``folds``; each task fits one fold and also tells the margins of the next one, which
-    calibrate the score; the models are averaged.  What comes back is bounded: ``folds``
-    models of 2**BITS weights.  With one class only, the score is that class's.
+    Repeated rows teach once; of several texts of one doc_id the one of the least features.
     """
-    rows = labelled.select("doc_id", "text", F.col("label").cast("int"), F.xxhash64("doc_id").alias("_order"))
-    dealt = rows.withColumn("_fold", F.pmod(F.col("_order"), F.lit(folds)))
-    # each row goes to its own fold, and to the one before as a row to tell margins for
-    both = dealt.withColumn("_to", F.explode(F.array("_fold", F.pmod(F.col("_fold") - 1, F.lit(folds)))))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_order", "doc_id", "text"])
-        parts = []
-        for own in (True, False):
-            g = group[(group["_fold"] == group["_to"]) == own]
-            index, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            batch = pa.RecordBatch.from_arrays([pa.array(g["text"], pa.string())], ["text"])
+
+    def extract(batches):
+        for batch in batches:
+            found = []
             for _, _, data, offsets in chunks(batch, "text"):
-                i, c = features(data, offsets)
-                index.append(i)
-                counts.append(c)
-            parts.append((np.concatenate(index), np.concatenate(counts), g["label"].to_numpy(np.int64)))
-        index, counts, label = parts[0]
+                index, counts = features(data, offsets)
+                found += [x.astype("<i4").tobytes() for x in np.split(index, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
+
+    rows = text_batches(labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")))
+    return rows.mapInArrow(tidy(extract), "doc_id long, label int, found binary").groupBy("doc_id", "label").agg(F.min("found").alias("found"))
+
+
+def _arrays(found, label) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found], np.int64), np.asarray(label, np.int64)
+
+
+def averaged(models: list[dict], without: int | None = None) -> dict:
+    """The mean of the models: of the weights with their ratios as a factor, of the ratios, biases and dampings.
+
+    ``without`` leaves out the model of one fold, if there is another.
+    """
+    some = [m for m in models if m["fold"] != without] or models
+    mean = lambda k: np.mean([m[k] for m in some], axis=0, dtype=np.float64)
+    return {"weights": mean("weights"), "ratio": mean("ratio"), "bias": float(mean("bias")), "damp": float(mean("damp"))}
+
+
+def fit(labelled: DataFrame, fold_rows: int = FOLD_ROWS, threshold: float = 0.7) -> dict:
+    """A model from a bounded number of rows of ``doc_id``, ``text`` and ``label`` (0 or 1).
+
+    The features are extracted once and dealt into folds of about ``fold_rows``, two at
+    least; a task fits one fold, and the model is the mean of theirs.  The score is calibrated on margins of that mean: each
+    labelled row is judged by the mean of all folds but its own.  What comes back is bounded:
+    a model of 2**BITS weights from each fold, and a margin of each labelled row.  With one class
+    only, the score is that class's.
+    """
+    table = materialize(extracted(labelled))
+    folds = max(2, -(-table.count() // fold_rows))
+    table = table.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
+
+    def learn_fold(group: pd.DataFrame) -> pd.DataFrame:
+        index, counts, label = _arrays(*(group.sort_values(["doc_id", "label"])[c] for c in ("found", "label")))
         ratio = log_count_ratio(index, counts, label)
         damp = damping(index, counts, ratio)
         w, bias = dual_coordinate_descent(index, counts, label, ratio, damp)
-        told = margins(*parts[1][:2], w * ratio, ratio, bias, damp)
-        return pd.DataFrame({"w": [w.tobytes()], "ratio": [ratio.tobytes()], "bias": [bias], "damp": [damp], "told": [told.tobytes()], "label": [parts[1][2].tobytes()]})
+        del index
+        release()
+        return pd.DataFrame({"fold": group["fold"].iloc[:1], "weights": [(w * ratio).astype(np.float32).tobytes()], "ratio": [ratio.astype(np.float32).tobytes()], "bias": [bias], "damp": [damp]})
 
-    models = both.groupBy("_to").applyInPandas(fold, "w binary, ratio binary, bias double, damp double, told binary, label binary").collect()  # at most ``folds`` rows
-    if not models:
+    found = table.groupBy("fold").applyInPandas(learn_fold, "fold long, weights binary, ratio binary, bias double, damp double").collect()  # ``folds`` rows at most
+    if not found:
         return {"weights": np.zeros(1 << BITS), "ratio": np.ones(1 << BITS), "bias": 0.0, "damp": 1.0, "slope": 1.0, "centre": 0.0, "threshold": threshold}
-    models.sort(key=lambda m: (m["bias"], m["w"]))
-    w, ratio = (np.mean([np.frombuffer(m[k]) for m in models], axis=0) for k in ("w", "ratio"))
-    told, label = (np.concatenate([np.frombuffer(m[k], kind) for m in models]) for k, kind in (("told", np.float64), ("label", np.int64)))
-    centre, slope = calibrate(told, label)
-    return {"weights": w * ratio, "ratio": ratio, "bias": float(np.mean([m["bias"] for m in models])), "damp": float(np.mean([m["damp"] for m in models])), "slope": slope, "centre": centre, "threshold": threshold}
+    models = [r.asDict() | {k: np.frombuffer(r[k], np.float32) for k in ("weights", "ratio")} for r in sorted(found, key=lambda r: r["fold"])]
+    shared = table.sparkSession.sparkContext.broadcast(models)  # ``folds`` times two arrays of 2**BITS weights
+
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        index, counts, label = _arrays(group["found"], group["label"])
+        m = averaged(shared.value, without=group["fold"].iloc[0])
+        return pd.DataFrame({"margin": margins(index, counts, m["weights"], m["ratio"], m["bias"], m["damp"]), "label": label})
+
+    told = table.groupBy("fold").applyInPandas(judge, "margin double, label int").collect()  # a row for each labelled one
+    shared.unpersist()
+    centre, slope = calibrate(np.array([r["margin"] for r in told]), np.array([r["label"] for r in told], np.int64))
+    return averaged(models) | {"slope": slope, "centre": centre, "threshold": threshold}
 
 
 def calibrate(told: np.ndarray, label: np.ndarray) -> tuple[float, float]:
@@ -177,7 +200,8 @@ def _scores(batch: pa.RecordBatch, m: dict) -> np.ndarray:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score and predicted of each whole text, in one pass without a shuffle.
 
-    Empty and null texts score by the bias alone.
+    Empty and null texts score by the bias alone; repeated rows get a row each; an empty
+    table gives an empty one; further columns are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two arrays of 2**BITS weights
 
@@ -187,7 +211,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(value), pa.array((value >= shared.value["threshold"]).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text_batches(rows).mapInArrow(tell, "doc_id long, score double, predicted int")
+    return text_batches(rows).mapInArrow(tidy(tell), "doc_id long, score double, predicted int")
 
 
 def accepted(docs: DataFrame, model: dict) -> DataFrame:
@@ -198,7 +222,7 @@ def accepted(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, shared.value) >= shared.value["threshold"]))
 
-    return text_batches(docs).mapInArrow(keep, docs.schema)
+    return text_batches(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> dict:

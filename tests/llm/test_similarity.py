@@ -173,6 +173,49 @@ def test_classifier_learns(spark, nothing):
     assert quality_model.classify(docs, labels.filter("quality = 1")).filter("predicted = 1").count() == len(data)
 
 
+def test_dual_descent_against_an_exact_solver():
+    rng = np.random.default_rng(2)
+    index = [np.sort(rng.choice(40, rng.integers(3, 12), replace=False)) for _ in range(30)]
+    label = (np.array([i.sum() for i in index]) > np.median([i.sum() for i in index])).astype(np.int64)
+    flat, counts = np.concatenate(index), np.array([len(i) for i in index])
+    ratio, damp, cost = rng.normal(size=40), 0.7, 10.0
+    w, bias = quality_model.dual_coordinate_descent(flat, counts, label, ratio, damp, cost, passes=4000)
+    x = np.zeros((30, 41))
+    for i, j in enumerate(index):
+        x[i, j] = ratio[j] / np.sqrt(ratio[j] @ ratio[j] + damp)
+    x[:, 40] = 1.0  # the bias
+    y = np.where(label == 1, 1.0, -1.0)
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(30), 1.0 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(200000):  # projected gradient on the whole dual
+        alpha = np.clip(alpha - step * (q @ alpha - 1.0), 0.0, cost)
+    exact = x.T @ (alpha * y)
+    primal = lambda v: v @ v / 2 + cost * np.maximum(0, 1 - y * (x @ v)).sum()
+    assert abs(primal(np.append(w, bias)) - primal(exact)) < 1e-2 * primal(exact)
+    assert np.abs(np.append(w, bias) - exact).max() < 0.05
+
+
+def test_the_mean_model_is_the_one_calibrated():
+    rng = np.random.default_rng(3)
+    models = [{"fold": f, "weights": rng.normal(size=8) * r, "ratio": r, "bias": rng.normal(), "damp": 1.0} for f in range(4) for r in [rng.normal(size=8)]]
+    mean = quality_model.averaged(models)
+    assert np.allclose(mean["weights"], sum(m["weights"] for m in models) / 4)  # of the products, not the product of means
+    left = quality_model.averaged(models, without=2)
+    assert np.allclose(left["weights"] * 3, sum(m["weights"] for m in models) - models[2]["weights"])
+    assert quality_model.averaged(models[:1], without=0)["bias"] == models[0]["bias"]
+
+
+def test_classifier_of_repeated_rows_and_long_texts(spark):
+    texts = [("good plain words here " * 8 + str(i), 1) for i in range(60)] + [("## $$ buy " * 8 + str(i), 0) for i in range(60)]
+    rows = [(i, t) for i, (t, _) in enumerate(texts)]
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(texts)] * 2, "doc_id long, quality int")
+    once = spark.createDataFrame(rows + [(500, "good plain words " * 20000)], "doc_id long, text string")
+    often = spark.createDataFrame(rows + [rows[0]] * 200 + [(500, "good plain words " * 20000)], "doc_id long, text string")
+    a, b = ({r["doc_id"]: r["score"] for r in quality_model.classify(d, labels).collect()} for d in (once, often))
+    assert all(abs(a[i] - b[i]) < 1e-9 for i in a) and a[500] > 0.7  # a repeated row teaches once
+    assert quality_model.classify(often, labels).count() == 321
+
+
 def test_pipeline_stages(spark, tmp_path):
     pytest.importorskip("public_tokenizers")
     import corpus_pipeline
