@@ -58,7 +58,8 @@ def clean_channel(channel: Column) -> Column:
 
 
 def time_band(seconds: Column) -> Column:
-    return F.when(seconds.isNull(), "unknown").when(seconds.between(21600, 43199), "morning").when(seconds.between(43200, 68399), "afternoon").when(seconds.between(68400, 82799), "prime").otherwise("night")
+    """The part of the day; prime time runs from 19:00 up to midnight."""
+    return F.when(seconds.isNull(), "unknown").when(seconds.between(21600, 43199), "morning").when(seconds.between(43200, 68399), "daytime").when(seconds.between(68400, 86399), "primetime").otherwise("latenight")
 
 
 def dedup_key(*parts: Column, digits: int = 32) -> Column:

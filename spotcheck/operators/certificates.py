@@ -2,48 +2,66 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from spotcheck.functions.scalars import clean_channel, crossing_end, normalize
 from spotcheck.operators.assign import assign
 from spotcheck.operators.mapping import brand_themes, certificate_themes, with_themes
+from spotcheck.sources.staging import materialize
 
 TOLERANCE, GRACE, NEAR = 5, 600, 7200
+#: Certificates and spots of a scope that one task takes in turn; pairs of larger scopes are matched in rounds.
+SCOPE_ROWS = 200_000
 
 
-def allowed_themes(certs: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataFrame:
-    """account_id, certificate theme and each log theme of its brands."""
-    c = certificate_themes(mappings, certs).select("account_id", "brand_key", "tc_theme")
-    t = brand_themes(mappings, logs).select("account_id", "brand_key", F.col("advt_theme"))
-    return c.join(t, ["account_id", "brand_key"]).select("account_id", "tc_theme", "advt_theme").distinct()
+def allowed_themes(certs: DataFrame, logs: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Certificate themes and durations whose brands expect themes in the log; and what they expect there.
+
+    (account_id, tc_theme, cert_dur), and the same with each theme of the logs and the product
+    that it needs ('': any).  A mapping of one duration holds for that duration alone.
+    """
+    d = certs.select("account_id", "tc_theme", F.coalesce("duration", F.lit(0)).alias("cert_dur")).distinct()
+    c = certificate_themes(mappings, certs).select("account_id", "brand_key", "tc_theme", "map_duration")
+    of_duration = F.col("map_duration").isNull() | (F.col("map_duration") == F.col("cert_dur"))
+    brands = materialize(d.join(c, ["account_id", "tc_theme"]).filter(of_duration).select("account_id", "tc_theme", "cert_dur", "brand_key").distinct())
+    key = ["account_id", "brand_key"]
+    patterns = mappings.filter(F.length(normalize(F.col("theme"))) > 0).select("account_id", normalize(F.col("brand")).alias("brand_key"), F.col("duration").alias("map_duration"))
+    expecting = brands.join(patterns, key).filter(of_duration).select("account_id", "tc_theme", "cert_dur").distinct()
+    expected = brands.join(brand_themes(mappings, logs), key).filter(of_duration)
+    return expecting, materialize(expected.groupBy("account_id", "tc_theme", "cert_dur", "advt_theme").agg(F.collect_set("map_product").alias("_products")))
 
 
 def confirm(certs: DataFrame, logs: DataFrame, mappings: DataFrame, tolerance: int = TOLERANCE, any_duration: DataFrame | None = None, claimed: DataFrame | None = None) -> DataFrame:
     """Certificate rows and the log rows that confirm them: same channel, day and duration, within ``tolerance`` seconds.
 
-    A mapped theme needs a log row of one of its brands' themes.  Earlier certificates choose
-    first, the nearest log row, ties to the earlier one.  ``any_duration`` (account_id,
-    tc_theme) names themes for which durations may differ.  Times join on blocks of the
-    tolerance, so a busy day is no theta join.
+    A theme whose brands have themes in the log needs a log row of one of them, and of the
+    product that the mapping names, if it names one.  Earlier certificates choose first, the
+    nearest log row, ties to the earlier one.  ``any_duration`` (account_id, tc_theme) names
+    themes for which durations may differ.  Times join on blocks of the tolerance, so a busy
+    day is no theta join.
     """
     if claimed is not None:
         logs = logs.join(claimed.select("log_id").distinct(), "log_id", "left_anti")
     width = tolerance + 1
     c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "cert_date", F.col("air_secs").alias("cert_secs"), F.expr("nullif(duration, 0)").alias("cert_dur"), "tc_theme")
     c = c.withColumn("block", F.explode(F.array(*[F.floor((F.col("cert_secs") + d) / width) for d in (-width, 0, width)])))
-    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("ch"), F.col("log_date").alias("cert_date"), "air_secs", F.expr("nullif(duration, 0)").alias("duration"), "advt_theme").withColumn("block", F.floor(F.col("air_secs") / width))
+    product = normalize(F.coalesce("product", F.lit(""))) if "product" in logs.columns else F.lit("")
+    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("ch"), F.col("log_date").alias("cert_date"), "air_secs", F.expr("nullif(duration, 0)").alias("duration"), "advt_theme", product.alias("product")).withColumn("block", F.floor(F.col("air_secs") / width))
     pairs = c.join(r, ["account_id", "ch", "cert_date", "block"]).withColumn("gap", F.abs(F.col("air_secs") - F.col("cert_secs"))).filter(F.col("gap") <= tolerance)
     if any_duration is None:
         pairs = pairs.filter(F.col("cert_dur").eqNullSafe(F.col("duration")))
     else:
         pairs = pairs.join(any_duration.select("account_id", "tc_theme").distinct().withColumn("_any", F.lit(True)), ["account_id", "tc_theme"], "left")
         pairs = pairs.filter(F.col("_any") | F.col("cert_dur").eqNullSafe(F.col("duration"))).drop("_any")
-    allowed = allowed_themes(certs, logs, mappings)
-    mapped = certificate_themes(mappings, certs).select("account_id", "tc_theme", F.lit(True).alias("_mapped")).distinct()
-    pairs = pairs.join(mapped, ["account_id", "tc_theme"], "left").join(allowed.withColumn("_ok", F.lit(True)), ["account_id", "tc_theme", "advt_theme"], "left")
-    pairs = pairs.filter(F.col("_mapped").isNull() | F.col("_ok"))
-    pairs = pairs.select("cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs")
-    return assign(pairs, "cert_id", "log_id", [F.col(x) for x in ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")])
+    expecting, expected = allowed_themes(certs, logs, mappings)
+    pairs = pairs.withColumn("cert_dur", F.coalesce("cert_dur", F.lit(0)))
+    pairs = pairs.join(expecting.withColumn("_mapped", F.lit(True)), ["account_id", "tc_theme", "cert_dur"], "left").join(expected, ["account_id", "tc_theme", "cert_dur", "advt_theme"], "left")
+    right = F.array_contains("_products", "") | F.array_contains("_products", F.col("product"))
+    pairs = pairs.filter(F.col("_mapped").isNull() | right)
+    pairs = pairs.select("account_id", "ch", "cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs", F.col("cert_date").alias("day"))
+    return assign(pairs, "cert_id", "log_id", [F.col(x) for x in ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")], scope=["account_id", "ch", "day"])
 
 
 def to_schedule(certs: DataFrame, spots: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -56,11 +74,27 @@ def to_schedule(certs: DataFrame, spots: DataFrame, mappings: DataFrame) -> Data
     c = certs.join(theme, ["account_id", "tc_theme"]).filter(F.col("map_duration").isNull() | (F.col("map_duration") == F.col("duration")))
     c = c.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "brand_key", "duration", "cert_date", "air_secs").distinct()
     s = spots.select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), normalize(F.col("brand")).alias("brand_key"), "duration", "spot_date", "start_secs", crossing_end(F.col("start_secs"), F.col("end_secs")).alias("stop"))
-    pairs = c.join(s, ["account_id", "ch", "brand_key", "duration"]).filter("cert_date >= spot_date")
-    return _by_window(pairs)
+    return _by_window(c, s, ["account_id", "ch", "duration"])
 
 
-def _by_window(pairs: DataFrame, in_turn: bool = True) -> DataFrame:
+def _by_window(c: DataFrame, s: DataFrame, scope: list[str], in_turn: bool = True) -> DataFrame:
+    """Certificates by day and id, each on the best free spot of its scope and brand on or before its day.
+
+    Scopes of a bounded number of rows are taken certificate by certificate in a task, without
+    a table of pairs; the pairs of larger ones, which in time grow with the square, are
+    matched in rounds.  Both give the same.
+    """
+    c = c.select(*scope, "cert_id", "brand_key", "cert_date", "air_secs")
+    s = s.select(*scope, "spot_id", "brand_key", "spot_date", "start_secs", "stop")
+    sizes = c.select(scope).unionByName(s.select(scope)).groupBy(*scope).agg(F.count("*").alias("_n"))
+    large = materialize(sizes.filter(F.col("_n") > SCOPE_ROWS).select(scope))
+    number = {"cert_date": F.unix_date("cert_date")}, {"spot_date": F.unix_date("spot_date")}
+    small_c, small_s = (x.join(large, scope, "left_anti").withColumns(n) for x, n in zip((c, s), number, strict=True))
+    few = small_c.groupBy(*scope).cogroup(small_s.groupBy(*scope)).applyInPandas(lambda a, b: _in_turn(a, b, in_turn), "cert_id long, spot_id long, tier int, measure double, day int")
+    few = few.withColumn("cert_date", F.date_from_unix_date("day")).drop("day")
+    if not large.limit(1).count():
+        return few
+    pairs = c.join(large, scope, "left_semi").join(s, [*scope, "brand_key"]).filter("cert_date >= spot_date")
     at = F.when((F.col("stop") > 86400) & (F.col("air_secs") < F.col("start_secs")), F.col("air_secs") + 86400).otherwise(F.col("air_secs"))
     pairs = pairs.withColumn("at", at)
     far = F.abs(F.col("at") - (F.col("start_secs") + F.col("stop")) / 2)
@@ -68,7 +102,33 @@ def _by_window(pairs: DataFrame, in_turn: bool = True) -> DataFrame:
     tier = tier.when(F.col("at").isNull() | F.col("start_secs").isNull() | F.col("stop").isNull(), 3) if in_turn else tier
     pairs = pairs.withColumn("tier", tier).filter("tier is not null").withColumn("measure", F.when(F.col("tier") == 2, far).otherwise(F.lit(0.0)))
     pairs = pairs.select("cert_id", "spot_id", "tier", "measure", "cert_date", "spot_date")
-    return assign(pairs, "cert_id", "spot_id", [F.col(x) for x in ("cert_date", "cert_id", "tier", "measure", "spot_date", "spot_id")])
+    many = assign(pairs, "cert_id", "spot_id", [F.col(x) for x in ("cert_date", "cert_id", "tier", "measure", "spot_date", "spot_id")])
+    return few.unionByName(many.select(few.columns))
+
+
+def _in_turn(certs: pd.DataFrame, spots: pd.DataFrame, in_turn: bool) -> pd.DataFrame:
+    """The spots that the certificates of one scope take, one after the other."""
+    spots = spots[spots["spot_date"].notna()].sort_values(["spot_date", "spot_id"], kind="stable")
+    day, start, stop = (spots[x].to_numpy(np.float64) for x in ("spot_date", "start_secs", "stop"))
+    free, ids = np.ones(len(spots), bool), spots["spot_id"].to_numpy()
+    of_brand = {brand: np.asarray(at) for brand, at in spots.reset_index(drop=True).groupby("brand_key").indices.items()}
+    none, out = np.zeros(0, np.int64), []
+    certs = certs[certs["cert_date"].notna()].sort_values(["cert_date", "cert_id"], kind="stable")
+    for (date, cert), own in certs.groupby(["cert_date", "cert_id"], sort=True):
+        at = np.sort(np.concatenate([none, *[of_brand.get(b, none) for b in own["brand_key"].unique()]]))
+        at = at[: np.searchsorted(day[at], date, "right")]
+        at = at[free[at]]
+        air = float(own["air_secs"].iloc[0]) if pd.notna(own["air_secs"].iloc[0]) else np.nan
+        aired = np.where((stop[at] > 86400) & (air < start[at]), air + 86400, air)
+        far = np.abs(aired - (start[at] + stop[at]) / 2)
+        tier = np.where((aired >= start[at]) & (aired <= stop[at] + GRACE), 1, np.where(far <= NEAR, 2, np.where(np.isnan(far) & in_turn, 3, 9)))
+        best = tier.min(initial=9)
+        if best < 9:
+            some = np.flatnonzero(tier == best)
+            took = some[far[some].argmin()] if best == 2 else some[0]  # the first of equal ones
+            free[at[took]] = False
+            out.append((cert, ids[at[took]], best, far[took] if best == 2 else 0.0, date))
+    return pd.DataFrame(out, columns=["cert_id", "spot_id", "tier", "measure", "day"]).astype({"cert_id": "int64", "spot_id": "int64", "tier": "int32", "measure": "float64", "day": "int32"})
 
 
 def unconfirmed_to_schedule(certs: DataFrame, spots: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -76,19 +136,15 @@ def unconfirmed_to_schedule(certs: DataFrame, spots: DataFrame, mappings: DataFr
     theme = certificate_themes(mappings, certs)
     s = with_themes(spots, theme).select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "tc_theme", "place", F.expr("nullif(duration, 0)").alias("d"), "spot_date", "start_secs")
     c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "tc_theme", F.expr("nullif(duration, 0)").alias("d"), "cert_date", "air_secs")
-    pairs = s.join(c, ["account_id", "ch", "tc_theme", "d"]).filter("cert_date >= spot_date").select("spot_id", "cert_id", "spot_date", "start_secs", "place", "cert_date", "air_secs")
-    return assign(pairs, "spot_id", "cert_id", [F.col(x) for x in ("spot_date", "start_secs", "spot_id", "place", "cert_date", "air_secs")])
+    pairs = s.join(c, ["account_id", "ch", "tc_theme", "d"]).filter("cert_date >= spot_date").select("account_id", "ch", "d", "spot_id", "cert_id", "spot_date", "start_secs", "place", "cert_date", "air_secs")
+    return assign(pairs, "spot_id", "cert_id", [F.col(x) for x in ("spot_date", "start_secs", "spot_id", "place", "cert_date", "air_secs")], scope=["account_id", "ch", "d"])
 
 
 def time_belt(certs: DataFrame, spots: DataFrame) -> DataFrame:
     """Confirmed certificates without a brand on commercial spots of the same duration, by time alone."""
-    c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "duration", "cert_date", "air_secs").filter("air_secs is not null")
-    c = c.withColumn("hour", F.floor(F.col("air_secs") / 3600))
-    s = spots.filter(F.col("ad_type") == "COMMERCIAL BENEFITS").select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "duration", "spot_date", "start_secs", crossing_end(F.col("start_secs"), F.col("end_secs")).alias("stop"))
-    first, last = F.least(F.col("start_secs"), (F.col("start_secs") + F.col("stop")) / 2 - NEAR), F.greatest(F.col("stop") + GRACE, (F.col("start_secs") + F.col("stop")) / 2 + NEAR)
-    s = s.withColumn("hour", F.explode(F.array_distinct(F.transform(F.sequence(F.floor(first / 3600), F.floor(last / 3600)), lambda h: F.pmod(h, F.lit(24))))))
-    pairs = c.join(s, ["account_id", "ch", "duration", "hour"]).filter("cert_date >= spot_date")
-    return _by_window(pairs, in_turn=False)
+    c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), F.lit("").alias("brand_key"), "duration", "cert_date", "air_secs").filter("air_secs is not null")
+    s = spots.filter(F.col("ad_type") == "COMMERCIAL BENEFITS").select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), F.lit("").alias("brand_key"), "duration", "spot_date", "start_secs", crossing_end(F.col("start_secs"), F.col("end_secs")).alias("stop"))
+    return _by_window(c, s, ["account_id", "ch", "duration"], in_turn=False)
 
 
 def standalone(certs: DataFrame, logs: DataFrame, mappings: DataFrame, theme_map: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:
@@ -106,7 +162,8 @@ def standalone(certs: DataFrame, logs: DataFrame, mappings: DataFrame, theme_map
     m = m.withColumn("block", F.explode(F.array(*[F.floor((F.col("cert_secs") + d) / width) for d in (-width, 0, width)])))
     r = logs.select("log_id", "account_id", F.col("log_date").alias("cert_date"), "air_secs", "duration", "advt_theme").withColumn("block", F.floor(F.col("air_secs") / width))
     pairs = m.join(r, ["account_id", "cert_date", "advt_theme", "duration", "block"]).withColumn("gap", F.abs(F.col("air_secs") - F.col("cert_secs"))).filter(F.col("gap") <= tolerance)
-    by_map = assign(pairs.select("cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs"), "cert_id", "log_id", [F.col(x) for x in ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")])
+    pairs = pairs.select("account_id", F.col("cert_date").alias("day"), "cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs")
+    by_map = assign(pairs, "cert_id", "log_id", [F.col(x) for x in ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")], scope=["account_id", "day"])
     rest = c.filter("m is null").select(certs.columns)
     return by_map.withColumn("by_map", F.lit(True)).unionByName(confirm(rest, logs, mappings, tolerance, claimed=by_map).withColumn("by_map", F.lit(False)))
 

@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from spotcheck.functions.scalars import time_band
 
-PRIME = (68400, 82799)
+#: From 19:00 up to midnight.
+PRIME = (68400, 86399)
 
 
 def is_prime() -> Column:
@@ -121,16 +122,27 @@ def new_entrants(ads: DataFrame, batch: int) -> DataFrame:
     return out
 
 
-def pressure(ads: DataFrame, least: int = 3) -> DataFrame:
-    """Channel, programme and day on which ``least`` or more advertisers meet."""
-    return ads.groupBy("account_id", "channel", "program", "ad_date").agg(F.countDistinct("advertiser").alias("advertisers"), F.count("*").alias("ads")).filter(F.col("advertisers") >= least)
+def new_items(ads: DataFrame) -> DataFrame:
+    """Products, creatives and channels that an account's latest batch has and no other batch of it."""
+    latest = ads.groupBy("account_id").agg(F.max("batch").alias("latest"))
+    named = ads.select("account_id", "batch", F.inline(F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("value")) for kind, column in (("product", "product"), ("creative", "advt_theme"), ("channel", "channel"))])))
+    seen = named.filter("value != ''").groupBy("account_id", "kind", "value").agg(F.min("batch").alias("low"), F.max("batch").alias("high"))
+    return seen.join(latest, "account_id").filter("low = latest and high = latest").select("account_id", "kind", "value")
 
 
-def weekend_ratio(ads: DataFrame, least: float = 0.6) -> DataFrame:
-    """Advertisers whose weekend ads are more than ``least`` times their weekday ads."""
+def pressure(ads: DataFrame, least: int = 3, top: int = 3) -> DataFrame:
+    """The ``top`` programmes of each account in which most advertisers meet, ``least`` at least."""
+    by = ads.filter("program != ''").groupBy("account_id", "program").agg(F.countDistinct("advertiser").alias("advertisers")).filter(F.col("advertisers") >= least)
+    place = F.row_number().over(Window.partitionBy("account_id").orderBy(F.desc("advertisers"), "program"))
+    return by.withColumn("place", place).filter(F.col("place") <= top)
+
+
+def weekend_heavy(ads: DataFrame, *by: str, least: float = 0.6) -> DataFrame:
+    """The sets of ads whose weekend ads are more than ``least`` times their weekday ads, of which there must be some; and the percent at weekends."""
     weekend = F.dayofweek("ad_date").isin(1, 7)
-    by = ads.groupBy("account_id", "advertiser").agg(F.count(F.when(weekend, 1)).alias("weekend"), F.count(F.when(~weekend, 1)).alias("weekday"))
-    return by.withColumn("ratio", F.when(F.col("weekday") > 0, F.bround(F.col("weekend") / F.col("weekday"), 4))).filter(F.col("weekend") > least * F.col("weekday"))
+    n = ads.groupBy(*by).agg(F.count(F.when(weekend, 1)).alias("weekend"), F.count(F.when(~weekend, 1)).alias("weekday"))
+    some = (F.col("weekday") > 0) & (F.col("weekend") > least * F.col("weekday"))
+    return n.filter(some).withColumn("weekend_percent", percent(F.col("weekend"), F.col("weekend") + F.col("weekday"), 0))
 
 
 def counts_by(ads: DataFrame, *columns: str, n: int | None = None) -> DataFrame:
@@ -141,5 +153,10 @@ def counts_by(ads: DataFrame, *columns: str, n: int | None = None) -> DataFrame:
     return by
 
 
-def dominance(ads: DataFrame, least: float = 40.0) -> DataFrame:
-    return programme_share(ads).filter(F.col("share") > least)
+def dominance(ads: DataFrame, *by: str, least: float = 40.0) -> DataFrame:
+    """The leading advertiser by spend in each set of ads, where it has more than ``least`` percent of the set's spend."""
+    each = ads.groupBy(*by, "advertiser").agg(spend())
+    lead = each.groupBy(*by).agg(F.sum("spend").cast("decimal(20,2)").alias("total"), F.min(F.struct((-F.col("spend")).alias("s"), F.col("advertiser"))).alias("x"))
+    out = lead.select(*by, F.col("x.advertiser").alias("advertiser"), (-F.col("x.s")).cast("decimal(20,2)").alias("spend"), "total")
+    share = F.col("spend").cast("double") * 100.0 / F.col("total").cast("double")
+    return out.filter((F.col("total") > 0) & (share > least)).withColumn("share", F.bround(share, 0))

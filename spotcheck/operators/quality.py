@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.functions.scalars import end_of_window, normalize, word_overlap
+from spotcheck.functions.scalars import clean_channel, end_of_window, normalize, word_overlap
 from spotcheck.operators.mapping import brand_themes
 
 
@@ -15,6 +15,7 @@ def diagnose(verdicts: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataF
     Counts of log rows by theme, duration, day and claim are taken by grouping, so no spot is
     compared with the rows of other days.
     """
+    verdicts, logs = (x.withColumn("channel", clean_channel(F.col("channel"))) for x in (verdicts, logs))
     open_ = verdicts.filter("log_id is null").withColumn("brand_key", normalize(F.col("brand")))
     themes = brand_themes(mappings, logs)
     scope = ["account_id", "channel"]
@@ -48,9 +49,9 @@ def diagnose(verdicts: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataF
 def candidate_search(spots: DataFrame, logs: DataFrame, minutes: int = 60, n: int = 10, claims: DataFrame | None = None) -> DataFrame:
     """The ``n`` log rows nearest in time to each spot's start on its channel and day, programme ignored."""
     span = minutes * 60
-    s = spots.select("spot_id", "account_id", "channel", F.col("spot_date").alias("day"), "start_secs")
+    s = spots.select("spot_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("spot_date").alias("day"), "start_secs")
     s = s.withColumn("block", F.explode(F.array(*[F.floor((F.col("start_secs") + d) / span) for d in (-span, 0, span)])))
-    r = logs.select("log_id", "account_id", "channel", F.col("log_date").alias("day"), "air_secs", "advt_theme", "duration").withColumn("block", F.floor(F.col("air_secs") / span))
+    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("log_date").alias("day"), "air_secs", "advt_theme", "duration").withColumn("block", F.floor(F.col("air_secs") / span))
     near = s.join(r, ["account_id", "channel", "day", "block"]).withColumn("gap", F.abs(F.col("air_secs") - F.col("start_secs"))).filter(F.col("gap") <= span)
     near = near.withColumn("place", F.row_number().over(Window.partitionBy("spot_id").orderBy("gap", "air_secs", "log_id"))).filter(F.col("place") <= n)
     if claims is None:
@@ -97,8 +98,9 @@ def name_check(uploads: DataFrame, least: float = 0.4) -> DataFrame:
     """Upload headers (account_name, file_name): blocked without an account, a warning if the names differ much."""
     from spotcheck.operators.mapping import sequence_ratio
 
-    ratio = sequence_ratio(F.lower(F.coalesce("account_name", F.lit(""))), F.lower(F.coalesce("file_name", F.lit(""))))
-    out = uploads.withColumn("ratio", ratio)
+    names = uploads.withColumns({"_a": F.lower(F.coalesce("account_name", F.lit(""))), "_f": F.lower(F.coalesce("file_name", F.lit("")))})
+    scored = names.select("_a", "_f").distinct().withColumn("ratio", sequence_ratio(F.col("_a"), F.col("_f")))
+    out = names.join(scored, ["_a", "_f"]).drop("_a", "_f")
     return out.withColumn("result", F.when(F.coalesce(F.col("account_name"), F.lit("")) == "", "blocked").when(F.col("ratio") < least, "warning").otherwise("ok"))
 
 
@@ -110,8 +112,8 @@ def root_causes(certs: DataFrame, logs: DataFrame, mappings: DataFrame, least: f
     known = mappings.select(F.explode(pipe_list(F.col("tc_theme"))).alias("known"))
     alike = look_alikes(certs, known, "tc_theme", "known", least)
     span = seconds + 1
-    c = certs.select("cert_id", "account_id", "channel", F.col("cert_date").alias("day"), F.col("air_secs").alias("at")).withColumn("block", F.explode(F.array(*[F.floor((F.col("at") + d) / span) for d in (-span, 0, span)])))
-    r = logs.select("log_id", "account_id", "channel", F.col("log_date").alias("day"), "air_secs").withColumn("block", F.floor(F.col("air_secs") / span))
+    c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("cert_date").alias("day"), F.col("air_secs").alias("at")).withColumn("block", F.explode(F.array(*[F.floor((F.col("at") + d) / span) for d in (-span, 0, span)])))
+    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("log_date").alias("day"), "air_secs").withColumn("block", F.floor(F.col("air_secs") / span))
     echo = c.join(r, ["account_id", "channel", "day", "block"]).withColumn("gap", F.abs(F.col("air_secs") - F.col("at"))).filter(F.col("gap") <= seconds).select("cert_id", "log_id", "gap")
     return alike, echo
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.functions.scalars import normalize
+from spotcheck.functions.scalars import clean_channel, normalize
 from spotcheck.operators.assign import assign, assign_in_turn
 from spotcheck.operators.mapping import resolve_patterns
 
@@ -18,15 +18,15 @@ def in_turn(spots: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataFrame
     """
     t = mappings.select("account_id", normalize(F.col("brand")).alias("brand_key"), F.col("duration").alias("map_duration"), normalize(F.col("theme")).alias("theme_key")).distinct()
     s = spots.withColumn("brand_key", normalize(F.col("brand"))).join(t, ["account_id", "brand_key"]).filter("map_duration is null or map_duration = duration")
-    s = s.select("spot_id", "account_id", "channel", "theme_key", "duration", "spot_date", "start_secs", "brand_key").distinct()
-    r = logs.select("log_id", "account_id", "channel", normalize(F.col("advt_theme")).alias("theme_key"), "duration", "log_date", "air_secs")
+    s = s.select("spot_id", "account_id", clean_channel(F.col("channel")).alias("channel"), "theme_key", "duration", "spot_date", "start_secs", "brand_key").distinct()
+    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("channel"), normalize(F.col("advt_theme")).alias("theme_key"), "duration", "log_date", "air_secs")
     group = ["account_id", "channel", "theme_key", "duration"]
     themes = s.groupBy("spot_id").agg(F.countDistinct("theme_key").alias("n"))
     several = s.join(themes.filter("n > 1"), "spot_id", "left_semi").select(group).distinct()
     plain = assign_in_turn(s.join(several, group, "left_anti"), r.join(several, group, "left_anti"), group, [F.col(c) for c in ("spot_date", "start_secs", "brand_key", "spot_id")], [F.col(c) for c in ("log_date", "air_secs", "log_id")])
     order = ["spot_date", "start_secs", "brand_key", "spot_id", "theme_key", "log_date", "air_secs"]
-    hard = s.join(several, group, "left_semi").join(r, group).select("log_id", *order)
-    general = assign(hard, "spot_id", "log_id", [F.col(c) for c in order])
+    hard = s.join(several, group, "left_semi").join(r, group).select("account_id", "channel", "duration", "log_id", *order)
+    general = assign(hard, "spot_id", "log_id", [F.col(c) for c in order], scope=["account_id", "channel", "duration"])
     return plain.select("spot_id", "log_id").unionByName(general.select("spot_id", "log_id"))
 
 
@@ -48,7 +48,8 @@ def cover(deals: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataFrame:
     """Log rows of each deal's themes within its days; a row goes to the deal of smallest id that wants it."""
     m = mappings.select("account_id", "brand", "theme").distinct()
     themes = resolve_patterns(m, logs.select("account_id", "advt_theme"), "theme", "advt_theme", ["account_id"]).select("account_id", "brand", "advt_theme").distinct()
-    pairs = deals.join(themes, ["account_id", "brand"]).join(logs, ["account_id", "channel", "advt_theme", "duration"])
+    named = lambda df: df.withColumn("_ch", clean_channel(F.col("channel"))).drop("channel")
+    pairs = named(deals).join(themes, ["account_id", "brand"]).join(named(logs), ["account_id", "_ch", "advt_theme", "duration"])
     pairs = pairs.filter(F.col("log_date").between(F.col("start_date"), F.col("end_date")))
     return pairs.groupBy("log_id").agg(F.min(F.struct("deal_id", "log_date")).alias("x")).select("log_id", F.col("x.deal_id").alias("deal_id"), F.col("x.log_date").alias("log_date"))
 
@@ -95,5 +96,6 @@ def candidates(deals: DataFrame, logs: DataFrame, mappings: DataFrame, claims: D
     m = mappings.select("account_id", "brand", "theme").distinct()
     themes = resolve_patterns(m, logs.select("account_id", "advt_theme"), "theme", "advt_theme", ["account_id"]).select("account_id", "brand", "advt_theme").distinct()
     free = logs.join(claims.select("log_id").distinct(), "log_id", "left_anti")
-    pairs = deals.join(themes, ["account_id", "brand"]).join(free.drop("duration"), ["account_id", "channel", "advt_theme"])
+    named = lambda df: df.withColumn("_ch", clean_channel(F.col("channel"))).drop("channel")
+    pairs = named(deals).join(themes, ["account_id", "brand"]).join(named(free).drop("duration"), ["account_id", "_ch", "advt_theme"])
     return pairs.filter(F.col("log_date").between(F.col("start_date"), F.last_day(F.add_months("end_date", 1)))).select("deal_id", "log_id", "log_date", "air_secs")

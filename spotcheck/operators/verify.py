@@ -35,7 +35,7 @@ def candidates(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: s
     hours = s.withColumn("hour", F.explode(F.sequence(F.floor(F.coalesce("start_secs", F.lit(0)) / 3600), F.floor(F.coalesce("stop", F.lit(86400)) / 3600))))
     late = hours.join(r.withColumn("hour", F.floor(F.col("air_secs") / 3600)), [*key, "hour"]).filter((F.col("log_date") > F.col("spot_date")) & inside)
     late = late.withColumns({"pass": F.lit(4), "measure": F.lit(0)})
-    cols = ["spot_id", "log_id", "schedule_number", "pass", "spot_date", "start_secs", "measure", "log_date", "air_secs"]
+    cols = [*key, "spot_id", "log_id", "schedule_number", "pass", "spot_date", "start_secs", "measure", "log_date", "air_secs"]
     ok = (F.col("map_product") == "") | (F.col("map_product") == F.col("log_product"))
     return same.filter(ok).select(cols).unionByName(late.filter(ok).select(cols))
 
@@ -60,7 +60,7 @@ def verify(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: str =
         open_ = open_.join(cap, ["account_id", "channel"], "left").withColumn("_pending", F.coalesce(F.col("spot_date") > F.col("last_date"), F.lit(False)))
         pending = open_.filter("_pending").select("spot_id")
         open_ = open_.filter("not _pending").drop("_pending", "last_date")
-    pairs = assign(candidates(open_, free, mappings, source), "spot_id", "log_id", [F.col(c) for c in ("schedule_number", "pass", "spot_date", "start_secs", "spot_id", "measure", "log_date", "air_secs")])
+    pairs = assign(candidates(open_, free, mappings, source), "spot_id", "log_id", [F.col(c) for c in ("schedule_number", "pass", "spot_date", "start_secs", "spot_id", "measure", "log_date", "air_secs")], scope=["account_id", "channel_key", "duration"])
     pairs = pairs.select("spot_id", "log_id", "pass")
     if manual is not None:
         pairs = pairs.unionByName(manual.select("spot_id", "log_id", F.lit(1).alias("pass")))
@@ -128,12 +128,12 @@ def makeup_schedules(headers: DataFrame) -> DataFrame:
 
 def tolerant_match(spots: DataFrame, logs: DataFrame, theme_of: DataFrame, days: int = 0) -> DataFrame:
     """The older rule: one log theme for a brand and duration (any duration failing that), within ``days``, else shifted, else missed."""
-    scope = ["account_id", "channel"]
+    scope = ["account_id", "_ch"]
     exact = theme_of.filter("map_duration is not null").select("account_id", "brand_key", F.col("map_duration").alias("duration"), F.col("advt_theme").alias("t1"))
     any_ = theme_of.groupBy("account_id", "brand_key").agg(F.min("advt_theme").alias("t2"))
-    s = spots.withColumn("brand_key", normalize(F.col("brand"))).join(exact, ["account_id", "brand_key", "duration"], "left").join(any_, ["account_id", "brand_key"], "left")
+    s = spots.withColumns({"brand_key": normalize(F.col("brand")), "_ch": clean_channel(F.col("channel"))}).join(exact, ["account_id", "brand_key", "duration"], "left").join(any_, ["account_id", "brand_key"], "left")
     s = s.withColumn("advt_theme", F.coalesce("t1", "t2"))
-    pairs = s.join(logs.select("log_id", *scope, "advt_theme", "duration", "log_date", "air_secs"), [*scope, "advt_theme", "duration"])
+    pairs = s.join(logs.withColumn("_ch", clean_channel(F.col("channel"))).select("log_id", *scope, "advt_theme", "duration", "log_date", "air_secs"), [*scope, "advt_theme", "duration"])
     gap = F.abs(F.datediff("log_date", "spot_date"))
     inside = F.col("air_secs").between(F.col("start_secs"), F.col("end_secs")) & (gap <= days)
     pairs = pairs.filter(gap <= max(days, 1)).withColumn("tier", F.when(inside, 1).otherwise(2))

@@ -24,4 +24,4 @@ def query(sql: str | None = None, ctes: str = "", recursive: bool = True):
     return register
 
 
-from spotcheck.plans import certificates, market, reports, verification  # noqa: E402,F401
+from spotcheck.plans import certificates, market, reports, scopes, verification  # noqa: E402,F401

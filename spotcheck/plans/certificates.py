@@ -12,14 +12,14 @@ from spotcheck.plans.walk import walk
 from spotcheck.sources.projection import certs, logs, mappings, spots
 from spotcheck.sources.staging import materialize
 
-TC = """tc AS (SELECT DISTINCT m.account_id, m.brand, x.tc_theme, t.advt_theme FROM (SELECT *, unnest(string_split(tc_theme, '|')) AS one FROM mappings) AS m
+TC = """tc AS (SELECT DISTINCT m.account_id, m.brand, m.product, x.tc_theme, t.advt_theme FROM (SELECT *, unnest(string_split(tc_theme, '|')) AS one FROM mappings) AS m
   JOIN (SELECT DISTINCT account_id, tc_theme FROM certs) AS x ON x.account_id = m.account_id AND x.tc_theme = m.one
   LEFT JOIN themes AS t ON t.account_id = m.account_id AND t.brand = m.brand)"""
 
 CONFIRMED = THEMES + ", " + TC + ", " + walk("confirmed", """SELECT k.cert_id, r.log_id, k.account_id, k.channel, k.cert_date, k.duration, k.air_secs AS cert_secs, abs(r.air_secs - k.air_secs) AS gap, r.air_secs
   FROM certs AS k JOIN logs AS r ON r.account_id = k.account_id AND r.channel = k.channel AND r.log_date = k.cert_date AND r.duration = k.duration AND abs(r.air_secs - k.air_secs) <= 5
   WHERE NOT EXISTS (SELECT 1 FROM tc WHERE tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme)
-    OR EXISTS (SELECT 1 FROM tc WHERE tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme AND tc.advt_theme = r.advt_theme)""",
+    OR EXISTS (SELECT 1 FROM tc WHERE tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme AND tc.advt_theme = r.advt_theme AND tc.product IN ('', lower(r.product)))""",
     "concat_ws('|', account_id, channel, cert_date, duration)", "cert_id", "log_id", "cert_date, cert_secs, cert_id, gap, air_secs, log_id")
 
 
@@ -97,7 +97,7 @@ def cert_time_belt_fallback(spark, sf_dir):
     "concat_ws('|', account_id, cert_date)", "cert_id", "log_id", "cert_date, cert_secs, cert_id, gap, air_secs, log_id") + ", " + walk("rest", """SELECT k.cert_id, r.log_id, k.account_id, k.channel, k.cert_date, k.duration,
     k.air_secs AS cert_secs, abs(r.air_secs - k.air_secs) AS gap, r.air_secs FROM certs AS k JOIN logs AS r ON r.account_id = k.account_id AND r.channel = k.channel AND r.log_date = k.cert_date AND r.duration = k.duration
     AND abs(r.air_secs - k.air_secs) <= 5 WHERE k.tc_theme <> 'tc theme 13' AND r.log_id NOT IN (SELECT log_id FROM by_map) AND (NOT EXISTS (SELECT 1 FROM tc WHERE tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme)
-    OR EXISTS (SELECT 1 FROM tc WHERE tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme AND tc.advt_theme = r.advt_theme))""",
+    OR EXISTS (SELECT 1 FROM tc WHERE tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme AND tc.advt_theme = r.advt_theme AND tc.product IN ('', lower(r.product))))""",
     "concat_ws('|', account_id, channel, cert_date, duration)", "cert_id", "log_id", "cert_date, cert_secs, cert_id, gap, air_secs, log_id"))
 def cert_log_standalone(spark, sf_dir):
     """With a theme map for theme 13, which no brand has."""

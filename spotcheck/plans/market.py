@@ -9,8 +9,9 @@ from spotcheck.plans.catalog import query
 from spotcheck.sources.projection import ads
 
 SPEND = "CAST(sum(cost) AS DECIMAL(20,2)) AS spend"
-BAND = "CASE WHEN air_secs BETWEEN 21600 AND 43199 THEN 'morning' WHEN air_secs BETWEEN 43200 AND 68399 THEN 'afternoon' WHEN air_secs BETWEEN 68400 AND 82799 THEN 'prime' ELSE 'night' END"
-PRIME = "air_secs BETWEEN 68400 AND 82799"
+HOUR = "air_secs // 3600"
+BAND = f"CASE WHEN {HOUR} >= 6 AND {HOUR} < 12 THEN 'morning' WHEN {HOUR} >= 12 AND {HOUR} < 19 THEN 'daytime' WHEN {HOUR} >= 19 AND {HOUR} <= 23 THEN 'primetime' ELSE 'latenight' END"
+PRIME = f"{HOUR} >= 19 AND {HOUR} <= 23"
 
 
 @query(f"""SELECT account_id, CAST(sum(spend) AS DECIMAL(20,2)) AS spend, CAST(sum(n) AS BIGINT) AS ads, round_even(sum(d) / sum(n), 1) AS avg_duration,
@@ -50,9 +51,15 @@ def programme_share(spark, sf_dir):
     return m.programme_share(ads(spark, sf_dir))
 
 
-@query(f"SELECT * FROM ({SHARE}) WHERE share > 40")
+BY_MONTH = "SELECT *, date_trunc('month', ad_date)::DATE AS month FROM ads"
+
+
+@query(f"""SELECT account_id, program, month, advertiser, spend, total, round_even(spend::DOUBLE * 100.0::DOUBLE / total::DOUBLE, 0) AS share FROM (SELECT *,
+    CAST(sum(spend) OVER w AS DECIMAL(20,2)) AS total, row_number() OVER (w ORDER BY spend DESC, advertiser) AS n FROM (SELECT account_id, program, month, advertiser, {SPEND} FROM ({BY_MONTH}) GROUP BY ALL)
+    WINDOW w AS (PARTITION BY account_id, program, month)) WHERE n = 1 AND total > 0 AND spend::DOUBLE * 100.0::DOUBLE / total::DOUBLE > 40""")
 def programme_dominance(spark, sf_dir):
-    return m.dominance(ads(spark, sf_dir))
+    """The dominant advertiser of each programme and month."""
+    return m.dominance(ads(spark, sf_dir).withColumn("month", F.trunc("ad_date", "month")), "account_id", "program", "month")
 
 
 @query("SELECT account_id, CASE WHEN ad_position = 1 THEN 'First' WHEN ad_position = total_ads THEN 'Last' ELSE 'Middle' END AS place, count(*) AS ads FROM ads GROUP BY ALL")
@@ -101,15 +108,25 @@ def new_entrants(spark, sf_dir):
     return m.new_entrants(ads(spark, sf_dir), 1997)
 
 
-@query("SELECT account_id, channel, program, ad_date, count(DISTINCT advertiser) AS advertisers, count(*) AS ads FROM ads GROUP BY ALL HAVING count(DISTINCT advertiser) >= 3")
+@query("""SELECT account_id, kind, value FROM (SELECT *, max(batch) OVER (PARTITION BY account_id) AS latest FROM (SELECT account_id, batch, unnest(['product', 'creative', 'channel']) AS kind, unnest([product, advt_theme || ' ' || year(ad_date), channel]) AS value FROM ads))
+  WHERE value <> '' GROUP BY account_id, kind, value, latest HAVING min(batch) = latest AND max(batch) = latest""")
+def new_items(spark, sf_dir):
+    """With creatives that each year names anew."""
+    a = ads(spark, sf_dir)
+    return m.new_items(a.withColumn("advt_theme", F.concat_ws(" ", "advt_theme", F.year("ad_date"))))
+
+
+@query("""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY account_id ORDER BY advertisers DESC, program) AS INTEGER) AS place FROM
+  (SELECT account_id, program, count(DISTINCT advertiser) AS advertisers FROM ads WHERE program <> '' GROUP BY ALL HAVING count(DISTINCT advertiser) >= 3)) WHERE place <= 3""")
 def competitive_pressure(spark, sf_dir):
     return m.pressure(ads(spark, sf_dir))
 
 
-@query("""SELECT account_id, advertiser, weekend, weekday, CASE WHEN weekday > 0 THEN round_even(weekend::DOUBLE / weekday, 4) END AS ratio FROM (SELECT account_id, advertiser,
-  count(*) FILTER (dayofweek(ad_date) IN (0, 6)) AS weekend, count(*) FILTER (dayofweek(ad_date) NOT IN (0, 6)) AS weekday FROM ads GROUP BY ALL) WHERE weekend > 0.6 * weekday""")
+@query(f"""SELECT *, round_even(weekend * 100.0::DOUBLE / (weekend + weekday), 0) AS weekend_percent FROM (SELECT account_id, advertiser, month, count(*) FILTER (dayofweek(ad_date) IN (0, 6)) AS weekend,
+  count(*) FILTER (dayofweek(ad_date) NOT IN (0, 6)) AS weekday FROM ({BY_MONTH}) GROUP BY ALL) WHERE weekday > 0 AND weekend / weekday > 0.6""")
 def weekend_advertisers(spark, sf_dir):
-    return m.weekend_ratio(ads(spark, sf_dir))
+    """Advertisers and months with weekend-heavy flighting."""
+    return m.weekend_heavy(ads(spark, sf_dir).withColumn("month", F.trunc("ad_date", "month")), "account_id", "advertiser", "month")
 
 
 @query(f"SELECT account_id, advertiser, channel, count(*) AS ads, {SPEND} FROM ads GROUP BY ALL")
@@ -141,8 +158,8 @@ def compact_spend(spark, sf_dir):
     return by.withColumn("compact", F.regexp_replace(compact_number(F.col("spend").cast("double")), ",", ""))
 
 
-@query("SELECT approx AS ok, account_id FROM (SELECT account_id, count(DISTINCT product) > 0 AS approx FROM ads GROUP BY account_id)")
+@query("SELECT account_id, count(DISTINCT product) AS products, true AS estimate_fits FROM ads GROUP BY account_id")
 def approximate_products(spark, sf_dir):
-    """Whether the approximate number of products lies within a tenth of the exact one."""
-    by = ads(spark, sf_dir).groupBy("account_id").agg(F.countDistinct("product").alias("n"), F.approx_count_distinct("product", 0.02).alias("a"))
-    return by.select("account_id", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("ok"))
+    """The number of products, and whether its estimate by a mergeable sketch lies within a tenth of it."""
+    by = ads(spark, sf_dir).groupBy("account_id").agg(F.countDistinct("product").alias("products"), F.approx_count_distinct("product", 0.02).alias("a"))
+    return by.select("account_id", "products", (F.abs(F.col("a") - F.col("products")) <= 0.1 * F.col("products")).alias("estimate_fits"))

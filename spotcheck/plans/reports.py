@@ -29,7 +29,7 @@ def time_seconds(spark, sf_dir):
     return r.select("log_id", "clock", s(F.col("clock")).alias("secs"), s(F.substring("clock", 1, 5)).alias("minutes_only"), s((F.col("air_secs") / 86400).cast("string")).alias("from_fraction"), s(F.lit("soon")).alias("bad"))
 
 
-@query("""SELECT log_id, CASE WHEN air_secs BETWEEN 21600 AND 43199 THEN 'morning' WHEN air_secs BETWEEN 43200 AND 68399 THEN 'afternoon' WHEN air_secs BETWEEN 68400 AND 82799 THEN 'prime' ELSE 'night' END AS band FROM logs""")
+@query("""SELECT log_id, CASE WHEN air_secs // 3600 BETWEEN 6 AND 11 THEN 'morning' WHEN air_secs // 3600 BETWEEN 12 AND 18 THEN 'daytime' WHEN air_secs // 3600 BETWEEN 19 AND 23 THEN 'primetime' ELSE 'latenight' END AS band FROM logs""")
 def time_band(spark, sf_dir):
     return logs(spark, sf_dir).select("log_id", f.time_band(F.col("air_secs")).alias("band"))
 
@@ -121,7 +121,7 @@ def superseded(spark, sf_dir):
   WHEN n IS NULL THEN 'claimed by other spots' WHEN matchable THEN 'should match' WHEN after IS NOT NULL THEN 'after the window' ELSE 'before the window' END AS reason,
   CASE WHEN n IS NOT NULL AND NOT matchable THEN after END AS after_secs FROM (SELECT v.spot_id, any_value(v.account_id) AS account_id, any_value(v.channel) AS channel, any_value(v.brand) AS brand, any_value(v.duration) AS duration, any_value(v.spot_date) AS spot_date,
     count(r.log_id) AS c, CASE WHEN count(r.log_id) > 0 THEN count(r.log_id) END AS n, min(CASE WHEN r.air_secs > v.end_secs THEN r.air_secs - v.end_secs END) AS after,
-    bool_or(r.air_secs BETWEEN v.start_secs AND v.end_secs OR r.air_secs - v.end_secs BETWEEN 1 AND 600 OR r.program = v.programme) AS matchable
+    bool_or(r.air_secs BETWEEN v.start_secs AND v.end_secs OR r.air_secs - v.end_secs BETWEEN 1 AND 600 OR len(list_intersect(string_split(v.programme, ' '), string_split(r.program, ' '))) * 2 >= len(string_split(v.programme, ' '))) AS matchable
     FROM verdicts AS v LEFT JOIN free AS r ON r.account_id = v.account_id AND r.channel = v.channel AND r.brand = v.brand AND r.duration = v.duration AND r.log_date = v.spot_date WHERE v.log_id IS NULL GROUP BY v.spot_id) AS v""",
        VERDICTS + ", rows AS (SELECT r.*, t.brand FROM logs AS r JOIN themes AS t ON t.account_id = r.account_id AND t.advt_theme = r.advt_theme), free AS (SELECT * FROM rows WHERE log_id NOT IN (SELECT log_id FROM picks))")
 def diagnose(spark, sf_dir):
@@ -134,7 +134,7 @@ def candidate_search(spark, sf_dir):
     return quality.candidate_search(spots(spark, sf_dir), logs(spark, sf_dir))
 
 
-@query("""SELECT account_id, count(*) FILTER (m) AS mapped, count(*) FILTER (NOT m) AS unmapped, CAST(coalesce(sum(n) FILTER (m), 0) AS BIGINT) AS mapped_spots, array_to_string(list(brand ORDER BY brand) FILTER (NOT m), ',') AS unmapped_brands
+@query("""SELECT account_id, count(*) FILTER (m) AS mapped, count(*) FILTER (NOT m) AS unmapped, CAST(coalesce(sum(n) FILTER (m), 0) AS BIGINT) AS mapped_spots, coalesce(array_to_string(list(brand ORDER BY brand) FILTER (NOT m), ','), '') AS unmapped_brands
   FROM (SELECT account_id, brand, count(*) AS n, (account_id, brand) IN (SELECT (account_id, brand) FROM mappings) AS m FROM spots GROUP BY account_id, brand) GROUP BY account_id""")
 def mapping_coverage(spark, sf_dir):
     return quality.mapping_coverage(spots(spark, sf_dir), mappings(spark, sf_dir)).withColumn("unmapped_brands", F.array_join("unmapped_brands", ","))
@@ -194,11 +194,17 @@ def confirmed_missed(spark, sf_dir):
     return verdicts(spark, sf_dir).filter("status = 'not_aired'").join(F.broadcast(latest), F.col("spot_date") <= F.col("latest")).select("spot_id", "status")  # one row
 
 
-@query("""SELECT account_id, channel, min(spot_date) AS first_date, max(spot_date) AS last_date, least(max(spot_date), (SELECT max(log_date) FROM logs AS r WHERE r.account_id = p.account_id AND r.channel = p.channel)) AS cap_date FROM spots AS p GROUP BY account_id, channel""")
+@query("""SELECT account_id, channel, coalesce(h1, s1) AS first_date, coalesce(h2, s2) AS last_date, least(coalesce(h2, s2), latest) AS cap_date FROM
+  (SELECT account_id, channel, min(spot_date) AS s1, max(spot_date) AS s2 FROM spots GROUP BY ALL)
+  LEFT JOIN (SELECT account_id, channel, min(spot_date) + 2 AS h1, greatest(max(spot_date) FILTER (spot_id % 2 = 0) - 3, max(spot_date) FILTER (spot_id % 2 = 1) - 3 + CASE WHEN account_id = 0 THEN 2 ELSE 12 END) AS h2
+    FROM spots WHERE account_id < 2 GROUP BY account_id, channel) USING (account_id, channel)
+  LEFT JOIN (SELECT account_id, channel, max(log_date) AS latest FROM logs GROUP BY ALL) USING (account_id, channel)""")
 def scope_window(spark, sf_dir):
+    """Two headers for each scope of accounts 0 and 1, one of them with a makeup end; the other scopes by their spots."""
     p = spots(spark, sf_dir)
-    none = p.select("account_id", "channel", F.lit(None).cast("date").alias("start_date"), F.lit(None).cast("date").alias("end_date"), F.lit(None).cast("date").alias("makeup_end_date")).limit(0)
-    return verify.scope_window(none, p, logs(spark, sf_dir))
+    h = p.filter("account_id < 2").groupBy("account_id", "channel", F.expr("spot_id % 2").alias("half")).agg(F.date_add(F.min("spot_date"), 2).alias("start_date"), F.date_sub(F.max("spot_date"), 3).alias("end_date"))
+    late = F.when(F.col("half") == 1, F.date_add("end_date", F.when(F.col("account_id") == 0, 2).otherwise(12)))
+    return verify.scope_window(h.withColumn("makeup_end_date", late), p, logs(spark, sf_dir))
 
 
 @query("""SELECT account_id, channel, brand, '2024-01-15'::DATE >= min(spot_date) AS begun, count(*) AS spots FROM spots WHERE contains(lower(brand), 'brand 1') GROUP BY ALL""")

@@ -11,7 +11,7 @@ from spotcheck.sources.projection import logs, mappings, spots
 
 COMMERCIAL = "COMMERCIAL BENEFITS"
 
-THEMES = """themes AS (SELECT DISTINCT m.account_id, m.brand, t.advt_theme FROM mappings AS m
+THEMES = """themes AS (SELECT DISTINCT m.account_id, m.brand, m.product, t.advt_theme FROM mappings AS m
   JOIN (SELECT DISTINCT account_id, advt_theme FROM logs) AS t ON t.account_id = m.account_id
   AND (t.advt_theme = m.theme OR (m.theme LIKE '%*' AND starts_with(t.advt_theme, rtrim(m.theme, '*')))))"""
 
@@ -19,10 +19,10 @@ CANDIDATES = THEMES + """, pairs AS (SELECT s.spot_id, r.log_id, s.schedule_numb
     s.account_id, s.channel, r.advt_theme, s.duration,
     CASE WHEN r.log_date = s.spot_date AND r.air_secs BETWEEN s.start_secs AND s.end_secs THEN 1
       WHEN r.log_date = s.spot_date AND r.air_secs - s.end_secs BETWEEN 1 AND 600 THEN 2
-      WHEN r.log_date = s.spot_date AND r.program = s.programme THEN 3
+      WHEN r.log_date = s.spot_date AND len(list_intersect(string_split(s.programme, ' '), string_split(r.program, ' '))) * 2 >= len(string_split(s.programme, ' ')) THEN 3
       WHEN r.log_date > s.spot_date AND r.air_secs BETWEEN s.start_secs AND s.end_secs THEN 4 END AS pass, s.end_secs
   FROM spots AS s JOIN themes AS t ON t.account_id = s.account_id AND t.brand = s.brand
-  JOIN logs AS r ON r.account_id = s.account_id AND r.channel = s.channel AND r.advt_theme = t.advt_theme AND r.duration = s.duration AND r.log_date >= s.spot_date
+  JOIN logs AS r ON r.account_id = s.account_id AND r.channel = s.channel AND r.advt_theme = t.advt_theme AND r.duration = s.duration AND r.log_date >= s.spot_date AND (t.product = '' OR lower(r.product) = t.product)
   WHERE s.ad_type = 'COMMERCIAL BENEFITS')"""
 
 VERDICTS = CANDIDATES + """, edges AS (SELECT *, row_number() OVER (PARTITION BY account_id, channel, advt_theme, duration

@@ -23,6 +23,7 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("log_id"), F.expr("user_id % 4").alias("account_id"), F.col("event_type").alias("channel"),
         F.expr("date_add(cast(ts as date), if(event_id % 11 = 0, 1, 0))").alias("log_date"), F.col("secs").cast("bigint").alias("air_secs"),
         F.expr(_DUR).alias("duration"), F.expr("concat('theme ', user_id % 15)").alias("advt_theme"), F.expr("concat('prg', secs div 10800)").alias("program"),
+        F.expr("case when user_id % 15 <> 2 then '' when event_id % 4 = 0 then 'Silver' else 'Gold' end").alias("product"),
     )
 
 
@@ -33,7 +34,7 @@ def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("spot_id"), F.expr("user_id % 4").alias("account_id"), F.col("event_type").alias("channel"), F.expr("cast(ts as date)").alias("spot_date"),
         F.expr("cast(h * 3600 - if(event_id % 7 = 0, 3600, 0) as bigint)").alias("start_secs"), F.expr("cast(h * 3600 + if(event_id % 7 = 0, 0, 3599) as bigint)").alias("end_secs"),
         F.expr(_DUR).alias("duration"), F.expr("concat('Brand ', user_id % 15)").alias("brand"),
-        F.expr("concat('prg', (h * 3600 - if(event_id % 7 = 0, 3600, 0) + 1800) div 10800)").alias("programme"),
+        F.expr("concat(case event_id % 3 when 0 then 'late show ' when 1 then 'show ' else '' end, 'prg', (h * 3600 - if(event_id % 7 = 0, 3600, 0) + 1800) div 10800)").alias("programme"),
         F.expr("if(event_id % 6 = 5, 'SPONSORSHIP', 'COMMERCIAL BENEFITS')").alias("ad_type"), F.expr("if(event_id % 2 = 0, '101', '102')").alias("schedule_number"),
     )
 
@@ -52,7 +53,7 @@ def mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = spots(spark, sf_dir).select("account_id", F.expr("cast(substring(brand, 7) as int)").alias("k")).distinct().filter("k < 13")
     return brands.selectExpr(
         "account_id", "concat('Brand ', k) as brand", "if(k = 3, 'theme 3*', concat('theme ', k)) as theme",
-        "if(k = 4, 'tc theme 4|tc alt 4', concat('tc theme ', k)) as tc_theme", "cast(null as int) as duration", "'' as product",
+        "if(k = 4, 'tc theme 4|tc alt 4', concat('tc theme ', k)) as tc_theme", "cast(null as int) as duration", "if(k = 2, 'gold', '') as product",
     )
 
 
@@ -78,13 +79,14 @@ logs AS (SELECT event_id AS log_id, user_id % 4 AS account_id, event_type AS cha
   CAST(floor(epoch(date_trunc('second', ts))) AS BIGINT) % 86400 AS air_secs,
   CASE user_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 15 WHEN 3 THEN 20 ELSE 30 END AS duration,
   'theme ' || (user_id % 15) AS advt_theme,
-  'prg' || (CAST(floor(epoch(date_trunc('second', ts))) AS BIGINT) % 86400) // 10800 AS program
+  'prg' || (CAST(floor(epoch(date_trunc('second', ts))) AS BIGINT) % 86400) // 10800 AS program,
+  CASE WHEN user_id % 15 <> 2 THEN '' WHEN event_id % 4 = 0 THEN 'Silver' ELSE 'Gold' END AS product
 FROM events WHERE event_id % 10 <> 0),
 spots AS (SELECT event_id AS spot_id, account_id, channel, spot_date,
   h * 3600 - CASE WHEN event_id % 7 = 0 THEN 3600 ELSE 0 END AS start_secs,
   h * 3600 + CASE WHEN event_id % 7 = 0 THEN 0 ELSE 3599 END AS end_secs,
   duration, brand,
-  'prg' || (h * 3600 - CASE WHEN event_id % 7 = 0 THEN 3600 ELSE 0 END + 1800) // 10800 AS programme,
+  CASE event_id % 3 WHEN 0 THEN 'late show ' WHEN 1 THEN 'show ' ELSE '' END || 'prg' || (h * 3600 - CASE WHEN event_id % 7 = 0 THEN 3600 ELSE 0 END + 1800) // 10800 AS programme,
   CASE WHEN event_id % 6 = 5 THEN 'SPONSORSHIP' ELSE 'COMMERCIAL BENEFITS' END AS ad_type,
   CASE WHEN event_id % 2 = 0 THEN '101' ELSE '102' END AS schedule_number
 FROM (SELECT *, user_id % 4 AS account_id, event_type AS channel, CAST(ts AS DATE) AS spot_date,
@@ -96,7 +98,7 @@ certs AS (SELECT event_id AS cert_id, user_id % 4 AS account_id, event_type AS c
   CASE user_id % 5 WHEN 0 THEN 5 WHEN 1 THEN 10 WHEN 2 THEN 15 WHEN 3 THEN 20 ELSE 30 END AS duration,
   'tc theme ' || (user_id % 15) AS tc_theme FROM events WHERE event_id % 10 <> 2),
 mappings AS (SELECT account_id, 'Brand ' || k AS brand, CASE WHEN k = 3 THEN 'theme 3*' ELSE 'theme ' || k END AS theme,
-  CASE WHEN k = 4 THEN 'tc theme 4|tc alt 4' ELSE 'tc theme ' || k END AS tc_theme, CAST(NULL AS INTEGER) AS duration, '' AS product
+  CASE WHEN k = 4 THEN 'tc theme 4|tc alt 4' ELSE 'tc theme ' || k END AS tc_theme, CAST(NULL AS INTEGER) AS duration, CASE WHEN k = 2 THEN 'gold' ELSE '' END AS product
 FROM (SELECT DISTINCT account_id, CAST(substr(brand, 7) AS INTEGER) AS k FROM spots) WHERE k < 13),
 ads AS (SELECT l_orderkey % 3 AS account_id, s_name AS advertiser, p_name AS product, p_brand AS advt_theme, n_name AS channel,
   p_type AS program, CAST(l_shipdate AS DATE) AS ad_date, CAST(l_linenumber AS INTEGER) AS ad_position,

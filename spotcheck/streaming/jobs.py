@@ -26,13 +26,10 @@ def near_pairs(certs: DataFrame, logs: DataFrame, seconds: int = 5, late: str =
 
 
 def refresh_scopes(logs: DataFrame, reconcile: Callable[[DataFrame], DataFrame], path: str):
-    """A writer that reconciles the scopes of each batch anew and overwrites their partitions.
-
-    Set ``spark.sql.sources.partitionOverwriteMode`` to dynamic, so other scopes stay.
-    """
+    """A writer that reconciles the scopes of each batch anew and overwrites their partitions; other scopes stay."""
 
     def batch(df: DataFrame, _: int) -> None:
         scopes = df.select("account_id", "channel").distinct()
-        reconcile(scopes).write.mode("overwrite").partitionBy("account_id", "channel").parquet(path)
+        reconcile(scopes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("account_id", "channel").parquet(path)
 
     return logs.writeStream.foreachBatch(batch)

@@ -49,7 +49,7 @@ def test_pivot_sheet(spark):
     assert ingest.header_rows(cells).first()["header_row"] == 1
     spots = ingest.flatten_pivot(cells)
     got = sorted((r["section"], r["programme"], r["brand"], r["duration"], str(r["date"]), r["spot_number"]) for r in spots.collect())
-    assert got == [("COMMERCIAL BENEFITS", "News", "Brand A", 30, "2025-01-01", 1), ("COMMERCIAL BENEFITS", "News", "Brand A", 30, "2025-01-01", 2), ("SPONSORSHIP", "Drama", "Drama", 10, "2025-01-02", 1)]
+    assert got == [("COMMERCIAL BENEFITS", "News", "Brand A", 30, "2025-01-01", 1), ("COMMERCIAL BENEFITS", "News", "Brand A", 30, "2025-01-01", 2), ("SPONSORSHIP BENEFITS", "Drama", "Drama", 10, "2025-01-02", 1)]
     p = ingest.profile_sheets(spots).first()
     assert (p["commercial"], p["sponsorship"], p["month"]) == (2, 1, "January 2025")
 
