@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.llm.frames import materialize
+from spotcheck.llm.frames import join_by_group, materialize
 
 #: Vectors the tree is fitted on at most; every vector is indexed.
 SAMPLE = 16384
@@ -138,10 +138,11 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
     until ``CALIBRATION`` queries, whose neighbours are known from a pass over all rows in
     blocks, find ``recall`` of them.  Leaves lie on shelves of about ``shelf_rows`` vectors;
     larger leaves are split over several, and the queries of a shelf into packets, so a
-    crowded leaf is no single task.
+    crowded leaf is no single task.  There are as many leaves as the sample allows, ``SAMPLE``
+    at most, so with more vectors leaves are larger and a search reads more of them.
 
     Vectors that are null, zero, hold null or non-finite components, or have another number
-    of components than most, take no part.  A repeated vec_id with the same vector counts
+    of components than most, take no part, nor do rows without a vec_id.  A repeated vec_id with the same vector counts
     once.  Empty tables give empty ones; fewer candidates give fewer rows.
     """
     spark = rows.sparkSession
@@ -167,10 +168,10 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
             yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(leaf), batch.column("vec"), batch.column("ids")], ["vid", "leaf", "vec", "ids"])
 
     index = materialize(unique.select("vid", "vec", "ids").mapInArrow(assign, "vid long, leaf int, vec binary, ids array<long>"))
-    asked = packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec")
-    asked = materialize(asked.join(index.select("vid", "vec"), "vec").select("query_id", "vid"))
-    queries = asked.select("vid").distinct().join(index.select("vid", "vec"), "vid")
+    asked = materialize(packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec"))
+    queries = asked.groupBy("vec").agg(F.count("*").alias("rows")).join(index.select("vid", "vec"), "vec")
     queries = materialize(queries)
+    asked = materialize(join_by_group(asked, queries, "vec").select("query_id", "vid"))  # a vector may have very many query copies
     visits = calibrated_visits(queries, index, shared, k, recall)
 
     counts = {r["leaf"]: r["count"] for r in index.groupBy("leaf").count().collect()}  # a row for each leaf
@@ -199,13 +200,11 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["shelf", "qid", "qvec", "leaves"])
 
     routed = materialize(queries.repartition(F.col("vid")).mapInArrow(route, "shelf int, qid long, qvec binary, leaves array<int>"))
-    crowd = {r["shelf"]: -(-r["count"] // shelf_rows) for r in routed.groupBy("shelf").count().collect()}  # a row for each shelf
-    packets = F.create_map(*[F.lit(x) for item in crowd.items() for x in item]) if crowd else F.create_map(F.lit(0), F.lit(1))
-    first_of = F.create_map(*[F.lit(x) for leaf, (first, _) in shelves.items() for x in (leaf, first)])
-    parts_of = F.create_map(*[F.lit(x) for leaf, (_, parts) in shelves.items() for x in (leaf, parts)])
-    stored = index.withColumn("shelf", (first_of[F.col("leaf")] + F.pmod(F.xxhash64("vid"), parts_of[F.col("leaf")])).cast("int"))
-    stored = stored.withColumn("packet", F.explode(F.sequence(F.lit(0), F.coalesce(packets[F.col("shelf")], F.lit(1)) - 1)))
-    routed = routed.withColumn("packet", F.pmod(F.xxhash64("qid"), packets[F.col("shelf")]).cast("int"))
+    crowd = F.broadcast(routed.groupBy("shelf").agg(F.ceil(F.count("*") / shelf_rows).cast("int").alias("packets")))  # a row for each shelf
+    on = F.broadcast(spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in shelves.items()], "leaf int, first int, parts int"))  # a row for each leaf, SAMPLE at most
+    stored = index.join(on, "leaf").withColumn("shelf", (F.col("first") + F.pmod(F.xxhash64("vid"), F.col("parts"))).cast("int"))
+    stored = stored.join(crowd, "shelf").withColumn("packet", F.explode(F.sequence(F.lit(0), F.col("packets") - 1))).drop("packets", "first", "parts")
+    routed = routed.join(crowd, "shelf").withColumn("packet", F.pmod(F.xxhash64("qid"), F.col("packets")).cast("int")).drop("packets")
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(x):
@@ -227,7 +226,7 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
     each = near.select("qid", "score", F.explode("ids").alias("id"))
     each = each.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).filter(F.col("_n") <= k + 1)
     lists = each.groupBy(F.col("qid").alias("vid")).agg(F.sort_array(F.collect_list(F.struct("_n", "id", "score"))).alias("found"))  # k + 1 at most
-    answers = asked.join(lists, "vid").select("query_id", F.expr(f"slice(filter(found, x -> x.id != query_id), 1, {k})").alias("found"))
+    answers = join_by_group(asked, lists.join(queries.select("vid", "rows"), "vid"), "vid").select("query_id", F.expr(f"slice(filter(found, x -> x.id != query_id), 1, {k})").alias("found"))
     return answers.select("query_id", F.posexplode("found").alias("rank", "f")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), F.col("f.score").alias("score"))
 
 

@@ -14,7 +14,7 @@ def test_neighbours_against_brute_force(spark):
     x = rng.normal(size=(900, 12))
     x[100:130] = x[100]  # copies
     x[5] = 0.0
-    data = [(i, [float(v) for v in x[i]]) for i in range(900)] + [(2000, None), (2001, [1.0, None] + [0.0] * 10), (2002, [float("nan")] * 12), (2003, [1.0] * 5), (3, [float(v) for v in x[3]])]
+    data = [(i, [float(v) for v in x[i]]) for i in range(900)] + [(2000, None), (2001, [1.0, None] + [0.0] * 10), (2002, [float("nan")] * 12), (2003, [1.0] * 5), (3, [float(v) for v in x[3]]), (None, [1.0] * 12)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>").selectExpr("vec_id", "embedding", "1 as rank")
     got = {}
     for r in neighbours.search(df, every=20, k=20, recall=0.97, leaf_rows=40, shelf_rows=100).collect():
@@ -70,6 +70,62 @@ def test_weights_are_of_shingles(spark, monkeypatch, hot):
     assert got == {i: i for i in range(60)} | {90: 0}  # 0.76 by true counts, 0.86 by a full table
 
 
+def test_links_in_large_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", 8)  # so that buckets are large
+    rng = np.random.default_rng(21)
+    base = [f"w{i}" for i in range(150)]
+    passage = [f"p{i}" for i in range(60)]
+    texts = []
+    for i in range(260):  # copies about the limit of similarity, more and less changed ones
+        t = list(base)
+        for at in rng.choice(150, rng.integers(1, 6), replace=False):
+            t[at] = f"x{i}n{at}"
+        texts.append(" ".join(t))
+    for i in range(80):  # texts that share a passage and nothing more
+        texts.append(" ".join(passage + [f"y{i}n{j}" for j in range(40)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(df).collect()}
+    sets = [shingled(t) for t in texts]
+    n = {}
+    for x in sets:
+        for g in x:
+            n[g] = n.get(g, 0) + 1
+    total, base_n = len(texts), max(1.0, near_copies.COMMON * len(texts))
+    weight = {g: 1 - np.log(max(c, base_n) / base_n) / (2 * np.log(total / base_n)) for g, c in n.items()}
+    size = [sum(weight[g] for g in x) for x in sets]
+    lost, linked = 0, 0
+    for i in range(total):
+        for j in range(i):
+            shared = sum(weight[g] for g in sets[i] & sets[j])
+            alike = shared / (size[i] + size[j] - shared)
+            if alike >= 0.8 + 1e-4:
+                linked += 1
+                lost += got[i] != got[j]
+    assert linked > 2000 and lost <= linked / 1000
+    root = list(range(total))  # no class without links
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(total):
+        for j in range(i):
+            shared = sum(weight[g] for g in sets[i] & sets[j])
+            if shared / (size[i] + size[j] - shared) >= 0.8 - 1e-4:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert all(find(i) == find(got[i]) for i in range(total))
+
+
+def test_bands_follow_the_similarity():
+    for s in (0.5, 0.6, 0.7, 0.8, 0.9):
+        bands, rows, least = near_copies.bands_for(s)
+        assert bands * rows <= near_copies.SAMPLES and (1 - s**rows) ** bands <= near_copies.LOSS
+        assert least < near_copies.SAMPLES * s
+    assert near_copies.bands_for(0.8)[:2] == (16, 4)
+
+
 def test_sampler_estimates_weighted_jaccard():
     rng = np.random.default_rng(0)
     code = np.sort(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
@@ -265,3 +321,26 @@ def test_stages_keep_documents_without_id_and_rows_once(spark):
     words = sum(len(t.split()) for _, t in rows)
     assert abs(sum(len(t.split()) for _, t in taken) - 1.5 * words) <= 60
     assert all(taken.count(r) <= 2 * rows.count(r) for r in taken) and any(i is None for i, _ in taken)
+
+
+def test_stages_of_empty_tables_and_clashing_columns(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline
+
+    rng = np.random.default_rng(31)
+    pick = lambda n: " ".join(rng.choice([a + b for a in ("ka", "lo", "mi", "nu") for b in ("ra", "den", "pol", "s")], n))
+    more = ["_id", "_text", "_sha", "_kept", "_copy", "_n", "_turn", "_source", "_size", "_sum", "_rows", "slack", "offset", "class_id", "label", "score"]
+    rows = [(i, pick(30), "en", "s", 0) for i in range(6)] + [(6, None, None, None, 0), (7, "", "en", None, 0), (None, pick(30), "en", "s", 0)]
+    rows.append((9, pick(20000), "en", "t", 0))
+    docs = spark.createDataFrame([(*r, *more) for r in rows + rows[:2]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in more))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for start in (docs, docs.limit(0)):
+        kept = start
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = corpus_pipeline.materialize(stage(spark, kept, str(tmp_path)))
+            assert kept.columns == docs.columns, name
+            assert kept.filter("`_kept` != '_kept' or score != 'score'").count() == 0, name
+            if name == "near_dedup" and start is docs:
+                assert kept.count() == 9  # the null text and the empty one are one class
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, str(tmp_path))
+        assert (packed.count() > 0) == (start is docs)

@@ -79,3 +79,14 @@ def test_packing_of_no_rows_and_ids(spark, docs, nothing):
     row = cut_pieces(docs.limit(1), path, with_ids=True).first()
     assert zlib.crc32(bytes(row["ids"])) == row["ids_crc32"]
     assert pack(spark.createDataFrame([(1, 10)] * 3, "doc_id long, length long"), capacity=20).select("sequence_id").distinct().count() == 2
+
+
+def test_packing_near_the_bound_and_equal_rows_apart(spark):
+    rows = spark.createDataFrame([(1, 10, "a")] * 3000, "doc_id long, length long, offset string")
+    out = pack(rows, capacity=20, per_partition=100).toPandas()
+    assert out.groupby("sequence_id").size().tolist() == [2] * 1500
+    mixed = spark.createDataFrame([(i, int(n)) for i, n in enumerate(np.random.default_rng(6).integers(1, 30, 4000))], "doc_id long, length long")
+    packed = pack(mixed, capacity=64, per_partition=500).toPandas()
+    bound = lower_bound(np.bincount(packed["length"], minlength=65))
+    assert packed["sequence_id"].nunique() <= bound + 1
+    assert (packed.groupby("sequence_id")["length"].sum() <= 64).all()
