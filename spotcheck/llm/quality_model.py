@@ -15,6 +15,10 @@ BITS = 18
 MAX_LABELLED, FOLD_ROWS = 20000, 2500
 
 
+_KIND = np.full(256, 3, np.int64)
+_KIND[ord("A") : ord("Z") + 1], _KIND[ord("a") : ord("z") + 1], _KIND[ord("0") : ord("9") + 1] = 0, 1, 2
+
+
 def held_out(key: Column) -> Column:
     """Rows whose labels are never learned: crc32 of doc_id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -23,8 +27,10 @@ def held_out(key: Column) -> Column:
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct feature numbers of each text, one after another, and how many each has.
 
-    The indicators: runs of one, two and three bytes within a text, words, and pairs of
-    neighbouring words, all hashed to 2**BITS features.
+    The indicators: runs of one, two and three bytes within a text, words, pairs of
+    neighbouring words, and runs of one, two and three word shapes, all hashed to 2**BITS
+    features.  A word's shape is the kind of its first and last byte (upper case, lower case,
+    digit, other) and whether it is the word before once more.
     """
     n, kinds = len(offsets) - 1, []
     wide = data.astype(np.uint32)
@@ -41,6 +47,13 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     bounds = np.searchsorted(of, np.arange(n + 1))
     for number in (h, two):
         kinds.append(((mix(number) >> np.uint64(64 - BITS)).astype(np.uint32), bounds[:-1], bounds[1:]))
+    same = np.append(False, pair & (h[1:] == h[:-1])) if len(h) else np.zeros(0, bool)
+    shape = (_KIND[data[starts]] * 8 + _KIND[data[ends - 1]] * 2 + same).astype(np.uint64)
+    run = shape
+    for size in (1, 2, 3):
+        if size > 1:
+            run = run[:-1] * np.uint64(32) + shape[size - 1 :] if len(run) > 1 else run[:0]
+        kinds.append(((mix(run + np.uint64(size << 32)) >> np.uint64(64 - BITS)).astype(np.uint32), bounds[:-1], np.maximum(bounds[1:] - size + 1, bounds[:-1])))
     flags, found = np.zeros(1 << BITS, bool), [np.zeros(0, np.int64)]
     for i in range(n):
         for number, first, last in kinds:
