@@ -3,7 +3,8 @@
 A byte-pair encoder merges inside a pre-token only.  So a text's ids are those of its
 pre-tokens, and a pre-token that has been encoded once need not be merged again.  The split
 into pre-tokens is done here with array code for texts made of characters on which every
-Unicode version agrees; any other text goes to the library as a whole.
+Unicode version agrees.  Where words are counted alone, a word with any other character goes
+to the library by itself; where blanks belong to pre-tokens, a text with one goes as a whole.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import unicodedata
 
 import numpy as np
 
-from spotcheck.llm.textbytes import prefix_hash, slice_hash, spread
+from spotcheck.llm.textbytes import prefix_hash, slice_hash, spread, words
 
 LETTER, DIGIT, OTHER, SPACE, BAD, CONT = range(6)
 _BYTE = np.full(256, BAD, np.uint8)
@@ -46,7 +47,7 @@ _Q = ord("'")
 
 
 def classes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes (in lower case if asked), the class of each, and which texts need the library."""
+    """The bytes (in lower case if asked), the class of each, and which of them need the library."""
     kind = _BYTE[data]
     bad = kind == BAD
     lead = np.flatnonzero(data >= 0xC0)
@@ -62,9 +63,14 @@ def classes(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndar
         data = _LOWER[data]
     # a special token's string may stand in the text
     bad[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    return data, kind, bad
+
+
+def texts_of(bad: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which texts have such a byte."""
     hard = np.zeros(len(offsets) - 1, bool)
     hard[np.searchsorted(offsets, np.flatnonzero(bad), "right") - 1] = True
-    return data, kind, hard
+    return hard
 
 
 def _contractions(data: np.ndarray, kind: np.ndarray, start: np.ndarray, fresh: np.ndarray) -> None:
@@ -181,10 +187,30 @@ class Encoder:
     def library_ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _odd_words(self, data: np.ndarray, offsets: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each text in words that hold a bad byte, each distinct word merged once; and the bytes with blanks for them."""
+        starts, ends, of = words(data, offsets, _BYTE == SPACE)
+        before = np.append(0, np.cumsum(bad))
+        some = before[ends] > before[starts]
+        starts, ends, of = starts[some], ends[some], of[some]
+        raw = data.tobytes()
+        each = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        distinct = sorted(set(each))
+        sizes = {w: len(ids) for w, ids in zip(distinct, self.library_ids([w.decode("utf-8", "replace") for w in distinct]), strict=True)}
+        data = data.copy()
+        data[np.repeat(starts, ends - starts) + spread(ends - starts)] = 0x20
+        return np.bincount(of, [sizes[w] for w in each], len(offsets) - 1).astype(np.int64), data
+
     def encode(self, data: np.ndarray, offsets: np.ndarray, want_ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
         """For texts in one buffer: tokens in each, and the ids of all in turn if wanted."""
         n = len(offsets) - 1
-        low, kind, hard = classes(data, offsets, lower=not self.spaces)
+        low, kind, bad = classes(data, offsets, lower=not self.spaces)
+        odd = None
+        if bad.any() and not self.spaces and not want_ids:
+            # no pre-token of a word encoder spans white space: words with such a byte go to the library by themselves
+            odd, data = self._odd_words(data, offsets, bad)
+            low, kind, bad = classes(data, offsets, lower=True)
+        hard = texts_of(bad, offsets)
         starts, ends = split(low, kind, offsets, self.spaces)
         text = np.searchsorted(offsets, starts, "right") - 1
         if hard.any():
@@ -208,6 +234,8 @@ class Encoder:
             at[new] = self.table.find(h[new])
         size = self.size[at]
         counts = np.bincount(text, size, n).astype(np.int64)
+        if odd is not None:
+            counts += odd
         by_library = {}
         if hard.any():
             rows = np.flatnonzero(hard)
@@ -244,7 +272,8 @@ def whole_tokens(path: str) -> dict[str, int]:
                 raws.append(raw)
     data = np.frombuffer(b"".join(raws), np.uint8)
     offsets = np.append(0, np.cumsum([len(r) for r in raws]))
-    low, kind, hard = classes(data, offsets, lower=True)
+    low, kind, bad = classes(data, offsets, lower=True)
+    hard = texts_of(bad, offsets)
     starts, ends = split(low, kind, offsets, spaces=False)
     pieces = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=len(raws))
     covered = np.bincount(np.searchsorted(offsets, starts, "right") - 1, ends - starts, len(raws))

@@ -20,6 +20,7 @@ METRICS = {"word_len10": (True, True, 15), "symbols_pm": (False, True, 15), "dup
 
 
 def _share(part: str, whole: str, scale: int) -> Column:
+    """The bucket of a share: whole parts of ``scale``; the last bucket, 1000, also holds all beyond it, which no fence tells apart."""
     return F.when(F.col(whole) > 0, F.least(F.lit(1000), F.expr(f"{part} * {scale} div {whole}"))).otherwise(F.lit(0)).cast("long")
 
 

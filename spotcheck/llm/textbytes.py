@@ -112,12 +112,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document number of the words ``[^\\x20\\x09-\\x0D]+``; none crosses documents."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document number of the words ``[^\\x20\\x09-\\x0D]+``, or of others by a table of bytes; none crosses documents."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~_SPACE[data]
+    inside = ~space[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets[:-1]] = True
     prev = np.concatenate([[False], inside[:-1]])

@@ -16,6 +16,9 @@ ODD = [
 ]
 
 
+ODD += ["plain words — and a dash, ’quoted’ words", "a\u00a0b c\u2003d plain", "x<|endoftext|>y z <|endoftext|> w", "co\u0301mbining \u0301 mark e \u0301f", "ΑΣ Σ ΣΑ word ǅ ﬁne", "日本 日本 plain 日本", "tab\tand\x0bvertical\x0cfeed — x", "it’s it's—'s 'S—x"]
+
+
 def library(name):
     from tokenizers import Tokenizer
 
