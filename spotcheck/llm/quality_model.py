@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from spotcheck.llm.frames import materialize, text_batches
+from spotcheck.llm.frames import discard, materialize, text_batches
 from spotcheck.llm.textbytes import chunks, mix, prefix_hash, release, slice_hash, tidy, words
 
 BITS = 18
@@ -116,26 +116,14 @@ def margins(index: np.ndarray, counts: np.ndarray, weights: np.ndarray, ratio: n
     return np.bincount(owner, weights[index], n) / length + bias
 
 
-def extracted(labelled: DataFrame) -> DataFrame:
-    """doc_id, label and the features (32-bit numbers) of each labelled document, one row of each doc_id.
-
-    Repeated rows teach once; of several texts of one doc_id the one of the least features.
-    """
-
-    def extract(batches):
-        for batch in batches:
-            found = []
-            for _, _, data, offsets in chunks(batch, "text"):
-                index, counts = features(data, offsets)
-                found += [x.astype("<i4").tobytes() for x in np.split(index, np.cumsum(counts)[:-1])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
-
-    rows = text_batches(labelled.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("label").cast("int")))
-    return rows.mapInArrow(tidy(extract), "doc_id long, label int, found binary").groupBy("doc_id", "label").agg(F.min("found").alias("found"))
-
-
-def _arrays(found, label) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found], np.int64), np.asarray(label, np.int64)
+def _extracted(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The features of each text of a batch, as ``features`` gives them."""
+    index, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for _, _, data, offsets in chunks(batch, "text"):
+        i, c = features(data, offsets)
+        index.append(i.astype(np.int32))
+        counts.append(c)
+    return np.concatenate(index), np.concatenate(counts)
 
 
 def averaged(models: list[dict], without: int | None = None) -> dict:
@@ -151,18 +139,22 @@ def averaged(models: list[dict], without: int | None = None) -> dict:
 def fit(labelled: DataFrame, fold_rows: int = FOLD_ROWS, threshold: float = 0.7) -> dict:
     """A model from a bounded number of rows of ``doc_id``, ``text`` and ``label`` (0 or 1).
 
-    The features are extracted once and dealt into folds of about ``fold_rows``, two at
-    least; a task fits one fold, and the model is the mean of theirs.  The score is calibrated on margins of that mean: each
-    labelled row is judged by the mean of all folds but its own.  What comes back is bounded:
-    a model of 2**BITS weights from each fold, and a margin of each labelled row.  With one class
-    only, the score is that class's.
+    One text of each doc_id and label teaches, however often rows repeat.  The texts are
+    dealt into folds of about ``fold_rows``, two at least; a task fits one fold, and the model
+    is the mean of theirs.  The score is calibrated on margins of that mean: each labelled row
+    is judged by the mean of all folds but its own.  What comes back is bounded: a model of
+    2**BITS weights from each fold, and a margin of each labelled row.  With one class only,
+    the score is that class's.
     """
-    table = materialize(extracted(labelled))
-    folds = max(2, -(-table.count() // fold_rows))
-    table = table.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds)))
+    texts = labelled.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).agg(F.min(F.col("text").cast("string")).alias("text"))
+    stored = materialize(texts)
+    folds = max(2, -(-stored.count() // fold_rows))
+    table = text_batches(stored.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(folds))))
 
     def learn_fold(group: pd.DataFrame) -> pd.DataFrame:
-        index, counts, label = _arrays(*(group.sort_values(["doc_id", "label"])[c] for c in ("found", "label")))
+        group = group.sort_values(["doc_id", "label"])
+        index, counts = _extracted(pa.RecordBatch.from_arrays([pa.array(group["text"], pa.string())], ["text"]))
+        label = group["label"].to_numpy(np.int64)
         ratio = log_count_ratio(index, counts, label)
         damp = damping(index, counts, ratio)
         w, bias = dual_coordinate_descent(index, counts, label, ratio, damp)
@@ -176,12 +168,17 @@ def fit(labelled: DataFrame, fold_rows: int = FOLD_ROWS, threshold: float = 0.7)
     models = [r.asDict() | {k: np.frombuffer(r[k], np.float32) for k in ("weights", "ratio")} for r in sorted(found, key=lambda r: r["fold"])]
     shared = table.sparkSession.sparkContext.broadcast(models)  # ``folds`` times two arrays of 2**BITS weights
 
-    def judge(group: pd.DataFrame) -> pd.DataFrame:
-        index, counts, label = _arrays(group["found"], group["label"])
-        m = averaged(shared.value, without=group["fold"].iloc[0])
-        return pd.DataFrame({"margin": margins(index, counts, m["weights"], m["ratio"], m["bias"], m["damp"]), "label": label})
-
-    told = table.groupBy("fold").applyInPandas(judge, "margin double, label int").collect()  # a row for each labelled one
+    def judge(batches):
+        for batch in batches:
+            fold, label = np.asarray(batch.column("fold")), batch.column("label")
+            margin = np.zeros(batch.num_rows)
+            for f in np.unique(fold):
+                own, m = np.flatnonzero(fold == f), averaged(shared.value, without=f)
+                margin[own] = margins(*_extracted(batch.take(pa.array(own))), m["weights"], m["ratio"], m["bias"], m["damp"])
+            yield pa.RecordBatch.from_arrays([pa.array(margin), label], ["margin", "label"])
+
+    told = table.mapInArrow(tidy(judge), "margin double, label int").collect()  # a row for each labelled one
+    discard(stored)
     shared.unpersist()
     centre, slope = calibrate(np.array([r["margin"] for r in told]), np.array([r["label"] for r in told], np.int64))
     return averaged(models) | {"slope": slope, "centre": centre, "threshold": threshold}
