@@ -114,20 +114,24 @@ def _in_turn(certs: pd.DataFrame, spots: pd.DataFrame, in_turn: bool) -> pd.Data
     of_brand = {brand: np.asarray(at) for brand, at in spots.reset_index(drop=True).groupby("brand_key").indices.items()}
     none, out = np.zeros(0, np.int64), []
     certs = certs[certs["cert_date"].notna()].sort_values(["cert_date", "cert_id"], kind="stable")
-    for (date, cert), own in certs.groupby(["cert_date", "cert_id"], sort=True):
-        at = np.sort(np.concatenate([none, *[of_brand.get(b, none) for b in own["brand_key"].unique()]]))
+    brand, air_of, certificate, date_of = certs["brand_key"].to_numpy(), certs["air_secs"].to_numpy(np.float64), certs["cert_id"].to_numpy(), certs["cert_date"].to_numpy()
+    first = np.flatnonzero(np.append(True, certificate[1:] != certificate[:-1])) if len(certs) else none
+    for i, j in zip(first.tolist(), np.append(first, len(certs))[1:].tolist(), strict=True):
+        date, air, brands = date_of[i], air_of[i], set(brand[i:j])
+        at = of_brand.get(brand[i], none) if len(brands) == 1 else np.sort(np.concatenate([none, *[of_brand.get(x, none) for x in brands]]))
         at = at[: np.searchsorted(day[at], date, "right")]
         at = at[free[at]]
-        air = float(own["air_secs"].iloc[0]) if pd.notna(own["air_secs"].iloc[0]) else np.nan
+        if not len(at):
+            continue
         aired = np.where((stop[at] > 86400) & (air < start[at]), air + 86400, air)
         far = np.abs(aired - (start[at] + stop[at]) / 2)
         tier = np.where((aired >= start[at]) & (aired <= stop[at] + GRACE), 1, np.where(far <= NEAR, 2, np.where(np.isnan(far) & in_turn, 3, 9)))
-        best = tier.min(initial=9)
+        best = tier.min()
         if best < 9:
             some = np.flatnonzero(tier == best)
             took = some[far[some].argmin()] if best == 2 else some[0]  # the first of equal ones
             free[at[took]] = False
-            out.append((cert, ids[at[took]], best, far[took] if best == 2 else 0.0, date))
+            out.append((certificate[i], ids[at[took]], best, far[took] if best == 2 else 0.0, date))
     return pd.DataFrame(out, columns=["cert_id", "spot_id", "tier", "measure", "day"]).astype({"cert_id": "int64", "spot_id": "int64", "tier": "int32", "measure": "float64", "day": "int32"})
 
 

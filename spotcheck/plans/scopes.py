@@ -8,7 +8,7 @@ from spotcheck.operators import certificates as c, scopes as s, verify as v, wor
 from spotcheck.plans.catalog import query
 from spotcheck.plans.certificates import CONFIRMED, ON_SPOTS, TC, confirmed, placed
 from spotcheck.plans.reports import HEADERS, headers
-from spotcheck.plans.verification import CANDIDATES, THEMES, VERDICTS, commercial, verdicts
+from spotcheck.plans.verification import THEMES, VERDICTS, commercial, verdicts
 from spotcheck.plans.walk import walk
 from spotcheck.sources import ingest
 from spotcheck.sources.projection import ads, certs, logs, mappings, spots
@@ -182,3 +182,37 @@ def sheet_rows(spark, sf_dir):
     top = [cell(F.lit(0), 0, F.lit("Net plan"))] + [cell(F.lit(1), i, F.lit(x)) for i, x in enumerate(("Programme", "Day", "Time", "Brand", "2025-01-01"))]
     cells = n.select("file", F.lit("s").alias("sheet"), F.explode(F.array(*body)).alias("c")).unionByName(n.select("file").distinct().select("file", F.lit("s").alias("sheet"), F.explode(F.array(*top)).alias("c")))
     return ingest.flatten_pivot(cells.select("file", "sheet", "c.*")).select("file", (F.col("row") - 1).alias("row"), "programme", "brand")
+
+
+VARIED = """vlogs AS (SELECT * EXCLUDE (product), CASE WHEN advt_theme <> 'theme 2' THEN '' WHEN log_id % 4 = 0 THEN 'Silver' ELSE 'Gold' END AS product FROM logs),
+vspots AS (SELECT * EXCLUDE (programme), CASE spot_id % 3 WHEN 0 THEN 'late show ' WHEN 1 THEN 'show ' ELSE '' END || programme AS programme FROM spots),
+vmaps AS (SELECT * EXCLUDE (product), CASE WHEN brand = 'Brand 2' THEN 'gold' ELSE '' END AS product FROM mappings), """
+
+
+def _varied(sql: str) -> str:
+    """SQL over the logs, spots and mappings, over their varied forms instead."""
+    for name, other in (("logs", "vlogs"), ("spots", "vspots"), ("mappings", "vmaps")):
+        sql = sql.replace(f"FROM {name}", f"FROM {other}").replace(f"JOIN {name}", f"JOIN {other}")
+    return sql
+
+
+def varied(spark, sf_dir):
+    """Logs with two products of one theme, spots whose programmes agree in part with the log's, a mapping of one product."""
+    product = F.when(F.col("advt_theme") != "theme 2", "").when(F.col("log_id") % 4 == 0, "Silver").otherwise("Gold")
+    named = F.concat(F.expr("case spot_id % 3 when 0 then 'late show ' when 1 then 'show ' else '' end"), F.col("programme"))
+    m = mappings(spark, sf_dir).withColumn("product", F.when(F.col("brand") == "Brand 2", "gold").otherwise(""))
+    return logs(spark, sf_dir).withColumn("product", product), commercial(spark, sf_dir).withColumn("programme", named), m
+
+
+@query("SELECT spot_id, status, pass, log_id FROM verdicts", VARIED + _varied(VERDICTS))
+def varied_verdicts(spark, sf_dir):
+    """Verdicts where programmes agree in half their words, or less, and a product has to agree."""
+    r, p, m = varied(spark, sf_dir)
+    return v.verify(p, r, m).select("spot_id", "status", "pass", "log_id")
+
+
+@query("SELECT cert_id, log_id FROM confirmed", VARIED + _varied(CONFIRMED))
+def varied_certificates(spark, sf_dir):
+    """Certificates confirmed where one brand needs a product in the log."""
+    r, _, m = varied(spark, sf_dir)
+    return c.confirm(certs(spark, sf_dir), r, m).select("cert_id", "log_id")
