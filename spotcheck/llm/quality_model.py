@@ -65,15 +65,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def log_count_ratio(index: np.ndarray, counts: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Smoothed log ratio of the features' document counts in the two classes."""
-    owner = np.repeat(label, counts)
-    pos = 1 + np.bincount(index[owner == 1], minlength=1 << BITS)
-    neg = 1 + np.bincount(index[owner == 0], minlength=1 << BITS)
+    pos, neg = np.ones(1 << BITS), np.ones(1 << BITS)
+    for row, y in zip(np.split(index, np.cumsum(counts)[:-1]), label, strict=True):
+        (pos if y == 1 else neg)[row] += 1  # a text's features are distinct
     return np.log(pos / pos.sum()) - np.log(neg / neg.sum())
 
 
 def damping(index: np.ndarray, counts: np.ndarray, ratio: np.ndarray) -> float:
     """The median squared length of the rows, added to each before scaling: short texts stay near the bias."""
-    return float(np.median(np.bincount(np.repeat(np.arange(len(counts)), counts), ratio[index] ** 2, len(counts)))) if len(counts) else 1.0
+    lengths = [float(ratio[row] @ ratio[row]) for row in np.split(index, np.cumsum(counts)[:-1])] if len(counts) else [1.0]
+    return float(np.median(lengths))
 
 
 def dual_coordinate_descent(index: np.ndarray, counts: np.ndarray, label: np.ndarray, ratio: np.ndarray, damp: float, cost: float = 10.0, passes: int = 12) -> tuple[np.ndarray, float]:
@@ -84,9 +85,11 @@ def dual_coordinate_descent(index: np.ndarray, counts: np.ndarray, label: np.nda
     """
     ends, n = np.cumsum(counts), len(counts)
     y = np.where(label == 1, 1.0, -1.0)
-    value = ratio[index].astype(np.float32)
-    square = np.bincount(np.repeat(np.arange(n), counts), value.astype(np.float64) ** 2, n)
-    value /= np.repeat(np.sqrt(square + damp), counts).astype(np.float32)
+    value, square = ratio.astype(np.float32)[index], np.zeros(n)  # a task holds these and ``index``, nothing of their size besides
+    for i in range(n):
+        row = value[ends[i] - counts[i] : ends[i]]
+        square[i] = np.dot(row, row)
+        row /= np.float32(np.sqrt(square[i] + damp))
     curve = 1.0 + square / (square + damp)  # the bias adds 1
     w, bias, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(n), np.random.default_rng(7)
     for _ in range(passes):
@@ -169,7 +172,7 @@ def fit(labelled: DataFrame, fold_rows: int = FOLD_ROWS, threshold: float = 0.7)
     shared = table.sparkSession.sparkContext.broadcast(models)  # ``folds`` times two arrays of 2**BITS weights
 
     def judge(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             fold, label = np.asarray(batch.column("fold")), batch.column("label")
             margin = np.zeros(batch.num_rows)
             for f in np.unique(fold):
