@@ -62,7 +62,7 @@ def _rounds(keyed: DataFrame, left: str, right: str) -> DataFrame | None:
 
 def _walk(keyed: DataFrame, left: str, right: str, order: list[Column], scope: list[str]) -> DataFrame:
     """The matching within each scope, by a walk over its edges in order."""
-    keys = [f"k{i}" for i in range(len(order))]
+    keys = [f"_k{i}" for i in range(len(order))]
 
     def loop(group):
         place = group.sort_values([*keys, left, right], na_position="first", kind="stable").index
@@ -75,7 +75,7 @@ def _walk(keyed: DataFrame, left: str, right: str, order: list[Column], scope: l
                 keep.append(i)
         return group.loc[keep].drop(columns=keys)
 
-    flat = keyed.select("*", "_key.*").drop("_key", "l", "r")
+    flat = keyed.select(*[c for c in keyed.columns if c != "_key"], *[F.col(f"_key.k{i}").alias(k) for i, k in enumerate(keys)])
     return flat.groupBy(*scope).applyInPandas(loop, flat.drop(*keys).schema)
 
 
