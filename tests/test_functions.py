@@ -17,7 +17,7 @@ def values(spark, rows, column, name="x", kind="string"):
 def test_times(spark):
     assert values(spark, ["20:30:00", "7:05", "0.5", "1.5", "x", None, "01:02:03.9", "5"], s.seconds_of_day) == [73800, 25500, 43200, None, None, None, 3723, None]
     assert values(spark, ["5", "20:30"], lambda x: s.seconds_of_day(x, hours_alone=True, fractions=False)) == [18000, 73800]
-    assert values(spark, [None, 0, 21600, 43200, 68400, 82800], lambda x: s.time_band(x), kind="int") == ["unknown", "night", "morning", "afternoon", "prime", "night"]
+    assert values(spark, [None, 0, 21599, 21600, 43200, 68399, 68400, 82800, 86399, 86400], lambda x: s.time_band(x), kind="int") == ["unknown", "latenight", "latenight", "morning", "daytime", "daytime", "primetime", "primetime", "primetime", "latenight"]
     assert values(spark, ["10:11:12:13"], s.drop_frames) == ["10:11:12"]
     assert values(spark, ["January 2025", "soon"], s.next_month_end) == [dt.date(2025, 2, 28), None]
 
