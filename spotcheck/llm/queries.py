@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes
+from spotcheck.llm import mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes, turns
 from spotcheck.llm.near_copies import near_copies
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
@@ -70,6 +70,10 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), length=50)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_report(turns.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_classifier,
         op9_adaptive_quality_rules,
         op10_suffix_array_dedup,
+        op11_conversation_repair,
     )
 }
 SQL: dict[str, str] = {
@@ -90,4 +95,5 @@ SQL: dict[str, str] = {
     "op5_quotation_linking": quotations.SQL,
     "op9_adaptive_quality_rules": rules.SQL,
     "op10_suffix_array_dedup": suffixes.SQL,
+    "op11_conversation_repair": turns.SQL,
 }
