@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.sources.staging import discard, materialize  # noqa: F401
+from spotcheck.sources.staging import discard, materialize, shared_dir  # noqa: F401
+
+
+def fresh_path(spark: SparkSession) -> str:
+    """A folder of its own for files in the shared folder; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def width(df: DataFrame) -> int:

@@ -205,13 +205,27 @@ class Encoder:
         """For texts in one buffer: tokens in each, and the ids of all in turn if wanted."""
         n = len(offsets) - 1
         low, kind, bad = classes(data, offsets, lower=not self.spaces)
-        odd = None
-        if bad.any() and not self.spaces and not want_ids:
+        odd, whole_words = None, None
+        if bad.any() and not self.spaces and want_ids:
+            # such words are pre-tokens of their own here, at their places; what stays is split as usual
+            at, to, _ = words(data, offsets, _BYTE == SPACE)
+            before = np.append(0, np.cumsum(bad))
+            some = before[to] > before[at]
+            whole_words = at[some], to[some]
+            blank = data.copy()
+            blank[np.repeat(whole_words[0], whole_words[1] - whole_words[0]) + spread(whole_words[1] - whole_words[0])] = 0x20
+            low, kind, bad = classes(blank, offsets, lower=True)
+        elif bad.any() and not self.spaces and not want_ids:
             # no pre-token of a word encoder spans white space: words with such a byte go to the library by themselves
             odd, data = self._odd_words(data, offsets, bad)
             low, kind, bad = classes(data, offsets, lower=True)
         hard = texts_of(bad, offsets)
         starts, ends = split(low, kind, offsets, self.spaces)
+        if whole_words is not None:
+            low = np.where(blank == data, low, data)
+            starts, ends = np.append(starts, whole_words[0]), np.append(ends, whole_words[1])
+            turn = np.argsort(starts, kind="stable")
+            starts, ends = starts[turn], ends[turn]
         text = np.searchsorted(offsets, starts, "right") - 1
         if hard.any():
             easy = ~hard[text]
@@ -224,7 +238,7 @@ class Encoder:
         if len(new):
             unseen, one = np.unique(h[new], return_index=True)
             raw, one = low.tobytes(), new[one]
-            got = self.library_ids([raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            got = self.library_ids([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
             if len(self.size) + len(unseen) > 1.5 * self.room:  # one very varied chunk: a larger table for it
                 self.room = len(self.size) + len(unseen)
                 known, slots = self.table.keys[self.table.at >= 0], self.table.at[self.table.at >= 0]

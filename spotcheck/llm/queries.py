@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes, turns
+from spotcheck.llm import mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes, tokenfiles, turns
+from spotcheck.llm.frames import fresh_path
 from spotcheck.llm.near_copies import near_copies
 from spotcheck.llm.packing import pack_documents
 from spotcheck.llm.quality_model import classify, held_out
@@ -74,6 +75,12 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair_report(turns.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark)
+    tokenfiles.write_token_files(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), path, end_id=2)
+    return tokenfiles.id_checksums(tokenfiles.read_token_files(spark, path))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_adaptive_quality_rules,
         op10_suffix_array_dedup,
         op11_conversation_repair,
+        op12_orc_token_files,
     )
 }
 SQL: dict[str, str] = {
