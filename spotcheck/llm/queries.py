@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotcheck.llm import mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes, tokenfiles, turns
+from spotcheck.llm import divergence, mixing, neighbours, quality_rules as rules, quotations, sharding, suffixes, tokenfiles, turns
 from spotcheck.llm.frames import fresh_path
 from spotcheck.llm.near_copies import near_copies
 from spotcheck.llm.packing import pack_documents
@@ -81,6 +81,10 @@ def op12_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.id_checksums(tokenfiles.read_token_files(spark, path))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(documents(spark, sf_dir), least=10, top=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_array_dedup,
         op11_conversation_repair,
         op12_orc_token_files,
+        op13_source_divergence,
     )
 }
 SQL: dict[str, str] = {
@@ -104,4 +109,5 @@ SQL: dict[str, str] = {
     "op9_adaptive_quality_rules": rules.SQL,
     "op10_suffix_array_dedup": suffixes.SQL,
     "op11_conversation_repair": turns.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
