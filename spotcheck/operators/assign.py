@@ -5,78 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.sources.staging import discard, materialize
-
-
-#: Edges of a scope that one task walks in order; larger scopes are matched in rounds.
-SCOPE_EDGES = 200_000
+from spotcheck.operators.settle import settle, wish
+from spotcheck.sources.staging import materialize
 
 
 def assign(edges: DataFrame, left: str, right: str, order: list[Column], scope: list[str] | None = None) -> DataFrame:
     """The pairs that taking ``edges`` one by one in ``order`` gives, each row used once at most.
 
-    Serial greedy over a total order of edges is the only stable matching of that order, and
-    an edge that comes first at both its ends belongs to it whatever else happens.  Each
-    round takes all such edges at once and drops the edges of rows that are taken; no round
-    looks at rows one by one.  The number of rounds is that of the longest chain of rows that
-    wait for each other.  ``left`` and ``right`` name the id columns; they end every tie.
+    Serial greedy over a total order of edges is the only stable matching of that order, so it
+    is found by deferred acceptance: each left row asks down its own edges, each right row
+    keeps the best that asks.  The edges are ranked and written once; rounds move one row for
+    each left row.  ``left`` and ``right`` name the id columns; they end every tie.
 
-    ``scope`` names columns of ``edges`` of which no row of either side has two values (they
-    are left out of the result).  Scopes of at most ``SCOPE_EDGES`` edges, which no task finds
-    too large, are walked edge by edge, all scopes side by side and without rounds; the
-    matching is the same.
+    ``scope`` names columns of ``edges`` that are left out of the result.
     """
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)], F.col(left).alias("l"), F.col(right).alias("r"))
-    keyed = materialize(edges.withColumn("_key", key))
     columns = [c for c in edges.columns if c not in (scope or [])]
-    done, rest = None, keyed
-    if scope:
-        small = keyed.groupBy(*scope).agg(F.count("*").alias("_n")).filter(F.col("_n") <= SCOPE_EDGES)
-        done = materialize(_walk(keyed.join(small, scope, "left_semi"), left, right, order, scope).select(columns))
-        rest = keyed.join(small, scope, "left_anti")  # and those without a scope
-    won = _rounds(rest, left, right)
-    if won is None:
-        return edges.select(columns).limit(0) if done is None else done
-    won = keyed.join(won, "_key").select(columns).dropDuplicates([left])
-    return won if done is None else done.unionByName(won)
-
-
-def _rounds(keyed: DataFrame, left: str, right: str) -> DataFrame | None:
-    """The keys of the matching, or None if there is no edge."""
-    alive, before, taken = keyed.select("_key", left, right), None, None
-    while True:
-        least_left = alive.groupBy(left).agg(F.min("_key").alias("_key"))
-        least_right = alive.groupBy(right).agg(F.min("_key").alias("_key")).select(F.col("_key").alias("_rkey"))
-        # keys end in both ids, so equal keys are one edge
-        won = least_left.join(least_right, F.col("_key") == F.col("_rkey")).select("_key")
-        won = materialize(won.select("_key", F.col("_key.l").alias("_l"), F.col("_key.r").alias("_r")))
-        if not won.limit(1).count():
-            discard(won, before)
-            return taken
-        taken = won.select("_key") if taken is None else taken.unionByName(won.select("_key"))
-        left_over = alive.join(won.select(F.col("_l").alias(left)), left, "left_anti").join(won.select(F.col("_r").alias(right)), right, "left_anti")
-        alive = materialize(left_over)
-        discard(before)
-        before = alive
-
-
-def _walk(keyed: DataFrame, left: str, right: str, order: list[Column], scope: list[str]) -> DataFrame:
-    """The matching within each scope, by a walk over its edges in order."""
-    keys = [f"_k{i}" for i in range(len(order))]
-
-    def loop(group):
-        place = group.sort_values([*keys, left, right], na_position="first", kind="stable").index
-        a, b = group[left].to_dict(), group[right].to_dict()
-        seen_left, seen_right, keep = set(), set(), []
-        for i in place:
-            if a[i] not in seen_left and b[i] not in seen_right:
-                seen_left.add(a[i])
-                seen_right.add(b[i])
-                keep.append(i)
-        return group.loc[keep].drop(columns=keys)
-
-    flat = keyed.select(*[c for c in keyed.columns if c != "_key"], *[F.col(f"_key.k{i}").alias(k) for i, k in enumerate(keys)])
-    return flat.groupBy(*scope).applyInPandas(loop, flat.drop(*keys).schema)
+    keyed = edges.withColumn("_key", key).withColumn("_pos", F.row_number().over(Window.partitionBy(left).orderBy("_key")).cast("long") - 1)
+    keyed = materialize(keyed)
+    wishes = keyed.groupBy(F.col(left).alias("left")).agg(F.lit(0).alias("lo"), F.max("_pos").alias("hi"))
+    wishes = wishes.select("left", F.array(wish(0, "left", F.lit(0))).alias("wishes"))
+    lists = keyed.select(F.col(left).alias("list"), F.col("_pos").alias("pos"), F.col(right).alias("right"), F.col("_key").alias("key"))
+    got = settle(wishes, lists, shared=False).select(F.col("left").alias(left), F.col("right").alias(right))
+    return keyed.join(got, [left, right]).select(columns).dropDuplicates([left])
 
 
 def assign_in_turn(left: DataFrame, right: DataFrame, group: list[str], left_order: list[Column], right_order: list[Column]) -> DataFrame:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections import deque
+from collections.abc import Iterator
+from math import isnan
+
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
-from spotcheck.functions.scalars import clean_channel, crossing_end, normalize
+from spotcheck.functions.scalars import clean_channel, crossing_end, normalize, pipe_list
 from spotcheck.operators.assign import assign
-from spotcheck.operators.mapping import brand_themes, certificate_themes, with_themes
+from spotcheck.operators.mapping import brand_themes, certificate_themes, resolve_patterns
+from spotcheck.operators.settle import from_day, in_order, numbered, settle, wish, with_number
 from spotcheck.sources.staging import materialize
 
 TOLERANCE, GRACE, NEAR = 5, 600, 7200
-#: Certificates and spots of a scope that one task takes in turn; pairs of larger scopes are matched in rounds.
-SCOPE_ROWS = 200_000
+NONE = float("nan")  # one object, so that windows without a time are one kind
 
 
 def allowed_themes(certs: DataFrame, logs: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,91 +68,150 @@ def confirm(certs: DataFrame, logs: DataFrame, mappings: DataFrame, tolerance: i
     return assign(pairs, "cert_id", "log_id", [F.col(x) for x in ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")], scope=["account_id", "ch", "day"])
 
 
+def certified_brands(certs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """account_id, tc_theme, cert_dur (0: none) and the brands that a certificate of that name may stand for, in order.
+
+    Mappings go by brand, theme and duration; names of the mappings that stand for a
+    certificate's go by the first mapping that has them, and their brands in turn.
+    """
+    each = mappings.select("account_id", "brand", "duration", F.struct("brand", "theme", "duration").alias("_own"), F.posexplode(pipe_list(F.col("tc_theme"))).alias("_pos", "pattern"))
+    each = each.withColumns({"pattern": normalize(F.col("pattern")), "_own": F.struct("_own", "_pos")})
+    each = each.withColumn("_first", F.min("_own").over(Window.partitionBy("account_id", "pattern")))
+    themes = resolve_patterns(each, certs.select("account_id", "tc_theme"), "pattern", "tc_theme", ["account_id"])
+    met = certs.select("account_id", "tc_theme", F.coalesce("duration", F.lit(0)).alias("cert_dur")).distinct().join(themes, ["account_id", "tc_theme"])
+    met = met.filter(F.col("duration").isNull() | (F.col("duration") == F.col("cert_dur")))
+    brand = normalize(F.col("brand"))
+    first = met.groupBy("account_id", "tc_theme", "cert_dur", brand.alias("brand_key")).agg(F.min(F.struct("_first", "_own")).alias("_place"))
+    return first.groupBy("account_id", "tc_theme", "cert_dur").agg(F.sort_array(F.collect_list(F.struct("_place", "brand_key")))["brand_key"].alias("brands"))
+
+
 def to_schedule(certs: DataFrame, spots: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Certified airings on the planned spots of their brand, not before the spot's day.
+    """Confirmed certificates on the planned spots of their brand, not before the spot's day, by the air time of the log.
 
-    In the window (with ten minutes' grace, past midnight too), else nearest to its centre
-    within two hours, else in turn where a time is missing; then by the spot's day and id.
+    certs: certificates whose ``air_secs`` is the log row's.  Certificates go by day and id.
+    Of the brands in order (``certified_brands``) the first that has a free spot of a day up to
+    the certificate's decides alone: a spot whose window (with ten minutes' grace, past midnight
+    too) holds the time, else the spot whose centre is nearest, within two hours, else, for
+    lack of a time, any; then by the spot's day and id.
     """
-    theme = certificate_themes(mappings, certs)
-    c = certs.join(theme, ["account_id", "tc_theme"]).filter(F.col("map_duration").isNull() | (F.col("map_duration") == F.col("duration")))
-    c = c.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "brand_key", "duration", "cert_date", "air_secs").distinct()
-    s = spots.select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), normalize(F.col("brand")).alias("brand_key"), "duration", "spot_date", "start_secs", crossing_end(F.col("start_secs"), F.col("end_secs")).alias("stop"))
-    return _by_window(c, s, ["account_id", "ch", "duration"])
+    brands = certified_brands(certs, mappings)
+    c = certs.withColumn("cert_dur", F.coalesce("duration", F.lit(0))).join(brands, ["account_id", "tc_theme", "cert_dur"])
+    return place_by_time(c.select(*_scope(), "cert_id", "brands", "cert_date", "air_secs"), _windows(spots, normalize(F.col("brand"))))
+
+
+def time_belt(certs: DataFrame, spots: DataFrame) -> DataFrame:
+    """Confirmed certificates without a brand on commercial spots of the same duration, by time alone."""
+    c = certs.filter("air_secs is not null").select(*_scope(), "cert_id", F.array(F.lit("")).alias("brands"), "cert_date", "air_secs")
+    return place_by_time(c, _windows(spots.filter(F.col("ad_type") == "COMMERCIAL BENEFITS"), F.lit("")))
 
 
-def _by_window(c: DataFrame, s: DataFrame, scope: list[str], in_turn: bool = True) -> DataFrame:
-    """Certificates by day and id, each on the best free spot of its scope and brand on or before its day.
+def _scope() -> list[Column]:
+    return [F.col("account_id"), clean_channel(F.col("channel")).alias("ch"), F.col("duration")]
 
-    Scopes of a bounded number of rows are taken certificate by certificate in a task, without
-    a table of pairs; the pairs of larger ones, which in time grow with the square, are
-    matched in rounds.  Both give the same.
+
+def _windows(spots: DataFrame, brand: Column) -> DataFrame:
+    return spots.select(*_scope(), "spot_id", brand.alias("brand_key"), "spot_date", "start_secs", crossing_end(F.col("start_secs"), F.col("end_secs")).alias("stop"))
+
+
+def place_by_time(certs: DataFrame, spots: DataFrame) -> DataFrame:
+    """cert_id, spot_id, tier (1: in the window, 2: near, 3: no time), measure, cert_date.
+
+    One shuffle by scope (account, channel, duration; nulls meet).  The rows of a scope, sorted
+    by day, stream through one pass that keeps, for each brand and kind of window, the queue
+    of its free spots: the head is the spot that comes first, so a certificate looks at one
+    spot for each kind of window, not at all spots, and no pairs are made or written.  Work
+    grows with certificates and spots, memory with the spots that are still free.  A scope is
+    one stream, as each certificate depends on those before it.
     """
-    c = c.select(*scope, "cert_id", "brand_key", "cert_date", "air_secs")
-    s = s.select(*scope, "spot_id", "brand_key", "spot_date", "start_secs", "stop")
-    sizes = c.select(scope).unionByName(s.select(scope)).groupBy(*scope).agg(F.count("*").alias("_n"))
-    large = materialize(sizes.filter(F.col("_n") > SCOPE_ROWS).select(scope))
-    number = {"cert_date": F.unix_date("cert_date")}, {"spot_date": F.unix_date("spot_date")}
-    small_c, small_s = (x.join(large, scope, "left_anti").withColumns(n) for x, n in zip((c, s), number, strict=True))
-    few = small_c.groupBy(*scope).cogroup(small_s.groupBy(*scope)).applyInPandas(lambda a, b: _in_turn(a, b, in_turn), "cert_id long, spot_id long, tier int, measure double, day int")
-    few = few.withColumn("cert_date", F.date_from_unix_date("day")).drop("day")
-    if not large.limit(1).count():
-        return few
-    pairs = c.join(large, scope, "left_semi").join(s, [*scope, "brand_key"]).filter("cert_date >= spot_date")
-    at = F.when((F.col("stop") > 86400) & (F.col("air_secs") < F.col("start_secs")), F.col("air_secs") + 86400).otherwise(F.col("air_secs"))
-    pairs = pairs.withColumn("at", at)
-    far = F.abs(F.col("at") - (F.col("start_secs") + F.col("stop")) / 2)
-    tier = F.when(F.col("at").between(F.col("start_secs"), F.col("stop") + GRACE), 1).when(far <= NEAR, 2)
-    tier = tier.when(F.col("at").isNull() | F.col("start_secs").isNull() | F.col("stop").isNull(), 3) if in_turn else tier
-    pairs = pairs.withColumn("tier", tier).filter("tier is not null").withColumn("measure", F.when(F.col("tier") == 2, far).otherwise(F.lit(0.0)))
-    pairs = pairs.select("cert_id", "spot_id", "tier", "measure", "cert_date", "spot_date")
-    many = assign(pairs, "cert_id", "spot_id", [F.col(x) for x in ("cert_date", "cert_id", "tier", "measure", "spot_date", "spot_id")])
-    return few.unionByName(many.select(few.columns))
-
-
-def _in_turn(certs: pd.DataFrame, spots: pd.DataFrame, in_turn: bool) -> pd.DataFrame:
-    """The spots that the certificates of one scope take, one after the other."""
-    spots = spots[spots["spot_date"].notna()].sort_values(["spot_date", "spot_id"], kind="stable")
-    day, start, stop = (spots[x].to_numpy(np.float64) for x in ("spot_date", "start_secs", "stop"))
-    free, ids = np.ones(len(spots), bool), spots["spot_id"].to_numpy()
-    of_brand = {brand: np.asarray(at) for brand, at in spots.reset_index(drop=True).groupby("brand_key").indices.items()}
-    none, out = np.zeros(0, np.int64), []
-    certs = certs[certs["cert_date"].notna()].sort_values(["cert_date", "cert_id"], kind="stable")
-    brand, air_of, certificate, date_of = certs["brand_key"].to_numpy(), certs["air_secs"].to_numpy(np.float64), certs["cert_id"].to_numpy(), certs["cert_date"].to_numpy()
-    first = np.flatnonzero(np.append(True, certificate[1:] != certificate[:-1])) if len(certs) else none
-    for i, j in zip(first.tolist(), np.append(first, len(certs))[1:].tolist(), strict=True):
-        date, air, brands = date_of[i], air_of[i], set(brand[i:j])
-        at = of_brand.get(brand[i], none) if len(brands) == 1 else np.sort(np.concatenate([none, *[of_brand.get(x, none) for x in brands]]))
-        at = at[: np.searchsorted(day[at], date, "right")]
-        at = at[free[at]]
-        if not len(at):
-            continue
-        aired = np.where((stop[at] > 86400) & (air < start[at]), air + 86400, air)
-        far = np.abs(aired - (start[at] + stop[at]) / 2)
-        tier = np.where((aired >= start[at]) & (aired <= stop[at] + GRACE), 1, np.where(far <= NEAR, 2, np.where(np.isnan(far) & in_turn, 3, 9)))
-        best = tier.min()
-        if best < 9:
-            some = np.flatnonzero(tier == best)
-            took = some[far[some].argmin()] if best == 2 else some[0]  # the first of equal ones
-            free[at[took]] = False
-            out.append((certificate[i], ids[at[took]], best, far[took] if best == 2 else 0.0, date))
-    return pd.DataFrame(out, columns=["cert_id", "spot_id", "tier", "measure", "day"]).astype({"cert_id": "int64", "spot_id": "int64", "tier": "int32", "measure": "float64", "day": "int32"})
+    key = F.to_json(F.struct("account_id", "ch", "duration")).alias("scope")
+    secs = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c)
+    none = F.lit(float("nan"))
+    s = spots.filter("spot_date is not null").select(key, F.unix_date("spot_date").alias("day"), F.lit(0).alias("kind"), F.col("spot_id").alias("id"), F.array(F.coalesce("brand_key", F.lit(""))).alias("brands"), secs("start_secs"), secs("stop"), none.alias("air_secs"))
+    c = certs.filter("cert_date is not null").select(key, F.unix_date("cert_date").alias("day"), F.lit(1).alias("kind"), F.col("cert_id").alias("id"), "brands", none.alias("start_secs"), none.alias("stop"), secs("air_secs"))
+    lined = s.unionByName(c).repartition("scope").sortWithinPartitions("scope", "day", "kind", "id")
+    out = lined.mapInPandas(_queues, "cert_id long, spot_id long, tier int, measure double, day int")
+    return out.withColumn("cert_date", F.date_from_unix_date("day")).drop("day")
+
+
+def _queues(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    scope, free = None, {}  # brand: {(start, stop): its free spots in order}
+
+    def take(brands: list[str], air: float) -> tuple[deque, int, float] | None:
+        for brand in brands:
+            open_ = [(window, queue) for window, queue in free.get(brand, {}).items() if queue]
+            if not open_:
+                continue
+            if isnan(air):
+                return min((queue for _, queue in open_), key=lambda q: q[0]), 3, 0.0
+            best = None
+            for (start, stop), queue in open_:
+                if isnan(start) or isnan(stop):
+                    continue
+                at = air + 86400 if stop > 86400 and air < start else air
+                inside, far = start <= at <= stop + GRACE, abs(at - (start + stop) / 2)
+                if inside or far <= NEAR:
+                    found = ((1, 0.0) if inside else (2, far), queue[0], queue)
+                    best = found if best is None or found[:2] < best[:2] else best
+            return best and (best[2], *best[0])  # the first brand with a free spot decides
+        return None
+
+    for batch in batches:
+        got = []
+        for at, day, kind, id_, brands, start, stop, air in zip(*(batch[c].tolist() for c in ("scope", "day", "kind", "id", "brands", "start_secs", "stop", "air_secs")), strict=True):
+            if at != scope:
+                scope, free = at, {}
+            if kind == 0:
+                window = (start if start == start else NONE, stop if stop == stop else NONE)
+                free.setdefault(brands[0], {}).setdefault(window, deque()).append((day, id_))
+            elif (won := take(brands, air)) is not None:
+                queue, tier, measure = won
+                got.append((id_, queue.popleft()[1], tier, measure, day))
+        yield pd.DataFrame(got, columns=["cert_id", "spot_id", "tier", "measure", "day"]).astype({"cert_id": "int64", "spot_id": "int64", "tier": "int32", "measure": "float64", "day": "int32"})
 
 
 def unconfirmed_to_schedule(certs: DataFrame, spots: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Spots, by day and start, take the earliest certificate of their brand's themes on or after their day."""
-    theme = certificate_themes(mappings, certs)
-    s = with_themes(spots, theme).select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "tc_theme", "place", F.expr("nullif(duration, 0)").alias("d"), "spot_date", "start_secs")
-    c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), "tc_theme", F.expr("nullif(duration, 0)").alias("d"), "cert_date", "air_secs")
-    pairs = s.join(c, ["account_id", "ch", "tc_theme", "d"]).filter("cert_date >= spot_date").select("account_id", "ch", "d", "spot_id", "cert_id", "spot_date", "start_secs", "place", "cert_date", "air_secs")
-    return assign(pairs, "spot_id", "cert_id", [F.col(x) for x in ("spot_date", "start_secs", "spot_id", "place", "cert_date", "air_secs")], scope=["account_id", "ch", "d"])
-
+    """Spots, by day, start and id, take the earliest certificate of their brand's themes on or after their day.
 
-def time_belt(certs: DataFrame, spots: DataFrame) -> DataFrame:
-    """Confirmed certificates without a brand on commercial spots of the same duration, by time alone."""
-    c = certs.select("cert_id", "account_id", clean_channel(F.col("channel")).alias("ch"), F.lit("").alias("brand_key"), "duration", "cert_date", "air_secs").filter("air_secs is not null")
-    s = spots.filter(F.col("ad_type") == "COMMERCIAL BENEFITS").select("spot_id", "account_id", clean_channel(F.col("channel")).alias("ch"), F.lit("").alias("brand_key"), "duration", "spot_date", "start_secs", crossing_end(F.col("start_secs"), F.col("end_secs")).alias("stop"))
-    return _by_window(c, s, ["account_id", "ch", "duration"], in_turn=False)
+    Themes go in the order of the mapping, those of one pattern by their first certificate;
+    durations agree, and those that are missing or 0 agree with each other.  The certificates
+    of a theme are one list for all spots, so there is no table of pairs.
+    """
+    first = Window.partitionBy("account_id", "tc_theme")
+    own = [F.col("account_id"), clean_channel(F.col("channel")).alias("ch"), F.coalesce("duration", F.lit(0)).alias("d")]
+    c = certs.select(*own, "tc_theme", "cert_id", F.col("cert_date").alias("day"), "air_secs").filter("day is not null")
+    kinds = numbered(c.select("account_id", "ch", "d", "tc_theme"))
+    lists = materialize(in_order(with_number(c, kinds, "list").withColumnRenamed("cert_id", "right").select("list", "day", "air_secs", "right"), "day", "air_secs", "right"))
+    seen = c.select("account_id", "tc_theme", F.min(F.struct("day", "cert_id")).over(first).alias("_first")).distinct()
+    themes = certificate_themes(mappings, certs).join(seen, ["account_id", "tc_theme"])
+    rank = F.row_number().over(Window.partitionBy("account_id", "ch", "d").orderBy("spot_date", "start_secs", "spot_id")).cast("long")
+    s = spots.select(*own, "spot_id", normalize(F.col("brand")).alias("brand_key"), "spot_date", "start_secs").withColumn("_rank", rank)
+    s = s.join(themes, ["account_id", "brand_key"]).filter(F.col("map_duration").isNull() | (F.col("map_duration") == F.col("d")))
+    asked = with_number(s.select("account_id", "ch", "d", "tc_theme", "spot_id", "place", "_first", "_rank", F.col("spot_date").alias("day")), kinds, "list").filter("list is not null")
+    turn = F.row_number().over(Window.partitionBy("spot_id").orderBy("place", "_first", "list"))
+    wishes = from_day(asked, lists, "day", after=False).withColumn("_turn", turn)
+    wishes = wishes.groupBy(F.col("spot_id").alias("left")).agg(F.sort_array(F.collect_list(wish(F.col("_turn"), "list", F.col("_rank")))).alias("wishes"))
+    return settle(wishes, lists).select(F.col("left").alias("spot_id"), F.col("right").alias("cert_id"))
+
+
+def chain(certs: DataFrame, logs: DataFrame, spots: DataFrame, mappings: DataFrame) -> DataFrame:
+    """cert_id, step, log_id, spot_id: what each certificate ends as.
+
+    ``brand``: confirmed and on a spot of its brand; ``theme``: unconfirmed, taken by a spot of
+    its theme that the first step left; ``belt``: confirmed and on a spot that both left, by
+    time alone; ``extra``: on none.
+    """
+    have = materialize(confirm(certs, logs, mappings).select("cert_id", "log_id", F.col("air_secs").alias("_log_secs")))
+    timed = certs.join(have, "cert_id").withColumn("_own_secs", F.col("air_secs")).withColumn("air_secs", F.col("_log_secs"))
+    on = materialize(to_schedule(timed, spots, mappings).select("cert_id", "spot_id"))
+    left = spots.join(on, "spot_id", "left_anti")
+    loose = materialize(unconfirmed_to_schedule(extras(certs, have), left, mappings).select("cert_id", "spot_id"))
+    left = left.join(loose, "spot_id", "left_anti")
+    rest = extras(timed, on).withColumn("air_secs", F.coalesce("_log_secs", "_own_secs"))
+    belt = materialize(time_belt(rest, left).select("cert_id", "spot_id"))
+    steps = [df.withColumn("step", F.lit(step)) for df, step in ((on, "brand"), (loose, "theme"), (belt, "belt"))]
+    placed = steps[0].unionByName(steps[1]).unionByName(steps[2])
+    out = certs.select("cert_id").join(have.select("cert_id", "log_id"), "cert_id", "left").join(placed, "cert_id", "left")
+    return out.select("cert_id", F.coalesce("step", F.lit("extra")).alias("step"), "log_id", "spot_id")
 
 
 def standalone(certs: DataFrame, logs: DataFrame, mappings: DataFrame, theme_map: DataFrame, tolerance: int = TOLERANCE) -> DataFrame:

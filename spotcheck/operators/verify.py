@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from spotcheck.functions.scalars import clean_channel, end_of_window, normalize, word_overlap
 from spotcheck.operators.assign import assign
 from spotcheck.operators.mapping import brand_themes, with_themes
+from spotcheck.operators.settle import days_of, from_day, in_order, numbered, settle, wish, with_number
+from spotcheck.sources.staging import discard, materialize
 
 OVERSHOOT, OVERLAP = 600, 0.5
 #: Verdict of each pass.
@@ -40,12 +43,115 @@ def candidates(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: s
     return same.filter(ok).select(cols).unionByName(late.filter(ok).select(cols))
 
 
+#: What spots and airings have to share: a class.
+CLASS = ["account_id", "channel_key", "brand_key", "duration"]
+
+
+def class_logs(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: str = "theme") -> DataFrame:
+    """The airings of each brand of the mappings, by class: a row for each brand that a theme may stand for."""
+    themes = brand_themes(mappings, logs, source).withColumn("theme_key", normalize(F.col("advt_theme"))).drop("advt_theme").distinct()
+    brands = spots.select("account_id", normalize(F.col("brand")).alias("brand_key")).distinct()
+    product = normalize(F.col("product")) if "product" in logs.columns else F.lit("")
+    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("channel_key"), normalize(F.col("advt_theme")).alias("theme_key"), "duration", "log_date", "air_secs", "program", product.alias("log_product"))
+    met = r.join(themes.join(brands, ["account_id", "brand_key"], "left_semi"), ["account_id", "theme_key"])
+    met = met.filter(F.col("map_duration").isNull() | (F.col("map_duration") == F.col("duration")))
+    met = met.filter((F.col("map_product") == "") | (F.col("map_product") == F.col("log_product")))
+    return met.select(*CLASS, "log_id", "log_date", "air_secs", "program").distinct()
+
+
+def _in_window(kinds: DataFrame, r: DataFrame) -> DataFrame:
+    """The airings of each class and window, joined by the hours of the window."""
+    a, b = F.floor(F.coalesce("start_secs", F.lit(0)) / 3600), F.floor(F.coalesce("stop", F.lit(86400)) / 3600)
+    hours = kinds.filter(a <= b).withColumn("hour", F.explode(F.sequence(a, b)))
+    inside = F.coalesce(F.col("air_secs").between(F.col("start_secs"), F.col("stop")), F.col("start_secs").isNull() | F.col("stop").isNull())
+    met = hours.join(r.withColumn("hour", F.floor(F.coalesce("air_secs", F.lit(0)) / 3600)), [*CLASS, "hour"]).filter(inside)
+    return met.select("list", "log_id", "log_date", "air_secs")
+
+
+def _after_window(kinds: DataFrame, r: DataFrame) -> DataFrame:
+    """The airings up to ten minutes after each class's ends of windows, joined by blocks of ten minutes."""
+    block = F.floor(F.col("stop") / OVERSHOOT)
+    ends = kinds.filter("stop is not null").withColumn("block", F.explode(F.array(block, block + 1)))
+    over = F.col("air_secs") - F.col("stop")
+    met = ends.join(r.withColumn("block", F.floor(F.col("air_secs") / OVERSHOOT)), [*CLASS, "block"]).filter((over > 0) & (over <= OVERSHOOT))
+    return met.select("list", "log_id", "log_date", "air_secs")
+
+
+def _under_programme(kinds: DataFrame, r: DataFrame) -> DataFrame:
+    """The airings of each class under programmes like the planned one; names meet by a word."""
+    planned, aired = kinds.select("account_id", "programme").distinct(), r.select("account_id", "program").distinct()
+    words = lambda c: F.array_distinct(F.array_remove(F.split(normalize(F.col(c)), r"\s+"), ""))
+    own = F.when(F.size(words("programme")) == 0, F.array(F.lit(""))).otherwise(words("programme"))  # a name without words is like all
+    pairs = planned.withColumn("_w", F.explode(own)).join(aired.withColumn("_w", F.explode(F.concat(words("program"), F.array(F.lit(""))))), ["account_id", "_w"])
+    pairs = pairs.filter(word_overlap(F.col("programme"), F.col("program")) >= OVERLAP).select(F.col("account_id").alias("_a"), F.col("programme").alias("_p"), F.col("program").alias("_q")).distinct()
+    wanted = kinds.join(pairs, F.expr("account_id = _a and programme <=> _p")).select(*CLASS, "list", "_q")
+    met = wanted.alias("n").join(r.alias("r"), F.expr(" and ".join([*(f"n.{c} = r.{c}" for c in CLASS), "n._q <=> r.program"])))
+    return met.select("list", "log_id", "log_date", "air_secs")
+
+
+def _settle_schedule(s: DataFrame, members: DataFrame) -> DataFrame:
+    """Spots of one schedule number in each scope on the airings left in lists: (spot_id, log_id, pass).
+
+    The first three passes are lists of the spot's own day, of which a spot works down one
+    after the other; the late pass then takes lists of what they leave, in order of time.  All
+    spots of a class and window share their list, so late airings are no table of pairs.
+    """
+    key = lambda n: F.lit(n << 48) + F.col("_rank")
+    lists = materialize(in_order(members, "log_date", "air_secs", "log_id").withColumnRenamed("log_id", "right"))
+    days, asked, each = days_of(lists, "log_date"), s.withColumnRenamed("spot_date", "log_date"), []
+    for n, c in ((1, "_w"), (2, "_o"), (3, "_p")):
+        asked = asked.join(days.withColumnRenamed("list", c), [c, "log_date"], "left")
+        each.append(f"_wish{n}")
+        asked = asked.withColumn(each[-1], F.when(F.col("lo").isNotNull(), wish(n, c, key(n)))).drop("lo", "hi")
+    own_day = settle(asked.select(F.col("spot_id").alias("left"), F.array_compact(F.array(*each)).alias("wishes")), lists, rounds=6)
+    own_day = materialize(own_day.select(F.col("left").alias("spot_id"), F.col("right").alias("log_id"), F.col("seg").alias("pass")))
+    s = s.join(own_day, "spot_id", "left_anti")
+    left = lists.join(own_day.select(F.col("log_id").alias("right")), "right", "left_anti").join(s.select(F.col("_w").alias("list")).distinct(), "list", "left_semi")
+    late_lists = materialize(in_order(left.drop("pos"), "log_date", "air_secs", "right"))
+    discard(lists)
+    asked = from_day(s.select("spot_id", F.col("_w").alias("list"), F.col("spot_date").alias("log_date"), "_rank"), late_lists, "log_date", after=True)
+    late = settle(asked.select(F.col("spot_id").alias("left"), F.array(wish(4, "list", key(4))).alias("wishes")), late_lists, rounds=5)
+    late = materialize(late.select(F.col("left").alias("spot_id"), F.col("right").alias("log_id"), F.col("seg").alias("pass")))
+    discard(late_lists)
+    return own_day.unionByName(late)
+
+
+def place_spots(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: str = "theme") -> DataFrame:
+    """The airing that each spot takes, by schedule (text order), pass, day, start and id: spot_id, log_id, pass.
+
+    The schedules of a scope (account and channel) go one after the other, those of all scopes
+    side by side; each takes from what the earlier ones leave.  There is no table of pairs:
+    lists grow with airings times the windows of a class, and rounds move a row for each spot.
+    """
+    r = materialize(class_logs(spots, logs, mappings, source))
+    s = spots.select("spot_id", "account_id", clean_channel(F.col("channel")).alias("channel_key"), normalize(F.col("brand")).alias("brand_key"), "duration", "spot_date", "start_secs",
+                     end_of_window(F.col("start_secs"), F.col("end_secs")).alias("stop"), "programme", F.coalesce("schedule_number", F.lit("")).alias("_number"))
+    s = s.join(r.select(*CLASS).distinct(), CLASS, "left_semi")
+    rank = F.row_number().over(Window.partitionBy("account_id", "channel_key", "duration").orderBy("spot_date", "start_secs", "spot_id"))
+    turn = F.dense_rank().over(Window.partitionBy("account_id", "channel_key").orderBy("_number"))
+    s = materialize(s.withColumns({"_rank": rank.cast("long"), "_turn": turn}).drop("_number"))
+    parts = {"_w": ["start_secs", "stop"], "_o": ["stop"], "_p": ["programme"]}
+    rows = [s.select(F.lit(k).alias("_kind"), *CLASS, *[(F.col(c) if c in p else F.lit(None).cast(s.schema[c].dataType)).alias(c) for c in ("start_secs", "stop", "programme")]) for k, p in parts.items()]
+    kinds, lists = numbered(rows[0].unionByName(rows[1]).unionByName(rows[2])), None
+    for (kind, own), members in zip(parts.items(), (_in_window, _after_window, _under_programme), strict=True):
+        some = kinds.filter(F.col("_kind") == kind).select(*CLASS, *own, "list")
+        s, rows = with_number(s, some, kind), members(some, r)
+        lists = rows if lists is None else lists.unionByName(rows)
+    s = materialize(s.select("spot_id", "spot_date", "_rank", "_w", "_o", "_p", "_turn"))
+    lists, out = materialize(lists), None
+    for turn in range(1, (s.agg(F.max("_turn")).first()[0] or 0) + 1):
+        now = s.filter(F.col("_turn") == turn)
+        free = lists.join(now.select(F.explode(F.array("_w", "_o", "_p")).alias("list")).distinct(), "list", "left_semi")
+        got = _settle_schedule(now, free if out is None else free.join(out, "log_id", "left_anti"))
+        out = got if out is None else out.unionByName(got)
+    return s.select("spot_id", F.lit(None).cast("long").alias("log_id"), F.lit(0).alias("pass")).limit(0) if out is None else out
+
+
 def verify(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: str = "theme", claimed: DataFrame | None = None, done: DataFrame | None = None, cap: DataFrame | None = None, manual: DataFrame | None = None) -> DataFrame:
     """A verdict for every spot, and the airing it took.
 
     Spots go by schedule (text order), then pass, date, start and id; airings by date, time
-    and id.  All passes of all schedules are one assignment, as their order is one order of
-    edges.  ``claimed`` (log_id) are airings taken before, ``done`` (spot_id) spots that keep
+    and id (``place_spots``).  ``claimed`` (log_id) are airings taken before, ``done`` (spot_id) spots that keep
     an earlier verdict (smart runs), ``cap`` (account_id, channel, last_date) the data's end,
     after which a spot is pending, ``manual`` (spot_id, log_id) pairs that win over any other.
     """
@@ -60,8 +166,7 @@ def verify(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: str =
         open_ = open_.join(cap, ["account_id", "channel"], "left").withColumn("_pending", F.coalesce(F.col("spot_date") > F.col("last_date"), F.lit(False)))
         pending = open_.filter("_pending").select("spot_id")
         open_ = open_.filter("not _pending").drop("_pending", "last_date")
-    pairs = assign(candidates(open_, free, mappings, source), "spot_id", "log_id", [F.col(c) for c in ("schedule_number", "pass", "spot_date", "start_secs", "spot_id", "measure", "log_date", "air_secs")], scope=["account_id", "channel_key", "duration"])
-    pairs = pairs.select("spot_id", "log_id", "pass")
+    pairs = place_spots(open_, free, mappings, source)
     if manual is not None:
         pairs = pairs.unionByName(manual.select("spot_id", "log_id", F.lit(1).alias("pass")))
     mapped = mappings.select("account_id", normalize(F.col("brand")).alias("brand_key"), F.lit(True).alias("_mapped")).distinct()
@@ -113,8 +218,6 @@ def scope_window(headers: DataFrame, spots: DataFrame, logs: DataFrame) -> DataF
 
 def latest_versions(headers: DataFrame) -> DataFrame:
     """The highest version of each schedule number."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("account_id", "channel", "month", "schedule_number").orderBy(F.desc("version"), F.desc("schedule_id"))
     return headers.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 

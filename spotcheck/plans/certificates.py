@@ -39,56 +39,80 @@ def cert_unconfirmed(spark, sf_dir):
 
 WINDOW = "CASE WHEN air_secs BETWEEN start_secs AND end_secs + 600 THEN 1 WHEN abs(air_secs - (start_secs + end_secs) / 2.0) <= 7200 THEN 2 END"
 
-ON_SPOTS = CONFIRMED + ", " + walk("placed", f"""SELECT *, CASE WHEN tier = 2 THEN abs(air_secs - (start_secs + end_secs) / 2.0) ELSE 0 END AS measure FROM (
-  SELECT DISTINCT k.cert_id, p.spot_id, k.account_id, k.channel, p.brand, k.duration, k.cert_date, p.spot_date, k.air_secs, p.start_secs, p.end_secs, {WINDOW} AS tier
-  FROM certs AS k JOIN confirmed AS f ON f.cert_id = k.cert_id JOIN tc ON tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme
-  JOIN spots AS p ON p.account_id = k.account_id AND p.channel = k.channel AND p.brand = tc.brand AND p.duration = k.duration AND k.cert_date >= p.spot_date) WHERE tier IS NOT NULL""",
-    "concat_ws('|', account_id, channel, brand, duration)", "cert_id", "spot_id", "cert_date, cert_id, tier, measure, spot_date, spot_id")
+#: Confirmed certificates with the log's time; each looks at the brands of its theme in order and takes the best free spot of the first that has one.
+PLACED = CONFIRMED + f""", wanted AS (SELECT DISTINCT k.cert_id, p.spot_id, dense_rank() OVER (PARTITION BY k.cert_id ORDER BY tc.brand) AS brand_turn, k.account_id, k.channel, k.duration, k.cert_date, p.spot_date, p.start_secs, p.end_secs, r.air_secs,
+    {WINDOW.replace("air_secs", "r.air_secs")} AS tier
+  FROM confirmed AS f JOIN certs AS k ON k.cert_id = f.cert_id JOIN logs AS r ON r.log_id = f.log_id JOIN (SELECT DISTINCT account_id, tc_theme, brand FROM tc) AS tc ON tc.account_id = k.account_id AND tc.tc_theme = k.tc_theme
+  JOIN spots AS p ON p.account_id = k.account_id AND p.channel = k.channel AND p.brand = tc.brand AND p.duration = k.duration AND k.cert_date >= p.spot_date),
+turn AS (SELECT *, dense_rank() OVER (PARTITION BY account_id, channel, duration ORDER BY cert_date, cert_id) AS n FROM (SELECT DISTINCT cert_id, account_id, channel, duration, cert_date FROM wanted)),
+offer AS (SELECT t.account_id, t.channel, t.duration, t.n, w.cert_id, list({{'b': w.brand_turn, 't': coalesce(w.tier, 9), 'm': CASE WHEN w.tier = 2 THEN abs(w.air_secs - (w.start_secs + w.end_secs) / 2.0) ELSE 0 END, 'd': w.spot_date, 's': w.spot_id}}
+    ORDER BY w.brand_turn, coalesce(w.tier, 9), CASE WHEN w.tier = 2 THEN abs(w.air_secs - (w.start_secs + w.end_secs) / 2.0) ELSE 0 END, w.spot_date, w.spot_id) AS picks
+  FROM wanted AS w JOIN turn AS t ON t.cert_id = w.cert_id GROUP BY ALL),
+step AS (SELECT DISTINCT account_id, channel, duration, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS cs, CAST([] AS BIGINT[]) AS ss FROM turn
+  UNION ALL SELECT account_id, channel, duration, n, CASE WHEN best.t < 9 THEN list_append(cs, cert_id) ELSE cs END, CASE WHEN best.t < 9 THEN list_append(ss, best.s) ELSE ss END FROM (
+    SELECT w.account_id, w.channel, w.duration, o.n, w.cs, w.ss, o.cert_id, list_filter(o.picks, lambda x: NOT list_contains(w.ss, x.s))[1] AS best
+    FROM step AS w JOIN offer AS o ON o.account_id = w.account_id AND o.channel = w.channel AND o.duration = w.duration AND o.n = w.n + 1)),
+placed AS (SELECT unnest(cs) AS cert_id, unnest(ss) AS spot_id FROM (SELECT *, row_number() OVER (PARTITION BY account_id, channel, duration ORDER BY n DESC) AS last FROM step) WHERE last = 1)"""
+
+
+@query("SELECT cert_id, spot_id FROM placed", PLACED)
+def cert_to_schedule(spark, sf_dir):
+    return placed(spark, sf_dir).select("cert_id", "spot_id")
 
 
 def placed(spark, sf_dir) -> DataFrame:
-    have = confirmed(spark, sf_dir).select("cert_id")
-    return c.to_schedule(certs(spark, sf_dir).join(have, "cert_id", "left_semi"), spots(spark, sf_dir), mappings(spark, sf_dir))
+    have = confirmed(spark, sf_dir).select("cert_id", F.col("air_secs").alias("log_secs"))
+    k = certs(spark, sf_dir).join(have, "cert_id").withColumn("air_secs", F.col("log_secs")).drop("log_secs")
+    return c.to_schedule(k, spots(spark, sf_dir), mappings(spark, sf_dir))
 
 
-@query("SELECT cert_id, spot_id FROM placed", ON_SPOTS)
-def cert_to_schedule(spark, sf_dir):
-    return placed(spark, sf_dir).select("cert_id", "spot_id")
-
-
-@query("SELECT cert_id, spot_id FROM loose", CONFIRMED + ", " + walk("loose", """SELECT DISTINCT p.spot_id, k.cert_id, p.account_id, p.channel, p.brand, p.duration, p.spot_date, p.start_secs,
+LOOSE = walk("loose", """SELECT DISTINCT p.spot_id, k.cert_id, p.account_id, p.channel, p.brand, p.duration, p.spot_date, p.start_secs,
   list_position(string_split(m.tc_theme, '|'), k.tc_theme) AS place, k.cert_date, k.air_secs FROM spots AS p JOIN mappings AS m ON m.account_id = p.account_id AND m.brand = p.brand
   JOIN certs AS k ON k.account_id = p.account_id AND k.channel = p.channel AND list_contains(string_split(m.tc_theme, '|'), k.tc_theme) AND k.duration = p.duration AND k.cert_date >= p.spot_date
-  WHERE k.cert_id NOT IN (SELECT cert_id FROM confirmed)""",
-    "concat_ws('|', account_id, channel, brand, duration)", "spot_id", "cert_id", "spot_date, start_secs, spot_id, place, cert_date, air_secs, cert_id"))
+  WHERE k.cert_id NOT IN (SELECT cert_id FROM confirmed) AND p.spot_id NOT IN (SELECT spot_id FROM placed)""",
+    "concat_ws('|', account_id, channel, brand, duration)", "spot_id", "cert_id", "spot_date, start_secs, spot_id, place, cert_date, air_secs, cert_id")
+
+
+@query("SELECT cert_id, spot_id FROM loose", PLACED + ", " + LOOSE)
 def cert_unconfirmed_to_schedule(spark, sf_dir):
-    open_ = c.extras(certs(spark, sf_dir), confirmed(spark, sf_dir))
-    return c.unconfirmed_to_schedule(open_, spots(spark, sf_dir), mappings(spark, sf_dir)).select("cert_id", "spot_id")
+    """Unconfirmed certificates and the spots that confirmed ones leave."""
+    return chained(spark, sf_dir).filter("step = 'theme'").select("cert_id", "spot_id")
+
+
+BELT = walk("belt", f"""SELECT *, CASE WHEN tier = 2 THEN abs(air_secs - (start_secs + end_secs) / 2.0) ELSE 0 END AS measure FROM (
+  SELECT k.cert_id, p.spot_id, k.account_id, k.channel, k.duration, k.cert_date, p.spot_date, r.air_secs, p.start_secs, p.end_secs, {WINDOW.replace("air_secs", "r.air_secs")} AS tier
+  FROM certs AS k JOIN confirmed AS f ON f.cert_id = k.cert_id JOIN logs AS r ON r.log_id = f.log_id JOIN spots AS p ON p.account_id = k.account_id AND p.channel = k.channel AND p.duration = k.duration AND k.cert_date >= p.spot_date
+  WHERE p.ad_type = 'COMMERCIAL BENEFITS' AND k.cert_id NOT IN (SELECT cert_id FROM placed) AND p.spot_id NOT IN (SELECT spot_id FROM placed) AND p.spot_id NOT IN (SELECT spot_id FROM loose)) WHERE tier IS NOT NULL""",
+    "concat_ws('|', account_id, channel, duration)", "cert_id", "spot_id", "cert_date, cert_id, tier, measure, spot_date, spot_id")
+
 
+def chained(spark, sf_dir) -> DataFrame:
+    return c.chain(certs(spark, sf_dir), logs(spark, sf_dir), spots(spark, sf_dir), mappings(spark, sf_dir))
 
-@query("SELECT cert_id, spot_id FROM belt", THEMES + ", " + TC + ", " + walk("belt", f"""SELECT *, CASE WHEN tier = 2 THEN abs(air_secs - (start_secs + end_secs) / 2.0) ELSE 0 END AS measure FROM (
-  SELECT k.cert_id, p.spot_id, k.account_id, k.channel, k.duration, k.cert_date, p.spot_date, k.air_secs, p.start_secs, p.end_secs, {WINDOW} AS tier
-  FROM certs AS k JOIN spots AS p ON p.account_id = k.account_id AND p.channel = k.channel AND p.duration = k.duration AND k.cert_date >= p.spot_date
-  WHERE p.ad_type = 'COMMERCIAL BENEFITS' AND p.brand IN ('Brand 13', 'Brand 14') AND k.tc_theme IN ('tc theme 13', 'tc theme 14')) WHERE tier IS NOT NULL""",
-    "concat_ws('|', account_id, channel, duration)", "cert_id", "spot_id", "cert_date, cert_id, tier, measure, spot_date, spot_id"))
+
+@query("SELECT cert_id, spot_id FROM belt", PLACED + ", " + LOOSE + ", " + BELT)
 def cert_time_belt(spark, sf_dir):
-    """Certificates and spots whose names no mapping has."""
-    k = certs(spark, sf_dir).filter(F.col("tc_theme").isin("tc theme 13", "tc theme 14"))
-    p = spots(spark, sf_dir).filter(F.col("brand").isin("Brand 13", "Brand 14"))
-    return c.time_belt(k, p).select("cert_id", "spot_id")
+    """Confirmed certificates that no spot of a brand took, on the spots that the earlier steps leave."""
+    return chained(spark, sf_dir).filter("step = 'belt'").select("cert_id", "spot_id")
 
 
-@query()
+@query("SELECT cert_id, spot_id FROM belt", PLACED + ", " + LOOSE + ", " + BELT)
 def cert_time_belt_fallback(spark, sf_dir):
-    """All confirmed certificates without a spot of their brand on all spots that the earlier steps leave, by the log's time."""
+    """The same by its steps: what confirmed and unconfirmed certificates leave goes to ``time_belt``."""
     k, p, m = certs(spark, sf_dir), spots(spark, sf_dir), mappings(spark, sf_dir)
     have = materialize(confirmed(spark, sf_dir).select("cert_id", F.col("air_secs").alias("log_secs")))
-    on = materialize(c.to_schedule(k.join(have, "cert_id", "left_semi"), p, m).select("cert_id", "spot_id"))
+    timed = k.join(have, "cert_id").withColumn("air_secs", F.coalesce("log_secs", "air_secs")).drop("log_secs")
+    on = materialize(c.to_schedule(timed, p, m).select("cert_id", "spot_id"))
     p = p.join(on, "spot_id", "left_anti")
     loose = c.unconfirmed_to_schedule(c.extras(k, have), p, m)
-    p = p.join(loose.select("spot_id"), "spot_id", "left_anti")
-    k = k.join(have, "cert_id").withColumn("air_secs", F.coalesce("log_secs", "air_secs")).drop("log_secs")
-    return c.time_belt(c.extras(k, on), p).select("cert_id", "spot_id")
+    return c.time_belt(c.extras(timed, on), p.join(loose.select("spot_id"), "spot_id", "left_anti")).select("cert_id", "spot_id")
+
+
+@query("""SELECT k.cert_id, CASE WHEN p.cert_id IS NOT NULL THEN 'brand' WHEN l.cert_id IS NOT NULL THEN 'theme' WHEN b.cert_id IS NOT NULL THEN 'belt' ELSE 'extra' END AS step, f.log_id, coalesce(p.spot_id, l.spot_id, b.spot_id) AS spot_id
+  FROM certs AS k LEFT JOIN confirmed AS f ON f.cert_id = k.cert_id LEFT JOIN placed AS p ON p.cert_id = k.cert_id LEFT JOIN loose AS l ON l.cert_id = k.cert_id LEFT JOIN belt AS b ON b.cert_id = k.cert_id""", PLACED + ", " + LOOSE + ", " + BELT)
+def cert_chain(spark, sf_dir):
+    """Every certificate with the step that placed it, its log row and its spot."""
+    return chained(spark, sf_dir)
 
 
 @query("SELECT cert_id, log_id, true AS by_map FROM by_map UNION ALL SELECT cert_id, log_id, false FROM rest", THEMES + ", " + TC + ", " + walk("by_map", """SELECT k.cert_id, r.log_id, k.account_id, k.cert_date,
@@ -264,7 +288,7 @@ def status_map(spark, sf_dir):
 @query("""SELECT p.spot_id, CASE WHEN k.cert_date IS NULL THEN CASE WHEN row_number() OVER (PARTITION BY p.account_id, p.channel, p.brand, p.duration, k.cert_date IS NULL ORDER BY p.spot_date, p.start_secs, p.spot_id)
     <= greatest(0, coalesce(z.aired, 0) - count(k.cert_date) OVER (PARTITION BY p.account_id, p.channel, p.brand, p.duration)) THEN 'matched' ELSE 'missed' END WHEN k.cert_date > p.spot_date THEN 'late' ELSE 'matched' END AS status
   FROM spots AS p LEFT JOIN (SELECT placed.spot_id, certs.cert_date FROM placed JOIN certs USING (cert_id)) AS k ON k.spot_id = p.spot_id LEFT JOIN summary AS z ON z.account_id = p.account_id AND z.channel = p.channel AND z.brand = p.brand AND z.duration = p.duration""",
-       ON_SPOTS + SUMMARY[len(CONFIRMED):])
+       PLACED + SUMMARY[len(CONFIRMED):])
 def certificate_status_map(spark, sf_dir):
     k = placed(spark, sf_dir).select("spot_id", "cert_date")
     return y.certificate_status_map(spots(spark, sf_dir), k, summary(spark, sf_dir)).select("spot_id", "status")

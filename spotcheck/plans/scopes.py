@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spotcheck.operators import certificates as c, scopes as s, verify as v, workflows
 from spotcheck.plans.catalog import query
-from spotcheck.plans.certificates import CONFIRMED, ON_SPOTS, TC, confirmed, placed
+from spotcheck.plans.certificates import CONFIRMED, PLACED, TC, confirmed, placed
 from spotcheck.plans.reports import HEADERS, headers
 from spotcheck.plans.verification import THEMES, VERDICTS, commercial, verdicts
 from spotcheck.plans.walk import walk
@@ -58,7 +58,7 @@ def colour_source(spark, sf_dir):
     return s.colour_source(spots(spark, sf_dir), have, verdicts(spark, sf_dir).filter("channel != 'click'"))
 
 
-@query("SELECT spot_id, cert_id FROM cover", ON_SPOTS + ", " + walk("cover", """SELECT p.spot_id, k.cert_id, p.account_id, p.channel, p.spot_date FROM spots AS p JOIN certs AS k ON k.account_id = p.account_id AND k.channel = p.channel AND k.cert_date = p.spot_date
+@query("SELECT spot_id, cert_id FROM cover", PLACED + ", " + walk("cover", """SELECT p.spot_id, k.cert_id, p.account_id, p.channel, p.spot_date FROM spots AS p JOIN certs AS k ON k.account_id = p.account_id AND k.channel = p.channel AND k.cert_date = p.spot_date
   AND k.duration = p.duration AND k.air_secs BETWEEN p.start_secs AND p.end_secs + 600 WHERE k.cert_id IN (SELECT cert_id FROM confirmed) AND k.cert_id NOT IN (SELECT cert_id FROM placed) AND p.spot_id NOT IN (SELECT spot_id FROM placed)""",
     "concat_ws('|', account_id, channel, spot_date)", "spot_id", "cert_id", "spot_id, cert_id"))
 def slot_coverage(spark, sf_dir):

@@ -131,32 +131,3 @@ def test_known_verdicts(spark):
 
     got = {r["status"]: r["count"] for r in __spark_entry__.entry(spark).groupBy("status").count().collect()}
     assert got == {"matched": 434, "mismatch": 62, "late_telecast": 64, "not_aired": 102, "no_mapping": 105}
-
-
-def test_walked_scopes_and_rounds_agree(spark, monkeypatch):
-    from spotcheck.operators import assign as a
-
-    rng = random.Random(12)
-    rows = sorted({(s, f"{s}l{rng.randrange(12)}", f"{s}r{rng.randrange(12)}", rng.randrange(4)) for s in range(4) for _ in range(60)})
-    rows += [(None, "xl", "xr", 1), (None, "xl", "yr", None)]
-    df = spark.createDataFrame(rows, "scope int, l string, r string, p int")
-    seen = lambda limit: monkeypatch.setattr(a, "SCOPE_EDGES", limit) or sorted(tuple(x) for x in assign(df, "l", "r", [F.col("p")], scope=["scope"]).select("l", "r").collect())
-    walked, rounds = seen(10**6), seen(0)
-    assert walked == rounds and len(walked) > 30
-    assert ("xl", "yr") in walked  # a null comes first, and so do rows without a scope take part
-    assert assign(df.limit(0), "l", "r", [F.col("p")], scope=["scope"]).columns == ["l", "r", "p"]
-
-
-def test_certificates_in_turn_and_in_rounds_agree(spark, monkeypatch):
-    from spotcheck.operators import certificates as c
-
-    rng = random.Random(4)
-    day = lambda n: dt.date(2025, 1, 1 + n)
-    certs = [(i, rng.randrange(2), rng.choice(["a", "b"]), day(rng.randrange(6)), rng.choice([None, *range(70000, 86400, 900), 300])) for i in range(60)]
-    spots = [(i, rng.randrange(2), rng.choice(["a", "b"]), day(rng.randrange(6)), rng.choice([None, 70000, 80000, 85000]), rng.choice([75000, 84000, 88000])) for i in range(50)]
-    k = spark.createDataFrame(certs, "cert_id long, account_id long, brand_key string, cert_date date, air_secs long")
-    k = k.union(k.limit(10).withColumn("brand_key", F.lit("b"))).distinct()  # some stand for two brands
-    p = spark.createDataFrame(spots, "spot_id long, account_id long, brand_key string, spot_date date, start_secs long, stop long")
-    for in_turn in (True, False):
-        seen = lambda limit: monkeypatch.setattr(c, "SCOPE_ROWS", limit) or sorted(tuple(x) for x in c._by_window(k, p, ["account_id"], in_turn).select("cert_id", "spot_id", "tier", "measure", "cert_date").collect())  # noqa: E731, B023
-        assert seen(10**6) == seen(0) and seen(10**6)
