@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 from spotcheck.functions.scalars import clean_channel, normalize
 from spotcheck.operators.assign import assign, assign_in_turn
 from spotcheck.operators.mapping import resolve_patterns
+from spotcheck.operators.spans import rows_in_spans, winning_spans
+from spotcheck.sources.staging import materialize
 
 
 def in_turn(spots: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataFrame:
@@ -45,13 +47,28 @@ def deals_from_schedule(spots: DataFrame, existing: DataFrame | None = None) ->
 
 
 def cover(deals: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Log rows of each deal's themes within its days; a row goes to the deal of smallest id that wants it."""
-    m = mappings.select("account_id", "brand", "theme").distinct()
-    themes = resolve_patterns(m, logs.select("account_id", "advt_theme"), "theme", "advt_theme", ["account_id"]).select("account_id", "brand", "advt_theme").distinct()
-    named = lambda df: df.withColumn("_ch", clean_channel(F.col("channel"))).drop("channel")
-    pairs = named(deals).join(themes, ["account_id", "brand"]).join(named(logs), ["account_id", "_ch", "advt_theme", "duration"])
-    pairs = pairs.filter(F.col("log_date").between(F.col("start_date"), F.col("end_date")))
-    return pairs.groupBy("log_id").agg(F.min(F.struct("deal_id", "log_date")).alias("x")).select("log_id", F.col("x.deal_id").alias("deal_id"), F.col("x.log_date").alias("log_date"))
+    """Log rows of each deal's themes within its days; a row goes to the deal of smallest id that wants it.
+
+    A deal counts its own ``theme`` (a column of deals, if there is one that is not blank), else
+    the themes of its brand, of mappings of its duration or of any; without a duration it
+    counts rows of every duration.  The deals of a theme are cut into disjoint spans, each with
+    its deal, so a log row meets one span of its duration and one of any, and no deal meets
+    all rows of its theme.
+    """
+    m = mappings.select("account_id", normalize(F.col("brand")).alias("_brand"), "theme", F.col("duration").alias("_of") if "duration" in mappings.columns else F.lit(None).cast("int").alias("_of")).distinct()
+    own = normalize(F.col("theme")) if "theme" in deals.columns else F.lit("")
+    d = deals.select("deal_id", "account_id", clean_channel(F.col("channel")).alias("_ch"), normalize(F.col("brand")).alias("_brand"), "duration", "start_date", "end_date", own.alias("_own"))
+    agree = F.col("_of").isNull() | F.col("duration").isNull() | (F.col("_of") == F.col("duration"))
+    wanted = d.filter("_own <> ''").withColumn("theme", F.col("_own")).drop("_own", "_brand").unionByName(d.filter("_own = ''").join(m, ["account_id", "_brand"]).filter(agree).drop("_own", "_brand", "_of"))
+    wanted = wanted.filter(F.length(normalize(F.col("theme"))) > 0)
+    named = resolve_patterns(wanted, logs.select("account_id", "advt_theme"), "theme", "advt_theme", ["account_id"]).select("account_id", "_ch", "advt_theme", "duration", "deal_id", "start_date", "end_date").distinct()
+    keys = ["account_id", "_ch", "advt_theme"]
+    spans = materialize(winning_spans(named, [*keys, "duration"], "deal_id", "start_date", "end_date"))
+    rows = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("_ch"), "advt_theme", "duration", "log_date")
+    of_any = rows_in_spans(rows.drop("duration"), spans.filter("duration is null").drop("duration"), keys, "log_date")
+    of_one = rows_in_spans(rows, spans.filter("duration is not null"), [*keys, "duration"], "log_date")
+    found = of_any.select("log_id", "deal_id", "log_date").unionByName(of_one.select("log_id", "deal_id", "log_date"))
+    return found.groupBy("log_id").agg(F.min(F.struct("deal_id", "log_date")).alias("x")).select("log_id", F.col("x.deal_id").alias("deal_id"), F.col("x.log_date").alias("log_date"))
 
 
 def coverage(deals: DataFrame, covered: DataFrame) -> DataFrame:

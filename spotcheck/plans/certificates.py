@@ -173,6 +173,22 @@ def period_import(spark, sf_dir):
     return s.deals_from_schedule(sponsored(spark, sf_dir))
 
 
+OVERLAPPING = THEMES + ", " + SPONSORED + """, deals AS (SELECT min(spot_id) * 2 AS deal_id, account_id, channel, brand, duration, min(spot_date) AS start_date, max(spot_date) AS end_date FROM spon GROUP BY account_id, channel, brand, duration, schedule_number
+  UNION ALL SELECT min(spot_id) * 2 + 1, account_id, channel, brand, NULL, min(spot_date) + CAST(min(spot_id) % 5 AS INTEGER), max(spot_date) FROM spon GROUP BY account_id, channel, brand, date_trunc('month', spot_date))"""
+
+
+@query("""SELECT r.log_id, min(d.deal_id) AS deal_id, any_value(r.log_date) AS log_date FROM deals AS d JOIN themes AS t ON t.account_id = d.account_id AND t.brand = d.brand JOIN logs AS r ON r.account_id = d.account_id AND r.channel = d.channel
+  AND r.advt_theme = t.advt_theme AND (d.duration IS NULL OR r.duration = d.duration) AND r.log_date BETWEEN d.start_date AND d.end_date GROUP BY r.log_id""", OVERLAPPING)
+def overlapping_deals(spark, sf_dir):
+    """Airings by the deal that counts them, where deals of each schedule and monthly ones of any duration overlap."""
+    p = sponsored(spark, sf_dir)
+    span = (F.min("spot_date").alias("start_date"), F.max("spot_date").alias("end_date"), F.min("spot_id").alias("_id"))
+    one = p.groupBy("account_id", "channel", "brand", "duration", "schedule_number").agg(*span).withColumn("deal_id", F.col("_id") * 2)
+    month = p.groupBy("account_id", "channel", "brand", F.trunc("spot_date", "month").alias("_m")).agg(*span).withColumns({"deal_id": F.col("_id") * 2 + 1, "duration": F.lit(None).cast("int"), "start_date": F.expr("date_add(start_date, cast(_id % 5 as int))")})
+    cols = ["deal_id", "account_id", "channel", "brand", "duration", "start_date", "end_date"]
+    return s.cover(one.select(cols).unionByName(month.select(cols)), logs(spark, sf_dir), mappings(spark, sf_dir))
+
+
 @query("""SELECT d.*, coalesce(found, 0) AS found, coalesce(days_covered, 0) AS days_covered, greatest(0, planned_count - coalesce(found, 0)) AS short, greatest(0, coalesce(found, 0) - planned_count) AS extra
   FROM deals AS d LEFT JOIN (SELECT deal_id, count(*) AS found, count(DISTINCT log_date) AS days_covered FROM covered GROUP BY deal_id) AS c ON c.deal_id = d.deal_id""", COVERED)
 def period_coverage(spark, sf_dir):
