@@ -11,6 +11,7 @@ from spotcheck.plans.catalog import query
 from spotcheck.plans.verification import THEMES, VERDICTS, verdicts
 from spotcheck.sources import ingest, sinks
 from spotcheck.sources.projection import certs, logs, mappings, spots, table
+from spotcheck.sources.words import certificate_words
 
 
 @query("SELECT p_partkey, lower(trim(p_name)) AS name, lower(p_type) AS kind FROM part")
@@ -271,6 +272,33 @@ def cert_lines(spark, sf_dir):
     return out.select("file", "seq", "cert_date", "programme", F.floor(f.seconds_of_day(F.col("aired_time")) / 3600).alias("hour"), "tc_theme", "duration")
 
 
+@query(r"""SELECT file, cert_date, CASE WHEN stray THEN 'caption ' || channel || ' ' || name || ' Late' || rest ELSE channel || ' Late' END AS programme, CASE WHEN stray THEN CAST(own AS VARCHAR) ELSE 'caption ' || name || rest END AS tc_theme, picked AS duration, count(*) AS n FROM (
+  SELECT CAST(account_id AS VARCHAR) || ':' || (cert_id // 400) AS file, cert_date, channel, 'T' || split_part(tc_theme, ' ', 3) || 'x' AS name, CASE WHEN cert_id % 3 = 0 THEN ' rest' ELSE '' END AS rest, certs.duration AS own,
+    CASE WHEN cert_id % 4 < 3 THEN certs.duration ELSE TRY_CAST(regexp_extract(strftime(cert_date, '%d/%m/%Y') || ' ' || certs.duration || ' ' || (cert_id % 400), '\b(10|15|20|25|30|45|60)\b', 1) AS INTEGER) END AS picked,
+    cert_id % 4 = 3 AND own <> 5 AND picked IS DISTINCT FROM own AS stray
+  FROM certs WHERE air_secs BETWEEN 3600 AND 86399) GROUP BY ALL""")
+def cert_words(spark, sf_dir):
+    """Certificates as words on pages, with headers, money, serial numbers and uneven lines, and read back.
+
+    A number of the date is taken for the duration if nothing else says it; the true one then stands in the last column.
+    """
+    k = certs(spark, sf_dir).filter("air_secs between 3600 and 86399")
+    place = F.struct(F.concat_ws(":", "account_id", F.expr("cert_id div 400")).alias("file"), F.expr("cert_id % 400 div 40").alias("page"), F.expr("100.0 + cert_id % 40 * 20").cast("double").alias("y"))
+    word = lambda x, text, down=0.0: F.struct(F.lit(float(x)).alias("x0"), (F.lit(float(x)) + 5 * F.length(text)).alias("x1"), F.lit(float(down)).alias("down"), text.alias("word"))
+    clock = F.concat(f.clock_text(F.col("air_secs")), F.lit(":07"))
+    # the duration as a time, as a number before the time, or after it
+    length = F.col("duration").cast("string")
+    kind, none = F.expr("cert_id % 4"), F.lit(None).cast("string")
+    words = F.array(
+        word(12, F.expr("cast(cert_id % 400 as string)"), 2.5), word(60, F.date_format("cert_date", "dd/MM/yyyy")), word(130, F.lit("Mon"), 1.4), word(160, F.lit("Late"), 2.9), word(185, F.col("channel"), 0.6),
+        word(300, F.lit("caption")), word(340, F.concat(F.lit("T"), F.element_at(F.split("tc_theme", " "), 3), F.lit("x")), 2.0), word(420, F.when(kind == 2, length).otherwise(none), 1.05), word(450, clock, 1.1),
+        word(520, F.when(kind < 2, F.concat(F.lit("00:00:"), F.lpad(length, 2, "0"))).when(kind == 3, length).otherwise(none)), word(300, F.when(F.expr("cert_id % 3 = 0"), F.lit("rest")).otherwise(none), 7.0),
+        word(40, F.lit("1,250.00"), 12.0), word(200, F.when(F.expr("cert_id % 40 = 0"), F.lit("TELECAST CERTIFICATE")).otherwise(none), -20.0),
+    )
+    flat = k.select(place.alias("p"), F.explode(words).alias("w")).filter("w.word is not null").select("p.file", "p.page", "w.x0", "w.x1", (F.col("p.y") + F.col("w.down")).alias("y"), "w.word")
+    return certificate_words(flat).groupBy("file", "cert_date", "programme", "tc_theme", "duration").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT CAST(o_custkey AS VARCHAR) AS file, CASE WHEN arg_min(CASE WHEN day(o_orderdate) > 12 THEN 1 END, o_orderkey) IS NULL THEN 'day first' WHEN o_custkey % 2 = 0 THEN 'month first' ELSE 'day first' END AS date_order FROM orders GROUP BY o_custkey""")
 def date_formats(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

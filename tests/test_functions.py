@@ -54,13 +54,6 @@ def test_pivot_sheet(spark):
     assert (p["commercial"], p["sponsorship"], p["month"]) == (2, 1, "January 2025")
 
 
-def test_certificate_words(spark):
-    line = lambda y, *words: [("f", 1, float(x), float(x + 5 * len(w)), y, w) for x, w in words]
-    words = line(10.0, (0, "Channel")) + line(20.0, (0, "01/02/2025"), (60, "Late"), (82, "News"), (150, "Theme"), (177, "A"), (200, "20:30:00:05"), (260, "30")) + line(30.0, (150, "more"))
-    out = ingest.word_layout(spark.createDataFrame(words, "file string, page int, x0 double, x1 double, y double, word string")).first()
-    assert (out["date"], out["aired_time"], out["duration"], out["programme"], out["tc_theme"]) == ("01/02/2025", "20:30:00", 30, "Late News", "Theme A more")
-
-
 def test_competitor_file(spark):
     df = spark.createDataFrame([("X", "P", "15", "1", "2025", "1,000.5"), ("X", "P", "15", "1", "2025", "1,000.5"), ("X", "P", "40", "1", "2025", "1")], "ADVERTISER string, Product string, Dd string, Mn string, Yr string, cost string")
     out = ingest.competitor_ads(df, 7).collect()
