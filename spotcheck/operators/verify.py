@@ -163,7 +163,8 @@ def verify(spots: DataFrame, logs: DataFrame, mappings: DataFrame, source: str =
             free = free.join(used.select("log_id").distinct(), "log_id", "left_anti")
     open_ = spots if manual is None else spots.join(manual.select("spot_id").distinct(), "spot_id", "left_anti")
     if cap is not None:
-        open_ = open_.join(cap, ["account_id", "channel"], "left").withColumn("_pending", F.coalesce(F.col("spot_date") > F.col("last_date"), F.lit(False)))
+        ends = cap.groupBy("account_id", clean_channel(F.col("channel")).alias("_ch")).agg(F.max("last_date").alias("last_date"))
+        open_ = open_.withColumn("_ch", clean_channel(F.col("channel"))).join(ends, ["account_id", "_ch"], "left").drop("_ch").withColumn("_pending", F.coalesce(F.col("spot_date") > F.col("last_date"), F.lit(False)))
         pending = open_.filter("_pending").select("spot_id")
         open_ = open_.filter("not _pending").drop("_pending", "last_date")
     pairs = place_spots(open_, free, mappings, source)
@@ -205,15 +206,16 @@ def orphans(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
 def scope_window(headers: DataFrame, spots: DataFrame, logs: DataFrame) -> DataFrame:
     """For each account and channel: first and last day to verify, and the latest day of the logs.
 
-    Days come from the headers (with their makeup end), else from the spots themselves.
+    Days come from the headers (with their makeup end), else from the spots themselves.  Names
+    of a channel with and without its medium are one channel, shown as the spots have it.
     """
-    scope = ["account_id", "channel"]
-    h = headers.groupBy(*scope).agg(F.min("start_date").alias("h1"), F.max(F.greatest("end_date", F.coalesce("makeup_end_date", "end_date"))).alias("h2"))
-    s = spots.groupBy(*scope).agg(F.min("spot_date").alias("s1"), F.max("spot_date").alias("s2"))
-    last = logs.groupBy(*scope).agg(F.max("log_date").alias("latest"))
-    out = s.join(h, scope, "full").join(last, scope, "left")
+    by = lambda df: df.groupBy("account_id", clean_channel(F.col("channel")).alias("_ch"))
+    h = by(headers).agg(F.min("channel").alias("c1"), F.min("start_date").alias("h1"), F.max(F.greatest("end_date", F.coalesce("makeup_end_date", "end_date"))).alias("h2"))
+    s = by(spots).agg(F.min("channel").alias("c2"), F.min("spot_date").alias("s1"), F.max("spot_date").alias("s2"))
+    last = by(logs).agg(F.max("log_date").alias("latest"))
+    out = s.join(h, ["account_id", "_ch"], "full").join(last, ["account_id", "_ch"], "left")
     end = F.coalesce("h2", "s2")
-    return out.select(*scope, F.coalesce("h1", "s1").alias("first_date"), end.alias("last_date"), F.least(end, F.col("latest")).alias("cap_date"))
+    return out.select("account_id", F.coalesce("c2", "c1").alias("channel"), F.coalesce("h1", "s1").alias("first_date"), end.alias("last_date"), F.least(end, F.col("latest")).alias("cap_date"))
 
 
 def latest_versions(headers: DataFrame) -> DataFrame:

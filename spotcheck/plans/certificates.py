@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spotcheck.operators import certificates as c, sponsorship as s, summary as y
 from spotcheck.operators.mapping import brand_themes
-from spotcheck.plans.catalog import query
+from spotcheck.plans.registry import query
 from spotcheck.plans.verification import THEMES, VERDICTS, commercial, verdicts
 from spotcheck.plans.walk import walk
 from spotcheck.sources.projection import certs, logs, mappings, spots

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotcheck.operators import market as m
-from spotcheck.plans.catalog import query
+from spotcheck.plans.registry import query
 from spotcheck.sources.projection import ads
 
 SPEND = "CAST(sum(cost) AS DECIMAL(20,2)) AS spend"

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spotcheck.functions import scalars as f
 from spotcheck.operators import quality, verify, workflows
-from spotcheck.plans.catalog import query
+from spotcheck.plans.registry import query
 from spotcheck.plans.verification import THEMES, VERDICTS, verdicts
 from spotcheck.sources import ingest, sinks
 from spotcheck.sources.projection import certs, logs, mappings, spots, table
+from spotcheck.sources.staging import shared_dir
 from spotcheck.sources.words import certificate_words
 
 
@@ -69,10 +72,10 @@ def dedup_log(spark, sf_dir):
     return first.select("l_orderkey", "l_linenumber", "first_date").join(n, ["l_orderkey", "l_linenumber"])
 
 
-@query(f"SELECT log_id FROM (SELECT *, {KEY} AS k FROM logs) WHERE log_date > DATE '2024-01-15' AND k NOT IN (SELECT k FROM (SELECT {KEY} AS k FROM logs WHERE log_date <= DATE '2024-01-15'))")
+@query(f"SELECT min(log_id) AS log_id FROM (SELECT *, {KEY} AS k FROM logs) WHERE log_date > DATE '2024-01-15' AND k NOT IN (SELECT k FROM (SELECT {KEY} AS k FROM logs WHERE log_date <= DATE '2024-01-15')) GROUP BY k")
 def new_rows_anti(spark, sf_dir):
     r = keyed(logs(spark, sf_dir))
-    return ingest.append_new(r.filter("log_date > date'2024-01-15'"), r.filter("log_date <= date'2024-01-15'")).select("log_id")
+    return ingest.append_new(r.filter("log_date > date'2024-01-15'"), r.filter("log_date <= date'2024-01-15'"), ["log_id"]).select("log_id")
 
 
 @query("SELECT log_id % 7 AS batch, lower(channel) AS channel, min(log_date) AS start_date, max(log_date) AS end_date, count(*) AS row_count FROM logs GROUP BY ALL")
@@ -216,8 +219,17 @@ def brand_lookup(spark, sf_dir):
 
 @query("SELECT DISTINCT p.account_id, p.channel FROM spots AS p JOIN logs AS r ON r.account_id = p.account_id AND lower(r.channel) = lower(p.channel)")
 def scopes_with_both(spark, sf_dir):
-    both = lambda d: d.select("account_id", "channel")
-    return both(spots(spark, sf_dir)).intersect(both(logs(spark, sf_dir)))
+    p = spots(spark, sf_dir).select("account_id", "channel", F.lower("channel").alias("_ch")).distinct()
+    return p.join(logs(spark, sf_dir).select("account_id", F.lower("channel").alias("_ch")).distinct(), ["account_id", "_ch"], "left_semi").select("account_id", "channel")
+
+
+@query("SELECT spot_id, channel, row_number() OVER (ORDER BY channel, CASE WHEN spot_id % 17 > 0 THEN spot_date END NULLS LAST, start_secs DESC NULLS LAST, spot_id) AS row_number, true AS in_place FROM spots")
+def export_in_order(spark, sf_dir):
+    """The spots as files in the order of a report, read back: each row's number, and whether it stands after the row before it."""
+    p = spots(spark, sf_dir).withColumn("spot_date", F.when(F.expr("spot_id % 17 > 0"), F.col("spot_date")))
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    sinks.export_ordered(p, path, [F.asc_nulls_last("channel"), F.asc_nulls_last("spot_date"), F.desc_nulls_last("start_secs"), F.asc("spot_id")])
+    return sinks.read_ordered(spark, path, p.schema).select("spot_id", "channel", "row_number", "in_place")
 
 
 @query("SELECT account_id, channel, count(*) AS missed FROM verdicts WHERE status = 'not_aired' GROUP BY ALL", VERDICTS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spotcheck.operators import certificates as c, scopes as s, verify as v, workflows
-from spotcheck.plans.catalog import query
+from spotcheck.plans.registry import query
 from spotcheck.plans.certificates import CONFIRMED, PLACED, TC, confirmed, placed
 from spotcheck.plans.reports import HEADERS, headers
 from spotcheck.plans.verification import THEMES, VERDICTS, commercial, verdicts

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotcheck.operators import verify as v
 from spotcheck.operators.mapping import brand_themes
-from spotcheck.plans.catalog import query
+from spotcheck.plans.registry import query
 from spotcheck.sources.projection import logs, mappings, spots
 
 COMMERCIAL = "COMMERCIAL BENEFITS"
