@@ -131,3 +131,31 @@ def test_known_verdicts(spark):
 
     got = {r["status"]: r["count"] for r in __spark_entry__.entry(spark).groupBy("status").count().collect()}
     assert got == {"matched": 434, "mismatch": 62, "late_telecast": 64, "not_aired": 102, "no_mapping": 105}
+
+
+def test_ends_of_data_by_clean_channel(spark):
+    d = dt.date(2025, 1, 1)
+    spots = spark.createDataFrame([(1, 1, "One", "A", d, 0, 100, 30, "p", "1"), (2, 1, "One", "A", dt.date(2025, 1, 9), 0, 100, 30, "p", "1")], "spot_id long, account_id long, channel string, brand string, spot_date date, start_secs long, end_secs long, duration int, programme string, schedule_number string")
+    logs = spark.createDataFrame([(5, 1, "TV - One", d, 50, 30, "t", "q", "")], "log_id long, account_id long, channel string, log_date date, air_secs long, duration int, advt_theme string, program string, product string")
+    maps = spark.createDataFrame([(1, "A", "t", None, "")], "account_id long, brand string, theme string, duration int, product string")
+    cap = logs.select("account_id", "channel", F.col("log_date").alias("last_date"))
+    got = {r["spot_id"]: (r["status"], r["log_id"]) for r in verify.verify(spots, logs, maps, cap=cap).collect()}
+    assert got == {1: ("matched", 5), 2: ("pending", None)}
+    headers = spark.createDataFrame([(1, "tv - one", d, d, None)], "account_id long, channel string, start_date date, end_date date, makeup_end_date date")
+    row = verify.scope_window(headers, spots, logs).collect()
+    assert [(r["channel"], r["last_date"], r["cap_date"]) for r in row] == [("One", d, d)]
+
+
+def test_ordered_export(spark, tmp_path):
+    from spotcheck.sources import sinks
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3])) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k string, n int")
+    path = f"file://{tmp_path}/out"
+    sinks.export_ordered(df, path, [F.asc_nulls_last("k"), F.desc_nulls_last("n"), F.asc("id")])
+    got = sorted((tuple(r) for r in sinks.read_ordered(spark, path, df.schema).collect()), key=lambda r: r[3])
+    want = sorted(rows, key=lambda r: (r[1] is None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
+    assert [r[:3] for r in got] == want and [r[3] for r in got] == list(range(1, 501)) and all(r[4] for r in got)
+    sinks.export_ordered(df.limit(0), f"{path}-none", [F.asc("id")])
+    assert sinks.read_ordered(spark, f"{path}-none", df.schema).count() == 0
