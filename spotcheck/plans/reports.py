@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from spotcheck.functions import scalars as f
 from spotcheck.operators import quality, verify, workflows
+from spotcheck.operators.partials import merged, partials
 from spotcheck.plans.registry import query
 from spotcheck.plans.verification import THEMES, VERDICTS, verdicts
 from spotcheck.sources import ingest, sinks
@@ -350,3 +351,22 @@ def run_stream(spark, df, mode):
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).format("parquet").start(f"{path}/rows").awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/rows")
+
+
+@query("""SELECT account_id, date_trunc('month', spot_date)::DATE AS month, min(spot_date) AS first_date, max(spot_date) AS last_date, count(*) AS scheduled, count(*) FILTER (status IN ('matched', 'mismatch', 'late_telecast')) AS matched,
+  count(*) FILTER (status = 'not_aired') AS missed, count(DISTINCT brand) AS brands FROM verdicts GROUP BY ALL""", VERDICTS)
+def monthly_matched(spark, sf_dir):
+    """Scheduled, matched and missed spots of each account and month, from the partial rows of scopes and days."""
+    status = F.col("status")
+    parts = partials(verdicts(spark, sf_dir), ["account_id", "channel"], "spot_date", {"matched": status.isin("matched", "mismatch", "late_telecast"), "missed": status == "not_aired"}, {"brands": F.col("brand")})
+    months = merged(parts.withColumn("month", F.trunc("spot_date", "month")).drop("channel"), ["account_id", "month"], "spot_date", ["brands"])
+    return months.withColumnRenamed("rows", "scheduled")
+
+
+@query("""SELECT batch, min(log_date) AS first_date, max(log_date) AS last_date, count(*) AS rows, count(*) FILTER (duration <= 30) AS short, count(DISTINCT account_id || channel) AS scopes, count(DISTINCT advt_theme) AS themes
+  FROM (SELECT *, log_id // 500 AS batch FROM logs) GROUP BY batch ORDER BY batch DESC LIMIT 10""")
+def batch_summaries(spark, sf_dir):
+    """The latest ten uploads: rows, days, short rows, scopes and themes."""
+    r = logs(spark, sf_dir).withColumn("batch", F.expr("log_id div 500"))
+    parts = partials(r, ["batch", "account_id", "channel"], "log_date", {"short": F.col("duration") <= 30}, {"scopes": F.concat("account_id", "channel"), "themes": F.col("advt_theme")})
+    return merged(parts.drop("account_id", "channel"), ["batch"], "log_date", ["scopes", "themes"]).orderBy(F.desc("batch")).limit(10)
