@@ -37,14 +37,22 @@ def allowed_themes(certs: DataFrame, logs: DataFrame, mappings: DataFrame) -> tu
     return expecting, materialize(expected.groupBy("account_id", "tc_theme", "cert_dur", "advt_theme").agg(F.collect_set("map_product").alias("_products")))
 
 
+#: Earlier certificates choose first, the nearest log row, ties to the earlier one.
+CONFIRM_ORDER = ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")
+
+
 def confirm(certs: DataFrame, logs: DataFrame, mappings: DataFrame, tolerance: int = TOLERANCE, any_duration: DataFrame | None = None, claimed: DataFrame | None = None) -> DataFrame:
-    """Certificate rows and the log rows that confirm them: same channel, day and duration, within ``tolerance`` seconds.
+    """Certificate rows and the log rows that confirm them, one to one, of ``confirmable`` pairs."""
+    return assign(confirmable(certs, logs, mappings, tolerance, any_duration, claimed), "cert_id", "log_id", [F.col(x) for x in CONFIRM_ORDER], scope=["account_id", "ch", "day"])
+
+
+def confirmable(certs: DataFrame, logs: DataFrame, mappings: DataFrame, tolerance: int = TOLERANCE, any_duration: DataFrame | None = None, claimed: DataFrame | None = None) -> DataFrame:
+    """Pairs of certificate and log rows of the same channel, day and duration, within ``tolerance`` seconds.
 
     A theme whose brands have themes in the log needs a log row of one of them, and of the
-    product that the mapping names, if it names one.  Earlier certificates choose first, the
-    nearest log row, ties to the earlier one.  ``any_duration`` (account_id, tc_theme) names
-    themes for which durations may differ.  Times join on blocks of the tolerance, so a busy
-    day is no theta join.
+    product that the mapping names, if it names one.  ``any_duration`` (account_id, tc_theme)
+    names themes for which durations may differ.  Times join on blocks of the tolerance, so a
+    busy day is no theta join.
     """
     if claimed is not None:
         logs = logs.join(claimed.select("log_id").distinct(), "log_id", "left_anti")
@@ -64,8 +72,7 @@ def confirm(certs: DataFrame, logs: DataFrame, mappings: DataFrame, tolerance: i
     pairs = pairs.join(expecting.withColumn("_mapped", F.lit(True)), ["account_id", "tc_theme", "cert_dur"], "left").join(expected, ["account_id", "tc_theme", "cert_dur", "advt_theme"], "left")
     right = F.array_contains("_products", "") | F.array_contains("_products", F.col("product"))
     pairs = pairs.filter(F.col("_mapped").isNull() | right)
-    pairs = pairs.select("account_id", "ch", "cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs", F.col("cert_date").alias("day"))
-    return assign(pairs, "cert_id", "log_id", [F.col(x) for x in ("cert_date", "cert_secs", "cert_id", "gap", "air_secs")], scope=["account_id", "ch", "day"])
+    return pairs.select("account_id", "ch", "cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs", F.col("cert_date").alias("day"))
 
 
 def certified_brands(certs: DataFrame, mappings: DataFrame) -> DataFrame:

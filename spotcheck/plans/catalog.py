@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from spotcheck.plans import certificates, market, reports, scopes, verification  # noqa: F401
+from spotcheck.plans import certificates, changes, market, reports, scopes, verification  # noqa: F401
 from spotcheck.plans.registry import QUERIES, SQL  # noqa: F401
