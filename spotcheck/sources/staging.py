@@ -24,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _on_disk(spark: SparkSession, path: str):
+def on_disk(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in it."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
@@ -38,7 +39,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    files, target = _on_disk(spark, path)
+    files, target = on_disk(spark, path)
     files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
     out._stage_path = path
@@ -50,5 +51,5 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = getattr(table, "_stage_path", None)
         if path:
-            files, target = _on_disk(table.sparkSession, path)
+            files, target = on_disk(table.sparkSession, path)
             files.delete(target, True)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from spotcheck.sources.staging import on_disk
 
 
 def deduplicated(logs: DataFrame, time: str = "ts", late: str = "7 days", key: str = "dedup_key") -> DataFrame:
@@ -25,11 +29,67 @@ def near_pairs(certs: DataFrame, logs: DataFrame, seconds: int = 5, late: str =
     return c.join(r, (F.col("c.account_id") == F.col("r.account_id")) & (F.col("c.channel") == F.col("r.channel")) & (F.col("c.duration") == F.col("r.duration")) & near).select("cert_id", "log_id", "cert_ts", "log_ts")
 
 
-def refresh_scopes(logs: DataFrame, reconcile: Callable[[DataFrame], DataFrame], path: str):
-    """A writer that reconciles the scopes of each batch anew and overwrites their partitions; other scopes stay."""
+def released_scopes(logs: DataFrame, time: str = "ts", grace: str = "7 days", late: str = "10 minutes") -> DataFrame:
+    """Log rows of each scope and day (account_id, channel, scope_end, day, n), once its scope is surely over.
+
+    ``logs`` has ``scope_end``, the last day of the row's scope.  A timer at the end of that
+    day and ``grace`` later releases what was counted and forgets it.  A scope is kept by its
+    days, so that a busy channel is spread; all its days are released in one batch.  Rows that
+    come when the watermark has passed them are dropped.  State lives in RocksDB, which the
+    session has to name as its provider of state stores.
+    """
+    due = F.unix_millis(F.date_add("scope_end", 1).cast("timestamp") + F.expr(f"interval {grace}")).alias("due")
+    rows = logs.withWatermark(time, late).select(time, "account_id", "channel", "scope_end", F.to_date(time).alias("day"), due)
+    key = ["account_id", "channel", "scope_end", "day"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in key) + ", n bigint"
+    return rows.groupBy(*key).transformWithStateInPandas(Release(), schema, "append", "eventTime")
+
+
+class Release(StatefulProcessor):
+    """A count for each key until its timer, which the key's first rows set."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.count = handle.getValueState("count", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        n = self.count.get()[0] if self.count.exists() else 0
+        for batch in rows:
+            if not n and len(batch):
+                self.handle.registerTimer(int(batch["due"].iloc[0]))
+            n += len(batch)
+        self.count.update((n,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        n = self.count.get()[0]
+        self.count.clear()
+        yield pd.DataFrame({"account_id": [key[0]], "channel": [key[1]], "scope_end": [key[2]], "day": [key[3]], "n": [n]})
 
-    def batch(df: DataFrame, _: int) -> None:
+    def close(self) -> None:
+        pass
+
+
+def scope_writer(reconcile: Callable[[DataFrame], DataFrame], path: str, ledger: str) -> Callable[[DataFrame, int], None]:
+    """What a stream does with each batch: its scopes are reconciled anew and their partitions overwritten.
+
+    ``ledger`` is a folder of the ids of batches that are written, one for each stream.  A
+    batch that comes again after a crash finds its id there and changes nothing; one that
+    failed before it was entered writes the same partitions again.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        files, entry = on_disk(df.sparkSession, f"{ledger}/batch-{number}")
+        if files.exists(entry):
+            return
         scopes = df.select("account_id", "channel").distinct()
         reconcile(scopes).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("account_id", "channel").parquet(path)
+        files.mkdirs(entry)
+
+    return batch
+
 
-    return logs.writeStream.foreachBatch(batch)
+def refresh_scopes(logs: DataFrame, reconcile: Callable[[DataFrame], DataFrame], path: str, ledger: str):
+    """A writer that refreshes the scopes of each batch by ``scope_writer``; other scopes stay."""
+    return logs.writeStream.foreachBatch(scope_writer(reconcile, path, ledger))

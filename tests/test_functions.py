@@ -95,7 +95,7 @@ def test_refresh_of_scopes(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "account_id long, channel string")
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    jobs.refresh_scopes(stream, lambda scopes: scopes.withColumn("n", F.lit(1)), str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    jobs.refresh_scopes(stream, lambda scopes: scopes.withColumn("n", F.lit(1)), str(tmp_path / "out"), str(tmp_path / "ledger")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
 
 
