@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from spotcheck.functions.scalars import money, percent_of
+from spotcheck.functions.scalars import clean_channel, money, percent_of
 
 KEY = ["account_id", "channel", "brand", "duration"]
 
@@ -61,6 +61,21 @@ def campaign_board(spots: DataFrame, logs: DataFrame, verdicts: DataFrame) -> Da
     return out.withColumn("dot", F.when(F.col("log_rows") == 0, "grey").when(F.col("missed") > 0, "red").when(F.col("covered"), "green").otherwise("amber"))
 
 
+def board_states(headers: DataFrame, logs: DataFrame, runs: DataFrame, today: Column) -> DataFrame:
+    """For each scope of ``headers`` (row_count, end_date, is_locked): planned spots, whether its
+    period is over, whether the log reaches a week past it, whether all its schedules are locked,
+    and the day of its last run (null: none).
+    """
+    scope = ["account_id", "ch"]
+    named = lambda df: df.withColumn("ch", clean_channel(F.col("channel")))
+    h = named(headers).groupBy(*scope).agg(F.min("channel").alias("channel"), F.sum("row_count").alias("planned"), F.max("end_date").alias("_end"), F.coalesce(F.bool_and(F.coalesce("is_locked", F.lit(False))), F.lit(False)).alias("is_locked"))
+    r = named(logs).groupBy(*scope).agg(F.max("log_date").alias("_log"))
+    v = named(runs).groupBy(*scope).agg(F.max("run_at").alias("last_run"))
+    out = h.join(r, scope, "left").join(v, scope, "left")
+    true = lambda c: F.coalesce(c, F.lit(False))
+    return out.select("account_id", "channel", "planned", true(F.col("_end") < today).alias("period_over"), true(F.col("_log") >= F.date_add("_end", 7)).alias("covered"), "is_locked", "last_run")
+
+
 def scope_card(summary: DataFrame, reconciled: Column | None = None) -> DataFrame:
     """Percent aired and a status for each scope."""
     out = summary.groupBy("account_id", "channel").agg(F.sum("planned").alias("planned"), F.sum("aired").alias("aired"), F.sum("missed").alias("missed"))
@@ -139,6 +154,7 @@ STATUS_ORDER = ("matched", "mismatch", "late_telecast", "not_aired", "no_mapping
 
 
 def in_display_order(rows: DataFrame) -> DataFrame:
+    """Rows with the place of their status, ordered by scope and place."""
     return rows.withColumn("place", F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status"))).orderBy("account_id", "channel", "place")
 
 
