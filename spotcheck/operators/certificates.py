@@ -50,9 +50,9 @@ def confirmable(certs: DataFrame, logs: DataFrame, mappings: DataFrame, toleranc
     """Pairs of certificate and log rows of the same channel, day and duration, within ``tolerance`` seconds.
 
     A theme whose brands have themes in the log needs a log row of one of them, and of the
-    product that the mapping names, if it names one.  ``any_duration`` (account_id, tc_theme)
-    names themes for which durations may differ.  Times join on blocks of the tolerance, so a
-    busy day is no theta join.
+    product that the mapping names, if it names one.  ``any_duration`` (account_id, tc_theme, and
+    ch and month if they matter) names themes for which durations may differ.  Times join on
+    blocks of the tolerance, so a busy day is no theta join.
     """
     if claimed is not None:
         logs = logs.join(claimed.select("log_id").distinct(), "log_id", "left_anti")
@@ -65,8 +65,9 @@ def confirmable(certs: DataFrame, logs: DataFrame, mappings: DataFrame, toleranc
     if any_duration is None:
         pairs = pairs.filter(F.col("cert_dur").eqNullSafe(F.col("duration")))
     else:
-        pairs = pairs.join(any_duration.select("account_id", "tc_theme").distinct().withColumn("_any", F.lit(True)), ["account_id", "tc_theme"], "left")
-        pairs = pairs.filter(F.col("_any") | F.col("cert_dur").eqNullSafe(F.col("duration"))).drop("_any")
+        keys = ["account_id", "tc_theme", *(c for c in ("ch", "month") if c in any_duration.columns)]
+        pairs = pairs.withColumn("month", F.trunc("cert_date", "month")).join(any_duration.select(*keys).distinct().withColumn("_any", F.lit(True)), keys, "left")
+        pairs = pairs.filter(F.col("_any") | F.col("cert_dur").eqNullSafe(F.col("duration"))).drop("_any", "month")
     expecting, expected = allowed_themes(certs, logs, mappings)
     pairs = pairs.withColumn("cert_dur", F.coalesce("cert_dur", F.lit(0)))
     pairs = pairs.join(expecting.withColumn("_mapped", F.lit(True)), ["account_id", "tc_theme", "cert_dur"], "left").join(expected, ["account_id", "tc_theme", "cert_dur", "advt_theme"], "left")
@@ -75,6 +76,16 @@ def confirmable(certs: DataFrame, logs: DataFrame, mappings: DataFrame, toleranc
     return pairs.select("account_id", "ch", "cert_id", "log_id", "cert_date", "cert_secs", "gap", "air_secs", F.col("cert_date").alias("day"))
 
 
+def sponsored_themes(spots: DataFrame, certs: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Certificate themes that stand for a brand with sponsorship spots on a channel in a month: their durations say nothing.
+
+    account_id, ch, month (its first day), tc_theme, as ``confirmable`` takes it.
+    """
+    brands = spots.filter("ad_type = 'SPONSORSHIP'").select("account_id", clean_channel(F.col("channel")).alias("ch"), F.trunc("spot_date", "month").alias("month"), normalize(F.col("brand")).alias("brand_key")).distinct()
+    named = certificate_themes(mappings, certs).select("account_id", "brand_key", "tc_theme").distinct()
+    return brands.join(named, ["account_id", "brand_key"]).select("account_id", "ch", "month", "tc_theme").distinct()
+
+
 def certified_brands(certs: DataFrame, mappings: DataFrame) -> DataFrame:
     """account_id, tc_theme, cert_dur (0: none) and the brands that a certificate of that name may stand for, in order.
 

@@ -111,6 +111,36 @@ def deep_profile(ads: DataFrame) -> DataFrame:
     return out
 
 
+#: Lists of an advertiser's profile: column, measure that ranks (None: the value itself), length (None: all).
+PROFILE = {
+    "channel": ("channel", "spend", 8), "programme": ("program", "spend", 10), "duration": ("duration", "ads", None), "product": ("product", "spend", 8), "theme": ("advt_theme", "ads", 10),
+    "peak_day": ("ad_date", "spend", 7), "day": ("ad_date", None, None), "band": ("_band", "ads", None), "position": ("_position", "ads", None), "language": ("language", "ads", None),
+}
+
+
+def profile_lists(ads: DataFrame) -> DataFrame:
+    """The lists of each advertiser's profile: account_id, advertiser, list, place, value, ads and spend.
+
+    Every ad counts once for each list it has a value in, and counts are added up before they
+    are shuffled; ranks are taken among the distinct values of one advertiser.  Blank values
+    are left out, ties go by value.
+    """
+    position = F.when(F.col("ad_position") == 1, "First").when(F.col("ad_position") == F.col("total_ads"), "Last").otherwise("Middle")
+    rows = ads.withColumns({"_band": time_band(F.col("air_secs")), "_position": F.when(F.col("ad_position").isNotNull(), position)})
+    lists = {name: at for name, at in PROFILE.items() if at[0] in rows.columns}
+    each = F.array(*[F.struct(F.lit(name).alias("list"), F.col(column).cast("string").alias("value")) for name, (column, _, _) in lists.items()])
+    by = rows.select("account_id", "advertiser", "cost", F.inline(each)).filter("value != ''").groupBy("account_id", "advertiser", "list", "value").agg(F.count("*").alias("ads"), spend())
+    ranked_by = F.lit(None).cast("decimal(20,2)")
+    length = F.lit(None).cast("int")
+    for name, (_, measure, n) in lists.items():
+        if measure:
+            ranked_by = F.when(F.col("list") == name, F.col(measure).cast("decimal(20,2)")).otherwise(ranked_by)
+        if n:
+            length = F.when(F.col("list") == name, F.lit(n)).otherwise(length)
+    place = F.row_number().over(Window.partitionBy("account_id", "advertiser", "list").orderBy(ranked_by.desc_nulls_last(), "value"))
+    return by.withColumn("place", place).filter(length.isNull() | (F.col("place") <= length)).select("account_id", "advertiser", "list", "place", "value", "ads", "spend")
+
+
 def new_entrants(ads: DataFrame, batch: int) -> DataFrame:
     """Products, creatives and channels of an advertiser that no earlier batch has."""
     out = None

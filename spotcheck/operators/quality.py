@@ -47,13 +47,25 @@ def diagnose(verdicts: DataFrame, logs: DataFrame, mappings: DataFrame) -> DataF
 
 
 def candidate_search(spots: DataFrame, logs: DataFrame, minutes: int = 60, n: int = 10, claims: DataFrame | None = None) -> DataFrame:
-    """The ``n`` log rows nearest in time to each spot's start on its channel and day, programme ignored."""
+    """The ``n`` log rows nearest in time to each spot's start on its channel and day, programme ignored.
+
+    Rows whose distance is unknown stand behind those of a known one: all rows of the day for a
+    spot without a start, by their time, and rows without a time for any spot.  Of these the
+    first ``n`` of each day are all that any spot can show, so only they are joined by the day.
+    """
     span = minutes * 60
+    day = ["account_id", "channel", "day"]
     s = spots.select("spot_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("spot_date").alias("day"), "start_secs")
-    s = s.withColumn("block", F.explode(F.array(*[F.floor((F.col("start_secs") + d) / span) for d in (-span, 0, span)])))
-    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("log_date").alias("day"), "air_secs", "advt_theme", "duration").withColumn("block", F.floor(F.col("air_secs") / span))
-    near = s.join(r, ["account_id", "channel", "day", "block"]).withColumn("gap", F.abs(F.col("air_secs") - F.col("start_secs"))).filter(F.col("gap") <= span)
-    near = near.withColumn("place", F.row_number().over(Window.partitionBy("spot_id").orderBy("gap", "air_secs", "log_id"))).filter(F.col("place") <= n)
+    r = logs.select("log_id", "account_id", clean_channel(F.col("channel")).alias("channel"), F.col("log_date").alias("day"), "air_secs", "advt_theme", "duration")
+    timed = s.withColumn("block", F.explode(F.array(*[F.floor((F.col("start_secs") + d) / span) for d in (-span, 0, span)]))).filter("block is not null")
+    near = timed.join(r.withColumn("block", F.floor(F.col("air_secs") / span)), [*day, "block"]).drop("block")
+    near = near.withColumn("gap", F.abs(F.col("air_secs") - F.col("start_secs"))).filter(F.col("gap") <= span)
+    unknown = F.lit(None).cast(near.schema["gap"].dataType)
+    first = lambda rows: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*day).orderBy(F.asc_nulls_last("air_secs"), "log_id"))).filter(F.col("_n") <= n).drop("_n")
+    near = near.unionByName(s.filter("start_secs is null").join(first(r), day).withColumn("gap", unknown))
+    near = near.unionByName(s.filter("start_secs is not null").join(first(r.filter("air_secs is null")), day).withColumn("gap", unknown))
+    place = F.row_number().over(Window.partitionBy("spot_id").orderBy(F.asc_nulls_last("gap"), F.asc_nulls_last("air_secs"), "log_id"))
+    near = near.withColumn("place", place).filter(F.col("place") <= n)
     if claims is None:
         locked = F.lit(False)
     else:
@@ -94,6 +106,21 @@ def audit_mappings(mappings: DataFrame) -> DataFrame:
     return shared.unionByName(loose.distinct())
 
 
+def forgotten_themes(mappings: DataFrame, logs: DataFrame, least: float = 0.6) -> DataFrame:
+    """Themes of an account's log that look like one of its brands (ratio above ``least``) and are not mapped to it.
+
+    Ratios are taken once for each distinct theme and brand that can reach ``least``.
+    """
+    from spotcheck.operators.mapping import look_alikes
+
+    brands = mappings.select("account_id", normalize(F.col("brand")).alias("brand_key")).distinct()
+    themes = logs.select("account_id", normalize(F.col("advt_theme")).alias("theme")).distinct()
+    alike = look_alikes(themes, brands, "theme", "brand_key", least, top=(1 << 31) - 1).select("theme", "brand_key", "ratio")
+    found = themes.join(alike, "theme").join(brands, ["account_id", "brand_key"])
+    mapped = mappings.select("account_id", normalize(F.col("brand")).alias("brand_key"), normalize(F.col("theme")).alias("theme")).distinct()
+    return found.join(mapped, ["account_id", "brand_key", "theme"], "left_anti").select("account_id", "brand_key", "theme", "ratio")
+
+
 def name_check(uploads: DataFrame, least: float = 0.4) -> DataFrame:
     """Upload headers (account_name, file_name): blocked without an account, a warning if the names differ much."""
     from spotcheck.operators.mapping import sequence_ratio

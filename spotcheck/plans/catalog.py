@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from spotcheck.plans import certificates, changes, market, recon, reports, scopes, stores, streams, verification  # noqa: F401
+from spotcheck.plans import certificates, changes, market, quality, recon, reports, scopes, stores, streams, verification  # noqa: F401
 from spotcheck.plans.registry import QUERIES, SQL  # noqa: F401

@@ -99,6 +99,16 @@ def deep_profile(spark, sf_dir):
     return m.deep_profile(ads(spark, sf_dir))
 
 
+_LISTS = (("channel", "channel", "spend DESC", 8), ("programme", "program", "spend DESC", 10), ("duration", "duration", "ads DESC", None), ("product", "product", "spend DESC", 8), ("theme", "advt_theme", "ads DESC", 10),
+          ("peak_day", "ad_date", "spend DESC", 7), ("day", "ad_date", "0", None), ("band", BAND, "ads DESC", None), ("position", "CASE WHEN ad_position = 1 THEN 'First' WHEN ad_position = total_ads THEN 'Last' ELSE 'Middle' END", "ads DESC", None))
+
+
+@query(" UNION ALL ".join(f"""SELECT * FROM (SELECT account_id, advertiser, '{name}' AS list, CAST(row_number() OVER (PARTITION BY account_id, advertiser ORDER BY {order}, value) AS INTEGER) AS place, value, ads, spend
+  FROM (SELECT account_id, advertiser, CAST({column} AS VARCHAR) AS value, count(*) AS ads, {SPEND} FROM ads GROUP BY ALL)) WHERE place <= {n or 1 << 30}""" for name, column, order, n in _LISTS))
+def profile_lists(spark, sf_dir):
+    return m.profile_lists(ads(spark, sf_dir))
+
+
 def _fresh(kind: str, column: str) -> str:
     return f"SELECT DISTINCT account_id, advertiser, '{kind}' AS kind, {column} AS value FROM ads AS a WHERE batch = 1997 AND NOT EXISTS (SELECT 1 FROM ads AS b WHERE b.account_id = a.account_id AND b.advertiser = a.advertiser AND b.{column} = a.{column} AND b.batch < 1997)"
 
