@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from spotcheck.llm.components import components
 from spotcheck.llm.filters import bloom, contains, maybe_in
 from spotcheck.llm.frames import discard, join_by_group, materialize, text_batches
-from spotcheck.llm.textbytes import chunks, mix, prefix_hash, slice_hash, tidy, words
+from spotcheck.llm.textbytes import chunks, mix, prefix_hash, release, slice_hash, spread, tidy, words
 
 SHINGLE = 5
 #: A shingle is common beyond this share of all documents; more than ``TABLE`` cannot be (12 MB broadcast).
@@ -27,6 +27,8 @@ PASS_BYTES = 1 << 19
 PASS_PAIRS = 128
 #: Entries of a bucket that are compared with all those of other classes in it; larger buckets are split by rare shingles.
 SMALL = 32
+#: Entries, and bytes of text, of either side that a task compares at once with all of the other; shingles in one matrix product.
+BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 2048
 _rng = np.random.default_rng(11)
 _N = 1 << 16
 # draws of the sampler: gamma(2, 1), the logarithm of gamma(2, 1), uniform
@@ -176,6 +178,31 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return shared / total if total > 0 else 0.0
 
 
+#: Number of the text, shingle and weight of each occurrence of a shingle; a repeated one goes by its turn, too.
+Side = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def overlaps(a: Side, b: Side) -> np.ndarray:
+    """Sums of the smaller weights of each text of one side and each of the other, but for rounding."""
+    (of_a, code_a, one), (of_b, code_b, _) = a, b
+    both = np.intersect1d(code_a, code_b)
+    out = np.zeros((int(of_a.max(initial=-1)) + 1, int(of_b.max(initial=-1)) + 1))
+    sides = []
+    for of, code, value in ((of_a, code_a, one), (of_b, code_b, np.ones(len(code_b), np.float32))):
+        at = np.searchsorted(both, code)
+        hit = both[np.minimum(at, len(both) - 1)] == code if len(both) else np.zeros(len(code), bool)
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], of[hit][order], value[hit][order]))
+    for lo in range(0, len(both), COLUMNS):
+        wide, dense = min(COLUMNS, len(both) - lo), []
+        for (at, of, value), n in zip(sides, out.shape, strict=True):
+            i, j = np.searchsorted(at, [lo, lo + wide])
+            dense.append(np.zeros((n, wide), np.float32))
+            dense[-1][of[i:j], at[i:j] - lo] = value[i:j]
+        out += dense[0] @ dense[1].T
+    return out
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id and class_id of every document: the smallest doc_id it is linked to.
 
@@ -190,7 +217,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     meets those with which it shares one of its rarest shingles, which together weigh just
     over ``1 - similarity`` of it: a link always shares one.  Groups of such a shingle that
     are large meet changing representatives of their classes, until rounds bring no new link.
-    So no step pairs all of a large group, and pairs within a class are neither needed nor made.
+    That leaves few classes, and what is still in several of them in a large bucket is compared
+    whole: every entry outside the bucket's largest class with every entry of another class,
+    by matrix products over blocks of texts, of which only the links come out that join
+    classes.  So no candidate goes without a comparison, no step makes a row for each pair of
+    a large group, and pairs within a class are neither needed nor made.
 
     Empty and null texts are equal to each other; a text of one to four words is one shingle;
     repeated rows get a row each; rows without a doc_id take no part; an empty table gives an
@@ -204,15 +235,19 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     frequent, common, total = common_shingles(texts)
     hot = spark.sparkContext.broadcast(packed(frequent))
 
-    def weighted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, weights and number of shingles of each text."""
-        code, times, per = shingles(data, offsets)
-        weight, (codes, counts) = times.astype(np.float32), hot.value
+    def unit(code: np.ndarray) -> np.ndarray:
+        """What one occurrence of each shingle weighs."""
+        weight, (codes, counts) = np.ones(len(code), np.float32), hot.value
         if len(codes):
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             hit = codes[at] == code
             weight[hit] *= 1.0 - np.log(counts[at[hit]] / np.float32(common)) / np.float32(2 * np.log(total / common))
-        return code, weight, per
+        return weight
+
+    def weighted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, weights and number of shingles of each text."""
+        code, times, per = shingles(data, offsets)
+        return code, times.astype(np.float32) * unit(code), per
 
     digest = F.expr("substring(unhex(sha2(text, 256)), 1, 16)")
     drawn = materialize(texts.select("doc_id", digest.alias("digest")))
@@ -318,6 +353,63 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         met = met.select("entry", F.explode(F.array(F.when(F.col("root") != F.col("main"), F.col("x")), F.when(F.col("root") != F.col("second"), F.col("y")))).alias("z")).filter("z is not null")
         return met.select(F.least("entry", "z").alias("a"), F.greatest("entry", "z").alias("b"))
 
+    def block(side: pa.Table) -> tuple[list[int], list[int], Side, list[tuple[np.ndarray, np.ndarray]]]:
+        """Entries, their classes, occurrences of their shingles, and (hashes in order, weights) of each."""
+        sets, of, codes, ones = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
+        for lo, _, data, offsets in chunks(side, "text", PASS_BYTES):
+            code, times, per = shingles(data, offsets)
+            one, ends = unit(code), np.cumsum(per)
+            sets += [(code[e - p : e], (times[e - p : e].astype(np.float32) * one[e - p : e])) for e, p in zip(ends, per, strict=True)]
+            turn = spread(times).astype(np.uint64)
+            again = np.repeat(code, times)
+            again[turn > 0] = mix(again[turn > 0] + turn[turn > 0] * np.uint64(0x9E3779B97F4A7C15))
+            of.append(lo + np.repeat(np.repeat(np.arange(len(per)), per), times))
+            codes.append(again)
+            ones.append(np.repeat(one, times))
+        return side.column("entry").to_pylist(), side.column("root").to_pylist(), (np.concatenate(of), np.concatenate(codes), np.concatenate(ones)), sets
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Links of texts of two blocks that join their classes."""
+        out: list[tuple[int, int]] = []
+        if left.num_rows and right.num_rows:
+            (a, root_a, side_a, sets_a), (b, root_b, side_b, sets_b) = block(left), block(right)
+            both = overlaps(side_a, side_b)
+            weigh = lambda sets: np.array([float(w.sum(dtype=np.float64)) for _, w in sets])
+            likely = both >= (similarity - 1e-3) * (weigh(sets_a)[:, None] + weigh(sets_b) - both)
+            likely &= np.array(root_a)[:, None] != np.array(root_b)
+            joined: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(likely)), strict=True):
+                x, y = top(root_a[i]), top(root_b[j])
+                if x != y and weighted_jaccard(sets_a[i], sets_b[j]) >= similarity:
+                    joined[max(x, y)] = min(x, y)
+                    out.append((min(a[i], b[j]), max(a[i], b[j])))
+        release()
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    def rest(placed: DataFrame, whole: DataFrame) -> DataFrame:
+        """Links (a, b) that join all classes of each bucket between which it has any."""
+        placed = materialize(placed.select("h", "entry", "root").join(whole.select("entry", F.octet_length("text").alias("bytes")), "entry"))
+        classes = placed.groupBy("h", "root").agg(F.count("*").alias("of"), F.sum("bytes").alias("bytes"))
+        main = classes.groupBy("h").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.max("of").alias("of"), F.sum("of").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("of", "root")).alias("main_bytes"))
+
+        def parts(n: Column, bytes_: Column) -> Column:
+            return F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(bytes_ / F.lit(BLOCK_BYTES))).cast("int")
+
+        main = main.select("h", "main", parts(F.col("n"), F.col("bytes")).alias("blocks"), parts(F.col("n") - F.col("of"), F.col("bytes") - F.col("main_bytes")).alias("packets"))
+        dealt = materialize(placed.join(main, "h"))
+        own, all_ = lambda of, seed: F.pmod(F.xxhash64("entry", F.lit(seed)), F.col(of)).cast("int"), lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        ask = dealt.filter("root != main").withColumn("packet", own("packets", 1)).withColumn("block", all_("blocks"))
+        have = dealt.withColumn("block", own("blocks", 2)).withColumn("packet", all_("packets"))
+        names = ["entry", "h", "block", "packet", "root", "text"]
+        ask, have = (x.select(*names[:-1]).join(whole, "entry").select(*names).toDF(*names).groupBy("h", "block", "packet") for x in (ask, have))
+        return ask.cogroup(have).applyInArrow(meet, "a long, b long").distinct()
+
     members = grouped(entries.select(F.explode("keys").alias("h"), "entry"))
     whole = texts_of(members)
     tried = materialize(alike(members.filter("entry > hub").select(F.col("hub").alias("a"), F.col("entry").alias("b"))))
@@ -349,6 +441,10 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
             break
         links, turn = materialize(links.unionByName(found)), turn + 1
         root = materialize(components(links))
+    if crowded:
+        left = materialize(mixed(members.filter(F.col("n") > SMALL), root))
+        links = materialize(links.unionByName(rest(left, whole_crowd)))
+        root = materialize(components(links))
     classes = materialize(named.join(root.toDF("entry", "class_id"), "entry", "left").select("digest", "entry", "rows", F.coalesce("class_id", "entry").alias("class_id")))
     discard(named, entries, members, whole, links, root, *([whole_crowd, rarest, groups, placed] if crowded else []))
     return join_by_group(drawn, classes, "digest").select("doc_id", "class_id", F.col("entry").alias("copy_of"))

@@ -113,6 +113,44 @@ def test_links_in_large_groups_against_brute_force(spark, monkeypatch):
     assert all(find(i) == find(got[i]) for i in range(total))
 
 
+def planted(spark, monkeypatch):
+    """Texts in large buckets and the few pairs of them that are links; before, rounds of representatives lost one."""
+    monkeypatch.setattr(near_copies, "SMALL", 4)  # so that buckets and groups of shingles are large
+    monkeypatch.setattr(near_copies, "BLOCK", 300, raising=False)
+    rng = np.random.default_rng(4)
+    slots = 14  # a text is a choice between two passages in each place: a link differs in one, all others in two at least
+    even = [x for x in range(1 << slots) if x.bit_count() % 2 == 0]
+    odd = [int(x) for x in rng.choice([x for x in range(1 << slots) if x.bit_count() % 2], 4, replace=False)]
+    close = {x: [x ^ (1 << i) for i in range(slots)] for x in odd}
+    near = {x: next(y for y in close[x] if sum(y in c for c in close.values()) == 1) for x in odd}
+    apart = {y for c in close.values() for y in c}
+    chosen = [int(x) for x in rng.choice([x for x in even if x not in apart], 1500, replace=False)] + odd + list(near.values())
+    chosen = [chosen[i] for i in rng.permutation(len(chosen))]
+    text = {x: " ".join(f"s{i}v{x >> i & 1}w{j}" for i in range(slots) for j in range(20)) for x in chosen}
+    at = {x: i for i, x in enumerate(chosen)}
+    df = spark.createDataFrame([(i, text[x]) for i, x in enumerate(chosen)], "doc_id long, text string")
+    return df, {max(at[x], at[y]): min(at[x], at[y]) for x, y in near.items()}
+
+
+def test_links_that_no_round_meets(spark, monkeypatch):
+    df, links = planted(spark, monkeypatch)
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(df).collect()}
+    assert got == {i: i for i in got} | links
+
+
+def test_overlaps_are_sums_of_smaller_weights():
+    rng = np.random.default_rng(8)
+    one = rng.uniform(0.5, 1.0, 60).astype(np.float32)
+    sides = []
+    for n in (7, 5):
+        of, code = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(60), indexing="ij"))
+        take = rng.random(len(of)) < 0.4
+        sides.append((of[take], code[take].astype(np.uint64), one[code[take]]))
+    got = near_copies.overlaps(*sides)
+    want = [[sum(float(one[c]) for c in set(sides[0][1][sides[0][0] == i]) & set(sides[1][1][sides[1][0] == j])) for j in range(5)] for i in range(7)]
+    assert np.allclose(got, want, atol=1e-4)
+
+
 def test_bands_follow_the_similarity():
     for s in (0.5, 0.6, 0.7, 0.8, 0.9):
         bands, rows, least = near_copies.bands_for(s)
