@@ -127,6 +127,21 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
 
 
+def floors(q: np.ndarray, leaves: list[np.ndarray], x: np.ndarray, leaf: np.ndarray, k: int, longest: float) -> np.ndarray:
+    """For each query a score that the k best of the visited leaves reach, from those of some vectors x that lie in them.
+
+    A little is taken off for rounding; with fewer than k vectors there it is minus infinity.
+    """
+    out = np.full(len(q), -np.inf)
+    for lo in range(0, len(q), 256):
+        scores = q[lo : lo + 256] @ x.T
+        for i, row in enumerate(scores, lo):
+            row = row[np.isin(leaf, leaves[i])]
+            if len(row) >= k:
+                out[i] = np.partition(row, len(row) - k)[len(row) - k] - 1e-9 * longest * np.sqrt(q[i] @ q[i])
+    return out
+
+
 def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95, leaf_rows: int = 256, shelf_rows: int = 4096) -> DataFrame:
     """The k largest inner products of each query vector among all other vectors.
 
@@ -141,6 +156,10 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
     crowded leaf is no single task.  There are as many leaves as the sample allows, ``SAMPLE``
     at most, so with more vectors leaves are larger and a search reads more of them.
 
+    The vectors of the sample are vectors of the index, so those that lie in the leaves of a
+    search tell a score that its k + 1 best reach.  Shelves return what reaches it, instead of
+    k + 1 rows each; the result is the same.
+
     Vectors that are null, zero, hold null or non-finite components, or have another number
     of components than most, take no part, nor do rows without a vec_id.  A repeated vec_id with the same vector counts
     once.  Empty tables give empty ones; fewer candidates give fewer rows.
@@ -168,6 +187,8 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
             yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(leaf), batch.column("vec"), batch.column("ids")], ["vid", "leaf", "vec", "ids"])
 
     index = materialize(unique.select("vid", "vec", "ids").mapInArrow(assign, "vid long, leaf int, vec binary, ids array<long>"))
+    placed = index.orderBy(F.xxhash64("vid"), "vid").select("vec", "leaf").limit(SAMPLE).collect()  # the sample again, with its leaves
+    known = spark.sparkContext.broadcast((matrix(pd.Series([r["vec"] for r in placed])), np.array([r["leaf"] for r in placed])))
     asked = materialize(packed.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "vec"))
     queries = asked.groupBy("vec").agg(F.count("*").alias("rows")).join(index.select("vid", "vec"), "vec")
     queries = materialize(queries)
@@ -189,17 +210,19 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
             x, out = matrix(batch.column("vec")), []
             high = lifted(x, m) if len(x) else x
             high[:, -1:] = 0.0  # a query is not lifted
-            for vid, v, row in zip(batch.column("vid").to_pylist(), batch.column("vec").to_pylist(), high, strict=True):
+            visited = [[leaf for leaf, _ in zip(t.visit(row), range(visits), strict=False)] for row in high]
+            least = floors(x, visited, *known.value, k + 1, m)
+            for vid, v, first_to_last, low in zip(batch.column("vid").to_pylist(), batch.column("vec").to_pylist(), visited, least.tolist(), strict=True):
                 on: dict[int, list[int]] = {}
-                for leaf, _ in zip(t.visit(row), range(visits), strict=False):
+                for leaf in first_to_last:
                     first, parts = shelves.get(leaf, (0, 0))
                     for shelf in range(first, first + parts):
                         on.setdefault(shelf, []).append(leaf)
-                out += [(shelf, vid, v, leaves) for shelf, leaves in on.items()]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], ["shelf", "qid", "qvec", "leaves"])
+                out += [(shelf, vid, v, leaves, low) for shelf, leaves in on.items()]
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.float64()), strict=True)], ["shelf", "qid", "qvec", "leaves", "least"])
 
-    routed = materialize(queries.repartition(F.col("vid")).mapInArrow(route, "shelf int, qid long, qvec binary, leaves array<int>"))
+    routed = materialize(queries.repartition(F.col("vid")).mapInArrow(route, "shelf int, qid long, qvec binary, leaves array<int>, least double"))
     crowd = F.broadcast(routed.groupBy("shelf").agg(F.ceil(F.count("*") / shelf_rows).cast("int").alias("packets")))  # a row for each shelf
     on = F.broadcast(spark.createDataFrame([(leaf, first, parts) for leaf, (first, parts) in shelves.items()], "leaf int, first int, parts int"))  # a row for each leaf, SAMPLE at most
     stored = index.join(on, "leaf").withColumn("shelf", (F.col("first") + F.pmod(F.xxhash64("vid"), F.col("parts"))).cast("int"))
@@ -214,8 +237,9 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, recall: float = 0.95,
         rows_of = {j: np.flatnonzero(leaf == j) for j in np.unique(leaf)}
         for at in range(0, len(qs), 512):
             scores = qs[at : at + 512] @ xs.T
-            for qid, leaves, row in zip(q["qid"].iloc[at : at + 512], q["leaves"].iloc[at : at + 512], scores, strict=True):
+            for qid, leaves, least, row in zip(*(q[c].iloc[at : at + 512] for c in ("qid", "leaves", "least")), scores, strict=True):
                 seen = np.concatenate([rows_of[j] for j in leaves if j in rows_of] or [np.zeros(0, np.int64)])
+                seen = seen[row[seen] >= least]
                 top = seen[best(row[seen], vid[seen], k + 1)]
                 out += zip([qid] * len(top), vid[top].tolist(), row[top].tolist(), ids[top], strict=True)
         return pd.DataFrame(out, columns=["qid", "vid", "score", "ids"])

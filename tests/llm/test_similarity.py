@@ -34,6 +34,23 @@ def test_neighbours_against_brute_force(spark):
     assert sorted(neighbours.search(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")).collect())[0][:3] == (0, 1, 1)
 
 
+def test_floors_keep_the_best_and_leave_out_most():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(2400, 16))
+    q, leaf = x[::20], rng.integers(0, 30, len(x))
+    leaves = [rng.choice(30, 24, replace=False) for _ in q]
+    some = rng.choice(len(x), 800, replace=False)
+    low = neighbours.floors(q, leaves, x[some], leaf[some], 21, float(np.sqrt((x * x).sum(1).max())))
+    kept = 0
+    for i, row in enumerate(q @ x.T):
+        there = np.sort(row[np.isin(leaf, leaves[i])])[::-1]
+        assert low[i] <= there[20]  # none of the 21 best is lost
+        kept += int((there >= low[i]).sum())
+    assert kept < 24 * 21 * len(q) / 5  # of those that 24 shelves of a leaf would return
+    none = neighbours.floors(q[:3], leaves[:3], x[some[:5]], leaf[some[:5]], 21, 9.0)
+    assert np.isneginf(none).all()
+
+
 def shingled(text):
     w = (text or "").split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
