@@ -5,6 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from spotcheck.llm import filters, near_copies, neighbours, quality_model, suffixes
 from spotcheck.llm.components import components
 
@@ -155,6 +156,12 @@ def test_links_that_no_round_meets(spark, monkeypatch):
     assert got == {i: i for i in got} | links
 
 
+def test_pipeline_keeps_one_of_links_that_no_round_meets(spark, monkeypatch):
+    df, links = planted(spark, monkeypatch)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()}
+    assert kept == set(range(df.count())) - set(links)
+
+
 def test_overlaps_are_sums_of_smaller_weights():
     rng = np.random.default_rng(8)
     one = rng.uniform(0.5, 1.0, 60).astype(np.float32)
