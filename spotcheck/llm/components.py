@@ -24,9 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         before, edges = edges, materialize(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(before)
         # done when every id hangs on one other, which hangs on none
-        once = edges.groupBy("u").agg(F.count("*").alias("n"))
-        hung = edges.select(F.col("v").alias("u")).distinct().join(once.select("u"), "u", "left_semi").select("u")
-        if not once.filter("n > 1").select("u").unionByName(hung).limit(1).count():
+        ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("up")))
+        if not ends.groupBy("id").agg(F.sum("up").alias("up"), F.min("up").alias("least")).filter("up > least").limit(1).count():
             break
     roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())

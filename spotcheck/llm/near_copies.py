@@ -29,6 +29,8 @@ PASS_PAIRS = 128
 SMALL = 32
 #: Entries, and bytes of text, of either side that a task compares at once with all of the other; shingles in one matrix product.
 BLOCK, BLOCK_BYTES, COLUMNS = 1024, 8 << 20, 2048
+#: Rows that the whole comparison of large buckets may read for each of their entries, before more rounds are tried to make it smaller.
+COPIES = 4
 _rng = np.random.default_rng(11)
 _N = 1 << 16
 # draws of the sampler: gamma(2, 1), the logarithm of gamma(2, 1), uniform
@@ -216,12 +218,14 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     different classes then meet each other.  In larger buckets of several classes an entry
     meets those with which it shares one of its rarest shingles, which together weigh just
     over ``1 - similarity`` of it: a link always shares one.  Groups of such a shingle that
-    are large meet changing representatives of their classes, until rounds bring no new link.
-    That leaves few classes, and what is still in several of them in a large bucket is compared
-    whole: every entry outside the bucket's largest class with every entry of another class,
-    by matrix products over blocks of texts, of which only the links come out that join
-    classes.  So no candidate goes without a comparison, no step makes a row for each pair of
-    a large group, and pairs within a class are neither needed nor made.
+    are large meet representatives of their classes.  That leaves few classes, and what is
+    still in several of them in a large bucket is compared whole: every entry outside the
+    bucket's largest class with every entry of another class, by matrix products over blocks
+    of texts, of which only the links come out that join classes.  Only where that would read
+    more than ``COPIES`` rows an entry do further rounds of other representatives come first,
+    until one brings no new link; they save work and decide nothing.  So no candidate goes
+    without a comparison, no step makes a row for each pair of a large group, and pairs within
+    a class are neither needed nor made.
 
     Empty and null texts are equal to each other; a text of one to four words is one shingle;
     repeated rows get a row each; rows without a doc_id take no part; an empty table gives an
@@ -392,8 +396,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         release()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    def rest(placed: DataFrame, whole: DataFrame) -> DataFrame:
-        """Links (a, b) that join all classes of each bucket between which it has any."""
+    def dealt(placed: DataFrame, whole: DataFrame) -> tuple[DataFrame, int, int]:
+        """The entries of buckets of several classes, each bucket's largest class, and into how many blocks and packets it goes.
+
+        With the number of entries, and of the rows that their comparison reads.
+        """
         placed = materialize(placed.select("h", "entry", "root").join(whole.select("entry", F.octet_length("text").alias("bytes")), "entry"))
         classes = placed.groupBy("h", "root").agg(F.count("*").alias("of"), F.sum("bytes").alias("bytes"))
         main = classes.groupBy("h").agg(F.max_by("root", F.struct("of", "root")).alias("main"), F.max("of").alias("of"), F.sum("of").alias("n"), F.sum("bytes").alias("bytes"), F.max_by("bytes", F.struct("of", "root")).alias("main_bytes"))
@@ -401,8 +408,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         def parts(n: Column, bytes_: Column) -> Column:
             return F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK)), F.ceil(bytes_ / F.lit(BLOCK_BYTES))).cast("int")
 
-        main = main.select("h", "main", parts(F.col("n"), F.col("bytes")).alias("blocks"), parts(F.col("n") - F.col("of"), F.col("bytes") - F.col("main_bytes")).alias("packets"))
-        dealt = materialize(placed.join(main, "h"))
+        main = main.select("h", "main", "n", "of", parts(F.col("n"), F.col("bytes")).alias("blocks"), parts(F.col("n") - F.col("of"), F.col("bytes") - F.col("main_bytes")).alias("packets"))
+        main = materialize(main)
+        n, read = main.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("sum((n - of) * blocks + n * packets)"), F.lit(0))).first()
+        return placed.join(main.drop("n", "of"), "h"), n, read
+
+    def rest(dealt: DataFrame, whole: DataFrame) -> DataFrame:
+        """Links (a, b) that join all classes of each bucket between which it has any."""
         own, all_ = lambda of, seed: F.pmod(F.xxhash64("entry", F.lit(seed)), F.col(of)).cast("int"), lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
         ask = dealt.filter("root != main").withColumn("packet", own("packets", 1)).withColumn("block", all_("blocks"))
         have = dealt.withColumn("block", own("blocks", 2)).withColumn("packet", all_("packets"))
@@ -410,6 +422,13 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         ask, have = (x.select(*names[:-1]).join(whole, "entry").select(*names).toDF(*names).groupBy("h", "block", "packet") for x in (ask, have))
         return ask.cogroup(have).applyInArrow(meet, "a long, b long").distinct()
 
+    def merged(root: DataFrame, found: DataFrame) -> DataFrame:
+        """The classes (id, root) with those joined that further links connect."""
+        up = found.join(root.toDF("a", "x"), "a", "left").join(root.toDF("b", "y"), "b", "left")
+        top = components(materialize(up.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).distinct()))
+        moved = root.join(top.toDF("root", "top"), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+        return materialize(moved.unionByName(top.join(root.select("id"), "id", "left_anti")))
+
     members = grouped(entries.select(F.explode("keys").alias("h"), "entry"))
     whole = texts_of(members)
     tried = materialize(alike(members.filter("entry > hub").select(F.col("hub").alias("a"), F.col("entry").alias("b"))))
@@ -431,20 +450,21 @@ def near_copies(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     new = materialize(alike(pairs).join(tried, ["a", "b"], "left_anti"))
     links = materialize(links.unionByName(verify(new, whole)))
     root = materialize(components(links))
-    turn = 1
+    turn, more = 1, crowded
     while crowded:
+        left, n, read = dealt(mixed(members.filter(F.col("n") > SMALL), root), whole_crowd)
+        if not n:
+            break
+        if not more or read <= COPIES * n:
+            root = merged(root, materialize(rest(left, whole_crowd)))
+            break
         placed = materialize(mixed(groups.filter(F.col("n") > SMALL), root))
         tried = tried.unionByName(new)
         new = materialize(alike(representatives(placed, turn)).join(tried, ["a", "b"], "left_anti"))
         found = materialize(verify(new, whole_crowd))
-        if not found.limit(1).count():
-            break
-        links, turn = materialize(links.unionByName(found)), turn + 1
-        root = materialize(components(links))
-    if crowded:
-        left = materialize(mixed(members.filter(F.col("n") > SMALL), root))
-        links = materialize(links.unionByName(rest(left, whole_crowd)))
-        root = materialize(components(links))
+        turn, more = turn + 1, found.limit(1).count() > 0
+        if more:
+            root = merged(root, found)
     classes = materialize(named.join(root.toDF("entry", "class_id"), "entry", "left").select("digest", "entry", "rows", F.coalesce("class_id", "entry").alias("class_id")))
     discard(named, entries, members, whole, links, root, *([whole_crowd, rarest, groups, placed] if crowded else []))
     return join_by_group(drawn, classes, "digest").select("doc_id", "class_id", F.col("entry").alias("copy_of"))

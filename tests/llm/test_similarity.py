@@ -162,6 +162,29 @@ def test_pipeline_keeps_one_of_links_that_no_round_meets(spark, monkeypatch):
     assert kept == set(range(df.count())) - set(links)
 
 
+def test_later_links_join_classes_and_not_all_links_anew(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", 8)  # so that buckets are large
+    given = []
+
+    def counted(links):
+        given.append(links.count())
+        return components(links)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):  # copies of one text, one or two of 150 words changed
+        words = [f"w{j}" for j in range(150)]
+        for at in rng.choice(150, rng.integers(1, 3), replace=False):
+            words[at] = f"x{i}n{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(60 + i, rows[0][1].rsplit(" ", 75)[0] + "".join(f" y{i}n{j}" for j in range(75))) for i in range(30)]  # half a copy each
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_copies.near_copies(df).collect()}
+    assert got == {i: 0 if i < 60 else i for i in range(90)}
+    assert given[0] >= 59 and sum(given[1:]) < given[0]
+
+
 def test_overlaps_are_sums_of_smaller_weights():
     rng = np.random.default_rng(8)
     one = rng.uniform(0.5, 1.0, 60).astype(np.float32)
