@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-from spotcheck.llm.frames import materialize, ordered, running_totals
+from spotcheck.llm.frames import discard, materialize, ordered, running_totals
 
 #: Sums of doubles are taken over whole multiples of 1 / UNIT, so that any order gives the same sum.
 UNIT = 1 << 20
 
 
-def exact_sum(x: Column) -> Column:
-    return F.sum(F.round(x * UNIT).cast("decimal(38,0)")).cast("double") / UNIT
+def exact_sum(x: Column, over: WindowSpec) -> Column:
+    return F.sum(F.round(x * UNIT).cast("decimal(38,0)")).over(over).cast("double") / UNIT
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -37,6 +37,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     return table.withColumn("target", F.least(F.col("top"), F.col("weight") * level))
 
 
+#: Newton steps in one plan: they share one shuffle of the classes by source.
+STEPS = 6
+
+
 def balance(classes: DataFrame, most: float = 2.0, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
     """Rates whose expected sizes meet each source's target, by Newton steps on the dual.
 
@@ -44,37 +48,38 @@ def balance(classes: DataFrame, most: float = 2.0, tolerance: float = 1e-6, roun
     all rates between 0 and ``most`` that meet the targets, entropy balancing takes those
     nearest to one copy each in relative entropy: min(most, exp(tilt * size / scale)), with
     one dual variable, the tilt, for each source's constraint.  Each round sums the gradient
-    and the curvature over the classes in one aggregate and takes a Newton step, kept inside
-    the bracket of the root that the signs of earlier gradients give.  Only the largest gap
-    comes to the driver.
+    and the curvature over the classes of a source and takes a Newton step, kept inside
+    the bracket of the root that the signs of earlier gradients give.  The classes of a source
+    (its distinct sizes) carry its state, so rounds need no join, and ``STEPS`` of them are
+    one plan; only whether a source is left open comes to the driver.
     """
-    classes = classes.withColumn("_x", F.col("size") / F.greatest(F.col("source_size") / F.greatest(F.col("source_n"), F.lit(1)), F.lit(1.0)))
-    classes = materialize(classes)
+    whole = Window.partitionBy("source")
     inf = F.lit(1e6)
-    dual = materialize(classes.groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("source_size")).withColumns({"tilt": F.lit(0.0), "_low": -inf, "_high": inf}))
-    for _ in range(rounds):
-        rate = F.least(F.lit(most), F.exp(F.least(F.col("tilt") * F.col("_x"), F.lit(50.0))))
-        at = classes.join(dual.select(F.col("source").alias("_source"), "tilt"), F.col("source").eqNullSafe(F.col("_source")))
-        mass = F.col("n") * F.col("size") * rate
-        sums = at.groupBy("source").agg(exact_sum(mass).alias("_got"), exact_sum(F.when(rate < most, mass * F.col("_x")).otherwise(0.0)).alias("_curve"))
-        gap = F.col("target") - F.col("_got")
-        low = F.when(gap > 0, F.col("tilt")).otherwise(F.col("_low"))
-        high = F.when(gap > 0, F.col("_high")).otherwise(F.col("tilt"))
-        newton = F.col("tilt") + gap / F.col("_curve")
-        inside = (F.col("_curve") > 0) & (newton > low) & (newton < high)
-        halved = F.when(high >= 1e6, F.greatest(low * 2, F.lit(1.0))).when(low <= -1e6, F.least(high * 2, F.lit(-1.0))).otherwise((low + high) / 2)
-        done = F.abs(gap) <= F.greatest(F.lit(tolerance) * F.col("target"), F.lit(1e-3))
-        step = F.when(done, F.col("tilt")).when(inside, newton).otherwise(halved)
-        joined = dual.join(sums.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
-        new = joined.select("source", "target", "source_size", step.alias("tilt"), low.alias("_low"), high.alias("_high"), (~done & (F.col("tilt") < 1e5)).alias("_open"))
-        new = materialize(new)
-        dual = new.drop("_open")
-        if not new.filter("_open").limit(1).count():
+    now = classes.withColumn("_x", F.col("size") / F.greatest(F.col("source_size") / F.greatest(F.col("source_n"), F.lit(1)), F.lit(1.0)))
+    now = now.withColumns({"tilt": F.lit(0.0), "_low": -inf, "_high": inf, "_open": F.lit(True)})
+    for done_rounds in range(0, rounds, STEPS):
+        before = now
+        for _ in range(min(STEPS, rounds - done_rounds)):
+            rate = F.least(F.lit(most), F.exp(F.least(F.col("tilt") * F.col("_x"), F.lit(50.0))))
+            mass = F.col("n") * F.col("size") * rate
+            now = now.withColumns({"_got": exact_sum(mass, whole), "_curve": exact_sum(F.when(rate < most, mass * F.col("_x")).otherwise(0.0), whole)})
+            gap = F.col("target") - F.col("_got")
+            low = F.when(gap > 0, F.col("tilt")).otherwise(F.col("_low"))
+            high = F.when(gap > 0, F.col("_high")).otherwise(F.col("tilt"))
+            now = now.withColumns({"_gap": gap, "_low": low, "_high": high})
+            newton = F.col("tilt") + F.col("_gap") / F.col("_curve")
+            inside = (F.col("_curve") > 0) & (newton > F.col("_low")) & (newton < F.col("_high"))
+            halved = F.when(F.col("_high") >= 1e6, F.greatest(F.col("_low") * 2, F.lit(1.0))).when(F.col("_low") <= -1e6, F.least(F.col("_high") * 2, F.lit(-1.0))).otherwise((F.col("_low") + F.col("_high")) / 2)
+            done = F.abs("_gap") <= F.greatest(F.lit(tolerance) * F.col("target"), F.lit(1e-3))
+            step = F.when(done, F.col("tilt")).when(inside, newton).otherwise(halved)
+            now = now.withColumns({"tilt": step, "_open": ~done & (F.col("tilt") < 1e5)}).drop("_got", "_curve", "_gap")
+        now = materialize(now)
+        discard(before)
+        if not now.filter("_open").limit(1).count():
             break
-    at = classes.join(dual.select(F.col("source").alias("_source"), "tilt"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     full = F.col("target") >= most * F.col("source_size")  # only the most of every document meets it
     rate = F.when(full, F.lit(most)).otherwise(F.least(F.lit(most), F.exp(F.least(F.round("tilt", 9) * F.col("_x"), F.lit(50.0)))))
-    return at.withColumn("rate", rate).drop("_x", "tilt")
+    return now.withColumn("rate", rate).drop("_x", "tilt", "_low", "_high", "_open")
 
 
 def copies_by_class(classes: DataFrame, most: int = 2) -> DataFrame:
@@ -95,16 +100,16 @@ def settle(plan: DataFrame, most: int = 2, rounds: int = 4) -> DataFrame:
     """One copy more or less in the class whose size best fits what a source still lacks or exceeds.
 
     Each round leaves a smaller gap or none; rounding alone leaves gaps as large as a long document.
+    The rounds go over the classes of a source and share one shuffle.
     """
+    whole = Window.partitionBy("source")
     for _ in range(rounds):
-        gaps = plan.groupBy(F.col("source").alias("_source")).agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"))
-        at = plan.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        at = plan.withColumn("_gap", F.col("target") - F.sum(F.col("copies") * F.col("size")).over(whole))
         size = F.abs("_gap")
         fits = F.when(F.col("_gap") > 0, F.col("copies") < F.col("n") * most).otherwise(F.col("copies") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * size)
-        best = at.filter(fits).groupBy(F.col("source").alias("_source")).agg(F.min(F.struct(F.abs(size - F.col("size")).alias("off"), F.col("size").alias("size"))).alias("_best"))
-        at = at.join(best, F.col("source").eqNullSafe(F.col("_source")), "left")
+        at = at.withColumn("_best", F.min(F.when(fits, F.struct(F.abs(size - F.col("size")).alias("off"), F.col("size").alias("size")))).over(whole))
         step = F.when(F.col("size") == F.col("_best.size"), F.signum("_gap").cast("long")).otherwise(F.lit(0))
-        plan = materialize(at.withColumn("copies", F.col("copies") + F.coalesce(step, F.lit(0))).drop("_source", "_gap", "_best"))
+        plan = at.withColumn("copies", F.col("copies") + F.coalesce(step, F.lit(0))).drop("_gap", "_best")
     return plan
 
 
@@ -133,7 +138,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     # both are small: a row for each source
     known = sizes.join(targets.select(F.col("source").alias("_source"), "target"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     withs = classes.join(known.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    plan = settle(materialize(copies_by_class(balance(withs, most), most)), most)
+    plan = settle(copies_by_class(balance(withs, most), most), most)
     plan = plan.select(F.col("source").alias("_source"), F.col("size").alias("_size"), "n", "source_size", "target", "copies", F.ceil(F.col("n") / salt_rows).alias("_parts"))
     plan = materialize(plan)
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")))

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from spotcheck.llm import mixing, quality_rules, quotations, sharding
+from spotcheck.llm.frames import materialize
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -181,6 +182,28 @@ def test_mixing_of_no_words(spark, nothing):
     assert [r["taken"] for r in mixing.mix(empty).collect()] == [0, 0]
 
 
+def test_rounds_of_mixing_share_a_plan_without_joins(spark, monkeypatch):
+    plans = []
+
+    def write(df, *by):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialize(df, *by)
+
+    monkeypatch.setattr(mixing, "materialize", write)
+    rows = [(s, size, size % 7 + 1) for k, s in enumerate(("a", "b", None, "d")) for size in [*range(0, 60 * (k + 1), k + 2), 5000]]
+    share = {"a": 0.4, "b": 1.7, None: 1.1, "d": 2.0}
+    words = {s: sum(z * n for x, z, n in rows if x == s) for s in share}
+    docs_ = {s: sum(n for x, _, n in rows if x == s) for s in share}
+    classes = spark.createDataFrame([(s, z, n, words[s], docs_[s], share[s] * words[s]) for s, z, n in rows], "source string, size long, n long, source_size long, source_n long, target double")
+    got = defaultdict(float)
+    for r in mixing.balance(classes).collect():
+        assert 0 <= r["rate"] <= 2
+        got[r["source"]] += r["n"] * r["size"] * r["rate"]
+    for s in share:
+        assert abs(got[s] - share[s] * words[s]) < 1e-5 * words[s]
+    assert len(plans) <= 60 / mixing.STEPS and not any("Join" in p for p in plans)  # a plan and two joins for each round before
+
+
 MESSAGES = [
     (1, 0, "user", "Hello there\nHow do I cook rice?"), (1, 1, "assistant", "On Monday, X wrote:\n> Hello there\n> How do I cook rice?\nBoil it.\nStir well."), (1, 2, "user", "> Boil it.\nOK and pasta?"),
     (1, 3, "user", ">> How do I cook rice?\n> Stir well.\nReally?"), (1, 4, "assistant", "> How do I   cook RICE?\nAgain: boil"), (2, 0, "a", None), (2, 1, "b", ""), (2, 1, "b", ""),
