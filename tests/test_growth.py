@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from spotcheck.operators import quality
+from spotcheck.operators import quality, workflows
 
 DAY = dt.date(2025, 1, 1)
 
@@ -24,6 +24,26 @@ def most_rows(df) -> int:
     return seen
 
 
+def test_accounts_of_clients_are_not_made_distinct(spark):
+    users = spark.createDataFrame([(u, u, u % 2) for u in range(60)] + [(1, 2, 0), (2, 500, None), (None, 3, 0), (4, None, 1)], "user_id long, account_id long, client_id int")
+    clients = spark.createDataFrame([(a, a % 2) for a in range(100, 160)] + [(100, 1), (100, 0), (1, 1)], "account_id long, client_id int")
+    u, c = [tuple(r) for r in users.collect()], [tuple(r) for r in clients.collect()]
+    want = {(x, a) for x, a, _ in u if a is not None} | {(x, a) for x, _, k in u for a, k2 in c if k == k2 and k is not None}
+    out = workflows.expand_access(users, clients)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    out.collect()
+    sizes, todo = [], [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if kind == "HashAggregateExec":
+            sizes.append(node.metrics().get("numOutputRows").get().value())
+    assert sizes and max(sizes) < 300 < len(want)  # pairs pass no aggregate
+
+
 def test_candidates_near_a_start_are_not_compared_one_by_one(spark):
     spots = spark.createDataFrame([(i, 1, "One", DAY, 36000 + i % 3) for i in range(200)], "spot_id long, account_id long, channel string, spot_date date, start_secs long")
     logs = spark.createDataFrame([(i, 1, "one", DAY, 36000 + (i * 7919) % 1800 - 900, "t", 5) for i in range(300)], "log_id long, account_id long, channel string, log_date date, air_secs long, advt_theme string, duration int")
