@@ -22,11 +22,17 @@ def airing_counts(logs: DataFrame, time: str = "ts", every: str = "1 hour", late
 
 
 def near_pairs(certs: DataFrame, logs: DataFrame, seconds: int = 5, late: str = "1 hour") -> DataFrame:
-    """Candidates of certificates and logs as both arrive: same channel and duration, near in time."""
-    c = certs.withWatermark("cert_ts", late).alias("c")
-    r = logs.withWatermark("log_ts", late).alias("r")
+    """Candidates of certificates and logs as both arrive: same channel and duration, near in time.
+
+    State is kept by blocks of time too, so that a row is held against those of its block only;
+    a certificate near a block's edge stands in both.
+    """
+    width = 12 * seconds * 1_000_000
+    block = lambda ts, by=0: F.floor((F.unix_micros(ts) + by * 1_000_000) / width)
+    c = certs.withWatermark("cert_ts", late).withColumn("block", F.explode(F.array_distinct(F.array(block("cert_ts", -seconds), block("cert_ts", seconds))))).alias("c")
+    r = logs.withWatermark("log_ts", late).withColumn("block", block("log_ts")).alias("r")
     near = F.expr(f"r.log_ts between c.cert_ts - interval {seconds} seconds and c.cert_ts + interval {seconds} seconds")
-    return c.join(r, (F.col("c.account_id") == F.col("r.account_id")) & (F.col("c.channel") == F.col("r.channel")) & (F.col("c.duration") == F.col("r.duration")) & near).select("cert_id", "log_id", "cert_ts", "log_ts")
+    return c.join(r, (F.col("c.account_id") == F.col("r.account_id")) & (F.col("c.channel") == F.col("r.channel")) & (F.col("c.duration") == F.col("r.duration")) & (F.col("c.block") == F.col("r.block")) & near).select("cert_id", "log_id", "cert_ts", "log_ts")
 
 
 def released_scopes(logs: DataFrame, time: str = "ts", grace: str = "7 days", late: str = "10 minutes") -> DataFrame:

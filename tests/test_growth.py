@@ -3,6 +3,7 @@
 import datetime as dt
 
 from spotcheck.operators import quality, workflows
+from spotcheck.streaming import jobs
 
 DAY = dt.date(2025, 1, 1)
 
@@ -52,3 +53,18 @@ def test_candidates_near_a_start_are_not_compared_one_by_one(spark):
     want = {(p, i + 1, x) for p in range(200) for i, (_, _, x) in enumerate(sorted((abs(a - 36000 - p % 3), a, x) for x, a in rows)[:10])}
     assert {(r["spot_id"], r["place"], r["log_id"]) for r in out.collect()} == want
     assert most_rows(out) <= 2000  # the result; pairs would be 60,000
+
+
+def test_near_pairs_meet_by_blocks_of_time(spark, tmp_path):
+    at = lambda s: dt.datetime(2025, 1, 1) + dt.timedelta(seconds=s)
+    certs, logs = [(i, 1, "x", 5, at(i * 7)) for i in range(300)], [(i, 1, "x", 5, at(i * 11)) for i in range(200)]
+    read = {}
+    for name, rows in (("cert", certs), ("log", logs)):
+        df = spark.createDataFrame(rows, f"{name}_id long, account_id long, channel string, duration int, {name}_ts timestamp")
+        df.write.parquet(f"{tmp_path}/{name}")
+        read[name] = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{name}")
+    out = jobs.near_pairs(read["cert"], read["log"])
+    assert "block" in out._jdf.queryExecution().analyzed().toString().split("Join Inner")[1].split("\n")[0]
+    out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    got = [(r["cert_id"], r["log_id"]) for r in spark.read.schema("cert_id long, log_id long").parquet(f"{tmp_path}/out").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i, *_ in certs for j, *_ in logs if abs(i * 7 - j * 11) <= 5}
