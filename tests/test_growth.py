@@ -1,8 +1,9 @@
 """What plans make on the way: rows that stand alike or near in time must not meet one by one."""
 
 import datetime as dt
+import random
 
-from spotcheck.operators import quality, workflows
+from spotcheck.operators import quality, verify, workflows
 from spotcheck.streaming import jobs
 
 DAY = dt.date(2025, 1, 1)
@@ -68,3 +69,46 @@ def test_near_pairs_meet_by_blocks_of_time(spark, tmp_path):
     out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
     got = [(r["cert_id"], r["log_id"]) for r in spark.read.schema("cert_id long, log_id long").parquet(f"{tmp_path}/out").collect()]
     assert len(got) == len(set(got)) and set(got) == {(i, j) for i, *_ in certs for j, *_ in logs if abs(i * 7 - j * 11) <= 5}
+
+
+def crowd(spark, n):
+    """Spots and airings of one class on two days, in two hours of each."""
+    spots = spark.createDataFrame([(i, 1, "One", "A", 10, dt.date(2025, 1, 1 + i % 2), 36000 + i % 3 // 2 * 18000, 39599 + i % 3 // 2 * 18000, f"prg{i % 4}", "1") for i in range(n)],
+                                  "spot_id long, account_id long, channel string, brand string, duration int, spot_date date, start_secs long, end_secs long, programme string, schedule_number string")
+    logs = spark.createDataFrame([(i, 1, "One", "t", 10, dt.date(2025, 1, 1 + i % 2), 36000 + i % 3 // 2 * 18000 + i * 97 % 4300, f"prg{i % 8}") for i in range(n)],
+                                 "log_id long, account_id long, channel string, advt_theme string, duration int, log_date date, air_secs long, program string")
+    return spots, logs, spark.createDataFrame([(1, "A", "t", None, "")], "account_id long, brand string, theme string, duration int, product string")
+
+
+def test_each_pass_joins_by_what_its_pairs_share(spark):
+    spots, logs, m = crowd(spark, 240)
+    c = verify.candidates(spots, logs, m)
+    for n, key in ((1, "_hour"), (2, "_block"), (3, "program")):
+        joins = [x for x in c.filter(f"pass = {n}")._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "spot_date" in x]
+        assert joins and (key in joins[0] or n == 1 and "_hour" in joins[1])
+        assert not [x for x in joins if "array_intersect" in x]  # words are compared by distinct names
+
+
+def test_candidates_by_their_definition(spark):
+    rng = random.Random(3)
+    some = lambda *x: rng.choice([None, *x])
+    day = lambda: dt.date(2025, 1, rng.randint(1, 2))
+    spots = [(i, 1, "One", "A", 10, day(), some(0, 3600, 7000, 40000), some(3599, 7200, 41000, 300), some("late show", "news", "", "show"), "1") for i in range(60)]
+    logs = [(i, 1, "One", "t", 10, day(), some(-3, 0, 3600, 7200, 7205, 7801, 40500, 41600, 41601), some("show", "news at ten", "late news", "")) for i in range(60)]
+    want = set()
+    for s in spots:
+        for r in logs:
+            (start, stop, air), words = (s[6], s[7], r[6]), [set((x or "").split()) for x in (s[8], r[7])]
+            low, high = (None if None in (air, start) else air >= start), (None if None in (air, stop) else air <= stop)
+            inside = False if False in (low, high) else True if low and high else start is None or stop is None
+            over = None if None in (air, stop) else air - stop
+            if r[5] == s[5]:
+                like = not words[0] or len(words[0] & words[1]) / len(words[0]) >= 0.5
+                want |= {(s[0], r[0], 1 if inside else 2 if over is not None and 0 < over <= 600 else 3)} if inside or like or (over is not None and 0 < over <= 600) else set()
+    c = verify.candidates(
+        spark.createDataFrame(spots, "spot_id long, account_id long, channel string, brand string, duration int, spot_date date, start_secs long, end_secs long, programme string, schedule_number string"),
+        spark.createDataFrame(logs, "log_id long, account_id long, channel string, advt_theme string, duration int, log_date date, air_secs long, program string"),
+        spark.createDataFrame([(1, "A", "t", None, "")], "account_id long, brand string, theme string, duration int, product string"),
+    )
+    got = [(r["spot_id"], r["log_id"], r["pass"]) for r in c.filter("pass < 4").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
