@@ -80,6 +80,23 @@ def crowd(spark, n):
     return spots, logs, spark.createDataFrame([(1, "A", "t", None, "")], "account_id long, brand string, theme string, duration int, product string")
 
 
+def test_candidates_are_counted_without_pairs(spark, monkeypatch):
+    spots, logs, m = crowd(spark, 240)
+    pairs = verify.candidates(spots, logs, m).collect()
+    want = {(n, len(p), len({r["spot_id"] for r in p}), len({r["log_id"] for r in p})) for n in (1, 2, 3, 4) if (p := [r for r in pairs if r["pass"] == n])}
+    made, write = [], verify.materialize
+
+    def seen(df, *by):
+        out = write(df, *by)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(verify, "materialize", seen)
+    got = verify.candidate_counts(spots, logs, m)
+    assert {(r["pass"], r["n"], r["spots"], r["logs"]) for r in got.select("pass", "n", "spots", "logs").collect()} == want and len(want) == 4
+    assert max(made) <= 3000 < len(pairs) / 5
+
+
 def test_each_pass_joins_by_what_its_pairs_share(spark):
     spots, logs, m = crowd(spark, 240)
     c = verify.candidates(spots, logs, m)
