@@ -3,7 +3,9 @@
 import datetime as dt
 import random
 
-from spotcheck.operators import quality, verify, workflows
+import pytest
+
+from spotcheck.operators import quality, settle as settling, verify, workflows
 from spotcheck.streaming import jobs
 
 DAY = dt.date(2025, 1, 1)
@@ -129,3 +131,56 @@ def test_candidates_by_their_definition(spark):
     )
     got = [(r["spot_id"], r["log_id"], r["pass"]) for r in c.filter("pass < 4").collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+SPOT = "spot_id long, account_id long, channel string, brand string, duration int, spot_date date, start_secs long, end_secs long, programme string, schedule_number string"
+LOG = "log_id long, account_id long, channel string, advt_theme string, duration int, log_date date, air_secs long, program string"
+MAPPING = "account_id long, brand string, theme string, duration int, product string"
+
+
+def serially(spots, logs, brands):
+    """spot_id: (pass, log_id) of spots taken one by one, by schedule, pass, day, start and id."""
+    taken, out = set(), {}
+    for number in sorted({s[9] for s in spots}):
+        for n in (1, 2, 3, 4):
+            for s in sorted((s for s in spots if s[9] == number and s[0] not in out), key=lambda s: (s[5], s[6] is not None, s[6] or 0, s[0])):
+                best = []
+                for r in logs:
+                    if r[0] in taken or r[3] not in brands[s[3]]:
+                        continue
+                    start, stop, air = s[6], s[7], r[6]
+                    low, high = (None if start is None else air >= start), (None if stop is None else air <= stop)
+                    inside = False if False in (low, high) else True
+                    words = [set(s[8].split()), set(r[7].split())]
+                    over = None if stop is None else air - stop
+                    fits = {1: r[5] == s[5] and inside, 2: r[5] == s[5] and over is not None and 0 < over <= 600,
+                            3: r[5] == s[5] and (not words[0] or len(words[0] & words[1]) / len(words[0]) >= 0.5), 4: r[5] > s[5] and inside}[n]
+                    best += [(r[5], air, r[0])] if fits else []
+                if best:
+                    out[s[0]] = (n, min(best)[2])
+                    taken.add(min(best)[2])
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_crowded_spots_against_a_loop(spark, seed):
+    rng = random.Random(seed)
+    day = lambda: dt.date(2025, 1, rng.randint(1, 3))
+    windows = [(36000, 39599), (36000, 39600), (36000, 37800), (37000, 40000), (39600, 43199), (-3600, 0), (None, 39000), (40000, None)]
+    spots = [(i, 1, "One", rng.choice("AB"), 10, day(), *rng.choice(windows[: 4 + 2 * seed - 2]), rng.choice(["late show", "show", "news", ""]), str(rng.randint(1, 2))) for i in range(120)]
+    logs = [(i, 1, "One", rng.choice(["t", "t", "tu"]), 10, day(), rng.choice([39600, 0, rng.randrange(35000, 44500)]), rng.choice(["show", "news at ten", "late news"])) for i in range(110)]
+    m = spark.createDataFrame([(1, "A", "t*", None, ""), (1, "B", "t", None, "")], MAPPING)
+    got = verify.place_spots(spark.createDataFrame(spots, SPOT), spark.createDataFrame(logs, LOG), m)
+    assert {r["spot_id"]: (r["pass"], r["log_id"]) for r in got.collect()} == serially(spots, logs, {"A": {"t", "tu"}, "B": {"t"}})
+
+
+def test_rounds_do_not_grow_with_a_crowd(spark, monkeypatch):
+    jobs, write = [], settling.materialize
+    monkeypatch.setattr(settling, "materialize", lambda df, *by: jobs.append(1) or write(df, *by))
+    rng = random.Random(7)
+    name = lambda i: "show prg" if i % 3 else "prg"
+    spots = [(i, 1, "One", "A", 10, dt.date(2025, 1, 1), 36000, 39599 + (i % 2), name(i), "1") for i in range(300)]
+    logs = [(i, 1, "One", "t", 10, dt.date(2025, 1, 1 + i % 3 // 2), rng.randrange(36000, 43000), "prg") for i in range(300)]
+    got = verify.place_spots(spark.createDataFrame(spots, SPOT), spark.createDataFrame(logs, LOG), spark.createDataFrame([(1, "A", "t", None, "")], MAPPING))
+    assert {r["spot_id"]: (r["pass"], r["log_id"]) for r in got.collect()} == serially(spots, logs, {"A": {"t"}})
+    assert len(jobs) <= 8
